@@ -5,7 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from logweave.llm.line_dedup import line_dedup
+from logweave.llm.mixing import mix_sources
+from logweave.llm.packing import pack_documents
 from logweave.llm.quality_rules import quality_rules
 from logweave.llm.simhash import simhash_groups
 from logweave.llm.token_counts import token_counts
@@ -27,5 +31,17 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op8_line_runs_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_bktree, op4_line_first_quality, op5_token_counts)}
+    return {f.__name__: f for f in (op1_simhash_bktree, op4_line_first_quality, op5_token_counts, op8_line_runs_dedup, op9_pareto_mix, op10_best_fit_packing)}
