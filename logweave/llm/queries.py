@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.llm.cap_filters import vector_groups
 from logweave.llm.line_dedup import line_dedup
 from logweave.llm.mixing import mix_sources
 from logweave.llm.packing import pack_documents
@@ -23,6 +24,10 @@ def op1_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "kept")
 
 
+def op2_spherical_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_groups(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), carry=["doc_id"])
 
@@ -44,4 +49,4 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_bktree, op4_line_first_quality, op5_token_counts, op8_line_runs_dedup, op9_pareto_mix, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_simhash_bktree, op2_spherical_cap_filters, op4_line_first_quality, op5_token_counts, op8_line_runs_dedup, op9_pareto_mix, op10_best_fit_packing)}
