@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logweave.llm.arrow import utf8
@@ -151,6 +152,19 @@ def near_links(distinct: DataFrame, radius: int = 2, shard_limit: int = SHARD_LI
         members = shared.where(F.col("n") > shard_limit).select("fp", F.explode(children[F.col("mask")]).alias("mask")).select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("bits")).distinct()
 
 
+def _grouped(by_doc: DataFrame, radius: int) -> DataFrame:
+    """(fp, component_id, first_fp) from pinned (doc_id, fp): of each component the smallest doc_id, and the smallest fingerprint that has it.
+
+    A component without any doc_id has a null one, and the smallest of its fingerprints.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
+    distinct = pin(by_doc.groupBy("fp").agg(first.alias("least")))
+    roots = pin(components(near_links(distinct.select("fp"), radius)))
+    rooted = pin(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    best = pin(rooted.groupBy("root").agg(F.min(F.struct("least", "fp")).alias("best")))
+    return pin(rooted.join(best, "root").select("fp", F.col("best.least.doc_id").alias("component_id"), F.col("best.fp").alias("first_fp")))
+
+
 def simhash_groups(docs: DataFrame, id_col: str | Column = "doc_id", text: str | Column = "text", shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
     """For every row of `docs`: doc_id, fp, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links), kept (doc_id is component_id).
 
@@ -160,9 +174,28 @@ def simhash_groups(docs: DataFrame, id_col: str | Column = "doc_id", text: str |
     `docs`, whatever their names, play no part.
     """
     by_doc = pin(fingerprints(docs, id_col, text, shingle, seed))
-    distinct = pin(by_doc.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = pin(components(near_links(distinct.select("fp"), radius)))
-    rooted = pin(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    least = pin(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    by_fp = pin(rooted.join(least, "root").select("fp", "component_id"))
-    return by_doc.join(by_fp, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return by_doc.join(_grouped(by_doc, radius), "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def near_distinct(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+    """One row of `docs` from each group of near-duplicates: one with the smallest doc_id.
+
+    Where rows share that id and the group, which of them stays is settled by their texts' hashes and
+    then arbitrary. Groups whose rows have no id keep one too. Null and empty texts are one group.
+    """
+    names = docs.columns
+    hashed = pin(fingerprints(docs, id_col, text, shingle, seed))
+    best = _grouped(hashed, radius).where("fp = first_fp").select(F.col("component_id").alias("__id"), F.col("fp").alias("__fp"))
+    again = docs.select("*", F.col(text).cast("string").alias("__text"))
+    rest = again.schema.fields
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.fromiter((fingerprint(t, shingle, seed) for t in utf8(b.column(len(rest) - 1))), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found.view(np.int64))], [*names, "__fp"])
+
+    whole = again.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest[:-1]] + ["__fp bigint"]))
+    kept = whole.withColumnRenamed("__fp", "__own").join(best.hint("shuffle_hash"), (F.col("__own") == F.col("__fp")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
+    # rows that repeat id and fingerprint are dealt out by both, so a window over them has few rows each, unless rows repeat as a whole
+    first = F.row_number().over(W.partitionBy("__own", id_col).orderBy(F.xxhash64(text)))
+    return kept.withColumn("__n", first).where("__n = 1").select(*names)
