@@ -32,7 +32,7 @@ from logweave.llm.token_counts import batched_ids, vocabulary_path
 from logweave.operators.pinning import pin
 
 CAPACITY = 2048
-RANK_BUCKETS = 1024
+RANK_BUCKETS = 256
 
 #: So many sequences alike: (how many, ((length, times), ...)).
 Pattern = tuple[int, tuple[tuple[int, int], ...]]
