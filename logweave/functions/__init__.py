@@ -1 +1 @@
-"""See the README for what is in here."""
+"""Column expressions: each takes and returns Columns and stays inside the JVM."""

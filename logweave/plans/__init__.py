@@ -1 +1 @@
-"""See the README for what is in here."""
+"""Whole jobs put together from the operators, and the registered queries with their SQL."""

@@ -1 +1 @@
-"""See the README for what is in here."""
+"""Readers: each returns raw records with one schema (RAW), whatever the format."""

@@ -1 +1 @@
-"""See the README for what is in here."""
+"""Structured Streaming jobs: the same operators on rows that keep arriving."""
