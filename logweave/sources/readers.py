@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,13 +43,21 @@ def read_timed_text(spark: SparkSession, path: str, dataset_id: str, whole_files
     return raw_records(lines, dataset_id, "timed_text_v1", text=rest, timestamp=time)
 
 
+def _header(spark: SparkSession, path: str) -> list[str]:
+    """The names in a CSV's first line; of repeated ones only the first counts."""
+    first = spark.read.text(path).first()
+    names = next(csv.reader([first.value.lstrip("\ufeff")])) if first else []
+    return [n if n not in names[:i] else f"{n}#{i}" for i, n in enumerate(names)]
+
+
 def read_flow_csv(spark: SparkSession, path: str, limit: int = 0, dataset_id: str = "sandworm_flow", times: tuple[str, ...] = FLOW_TIMES, version: str = "csv_stream_v1") -> DataFrame:
     """A CSV with a header, all values strings; the first data row is line 2. The time is the first of `times` that isn't empty."""
-    names = spark.read.option("header", True).csv(path).columns
+    names = _header(spark, path)
     lines = numbered_lines(spark, path).where((F.col("source_line") > 1) & ~is_blank(F.col("value")))
-    row = lines.withColumn("row", F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"emptyValue": ""}))
-    fields = F.create_map(*[x for n in names for x in (F.lit(n), F.col("row")[n])])
-    time = F.coalesce(*[non_empty(F.col("row")[n]) for n in times if n in names], F.lit(None).cast("string"))
+    # columns by place, as names may differ in case only
+    row = lines.withColumn("row", F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(names))), {"emptyValue": ""}))
+    fields = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.col("row")[f"c{i}"])])
+    time = F.coalesce(*[non_empty(F.col("row")[f"c{names.index(n)}"]) for n in times if n in names], F.lit(None).cast("string"))
     return raw_records(limited(row, limit), dataset_id, version, fields=fields, timestamp=time)
 
 
