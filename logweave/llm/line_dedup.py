@@ -81,7 +81,13 @@ class LineRuns:
 
     @staticmethod
     def _summed(runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, runs).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"))
+        """The runs merged: an outer join of sorted buckets, counts added. (A union and a group would shuffle.)"""
+
+        def merge(a: DataFrame, b: DataFrame) -> DataFrame:
+            both = a.withColumnRenamed("n_docs", "n_a").join(b.withColumnRenamed("n_docs", "n_b"), KEY, "full_outer")
+            return both.select(*KEY, (F.coalesce("n_a", F.lit(0)) + F.coalesce("n_b", F.lit(0))).alias("n_docs"))
+
+        return reduce(merge, runs)
 
     def frequent(self) -> DataFrame:
         """(h1, h2) of lines in at least min_docs documents of all batches, as a table of known size."""
