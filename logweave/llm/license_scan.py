@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from logweave.llm.arrow import utf8
 from logweave.llm.license_templates import TEMPLATES
+from logweave.llm.sampling import hash_sample
 
 UNKNOWN = "unknown"
 #: Bounds of what the classifier is fitted on: sampled corpus rows, and variants made of each template.
@@ -194,7 +195,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ma
     The model is fitted on the templates and on at most `max_sample` rows, those whose ids hash lowest.
     An empty table gives an empty result.
     """
-    sample = docs.select(F.col(text).cast("string").alias("t"), F.xxhash64(id_col, F.lit(11)).alias("h")).where("t is not null").orderBy("h", F.xxhash64("t")).limit(max_sample).select(F.substring("t", 1, 4000).alias("t")).collect()
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.substring(F.col(text).cast("string"), 1, 4000).alias("t"))
+    sample = hash_sample(texts, ["id"], max_sample, 11).orderBy("id", "t").collect()
     found = license_paragraphs(docs, fit_license_model([r.t for r in sample]), id_col, text)
     sure = F.filter("found", lambda x: x["confirmed"])
     return found.select(

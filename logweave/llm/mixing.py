@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logweave.llm.columns import apart, restored
 from logweave.llm.words import word_count
 from logweave.operators.numbering import dense_position
 from logweave.operators.pinning import pin
 
-BINS = 1 << 12
+BINS, LEVELS = 1 << 8, 3
 _RANDOM_DIGITS = 13
 
 
@@ -68,7 +69,7 @@ def _cuts(units: DataFrame, targets: DataFrame) -> DataFrame:
     spare = F.col("open").cast("double")
     level, scale, found = units.withColumn("at", F.lit(0).cast("long")), 1, None
     state = targets.select("source", spare.alias("room"), F.lit(0).cast("long").alias("bin"))
-    for _ in range(2):
+    for _ in range(LEVELS):
         scale *= BINS
         here = level.select("source", "q", "words", F.floor(F.col("q") * scale).cast("long").alias("bin"))
         sums = here.groupBy("source", "bin").agg(F.sum("words").alias("words"))
@@ -99,6 +100,12 @@ def _extras(units: DataFrame, cuts: DataFrame, rounds: int = 3) -> DataFrame:
     return now.drop("gap")
 
 
+def _rank(u: Column, p: Column) -> Column:
+    """The place in the Pareto order between 0 and 1: x / (1 + x) of the random odds over the inclusion odds; null where nothing is drawn."""
+    odds = u / (1 - u) / F.when(p > 0, p / (1 - p))
+    return odds / (1 + odds)
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 17, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Every row of `docs` with size, source_size, target, copies (0 to `most`) and taken = copies * size.
 
@@ -113,19 +120,18 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     targets = source_targets(narrow.select("source", F.col("words").alias("size")), weights, share, most)
     per = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = pin(targets.withColumn("certain", F.floor(per)).withColumn("p", per - F.floor(per)).withColumn("open", F.col("target") - F.col("certain") * F.col("source_size")))
-    odds = F.col("u") / (1 - F.col("u")) / F.when(F.col("p") > 0, F.col("p") / (1 - F.col("p")))
-    q = odds / (1 + odds)  # the order of the odds, between 0 and 1
-    units = pin(_by_source(narrow, targets.where("p > 0").select("source", "p")).select("source", q.alias("q"), "words"))
+    units = pin(_by_source(narrow, targets.where("p > 0").select("source", "p")).select("source", _rank(F.col("u"), F.col("p")).alias("q"), "words"))
     cuts = _extras(units, _cuts(units, targets.where("p > 0").select("source", "open")))
     plan = pin(_by_source(targets, cuts, "left"))
-    plan = plan.withColumnRenamed("source", "__source")
-    both = rows.withColumnRenamed("__u", "u").join(plan, rows["__src"].eqNullSafe(plan["__source"]), "left")
-    more = F.coalesce((F.col("p") > 0) & ((q <= F.col("cut")) | F.array_contains("extras", q)), F.lit(False))
-    out = both.withColumn("copies", (F.coalesce("certain", F.lit(0)) + more.cast("long")).cast("long"))
-    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("__src", "__source", "u", "p", "open", "certain", "cut", "extras", "weight")
+    plan = plan.select("source_size", "target", *[F.col(c).alias(f"__{c}") for c in ("source", "certain", "p", "cut", "extras")])
+    both = rows.join(plan, rows["__src"].eqNullSafe(plan["__source"]), "left")
+    own = _rank(F.col("__u"), F.col("__p"))
+    more = F.coalesce((F.col("__p") > 0) & ((own <= F.col("__cut")) | F.array_contains("__extras", own)), F.lit(False))
+    out = both.withColumn("copies", (F.coalesce("__certain", F.lit(0)) + more.cast("long")).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.drop("__src", "__u", "__source", "__certain", "__p", "__cut", "__extras")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of the mix with the columns of `docs`: each as often as it is taken."""
-    names = docs.columns
-    return mix_sources(docs, **how).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*names)
+    mixed = mix_sources(apart(docs), **how)
+    return restored(mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))), docs.columns)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.arrow import utf8
+from logweave.llm.sampling import hash_sample
 from logweave.operators.pinning import pin
 
 FEATURES = ("log_words", "word_chars", "symbol_share", "upper_share", "bang_share", "digit_share", "bar_share", "distinct_share", "stop_share", "line_words", "pair_share")
@@ -105,7 +106,7 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path:
     known = pin(labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.avg(label).alias("y")))
     rows = pin(features(docs, text, [F.col(id_col).cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path")]))
     joined = pin(rows.join(known, "doc_id", "left"))
-    train = joined.where("y is not null").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(max_train).select("features", "y").collect()
+    train = hash_sample(joined.where("y is not null").select("doc_id", "features", "y"), ["doc_id", "features"], max_train, 3).collect()
     x, y = np.array([r.features for r in train], float).reshape(-1, len(FEATURES)), np.array([r.y for r in train], float)
     weights, bias = fit_logistic(x, (y >= 0.5).astype(float))
     dot = sum((F.col("features")[i] * float(w) for i, w in enumerate(weights)), F.lit(bias))
