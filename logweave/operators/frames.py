@@ -52,7 +52,7 @@ def extract_frames(parses: DataFrame, message: Column | None = None) -> DataFram
     """
     out = parses.withColumn("__m", message_of(parses) if message is None else message).withColumn("__low", F.lower("__m"))
     found = [(role, captured(F.col("__m"), pattern)) for role, pattern in ROLE_PATTERNS.items()]
-    found.append(("destination_ip", non_empty(F.regexp_extract("__m", rf"(?U)\b{IP}\b", 0))))
+    found.append(("destination_ip", non_empty(F.regexp_extract("__m", rf"(?U)(?=\d)\b{IP}\b", 0))))
     mentions = F.filter(F.array(*[F.struct(value.alias("raw_value"), F.lit(role).alias("role")) for role, value in found]), lambda m: m["raw_value"].isNotNull() & (m["raw_value"] != ""))
     out = out.withColumn("entity_mentions", mentions).withColumn("__step", ladder(F.col("__low"), FAMILIES, "unknown"))
     details = F.create_map(*[x for step, d in FAMILY_DETAILS.items() for x in (F.lit(step), F.struct(*[F.lit(v).alias(n) for n, v in zip(("family", "leaf", "relation"), d, strict=True)]))])
@@ -68,7 +68,7 @@ def extract_frames(parses: DataFrame, message: Column | None = None) -> DataFram
 def mentions_of(text: Column) -> Column:
     """Addresses, then paths, then names after user, account, login or uid: each once, in that order."""
     users = F.regexp_extract_all(text, F.lit(f"(?i){USER_MENTION}"), 1)
-    return F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(rf"(?U)\b({IP})\b"), 1), F.regexp_extract_all(text, F.lit(rf"(?U)({PATH})"), 1), users))
+    return F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(rf"(?U)(?=\d)\b({IP})\b"), 1), F.regexp_extract_all(text, F.lit(rf"(?U)({PATH})"), 1), users))
 
 
 def actor_of(mentions: Column) -> Column:
