@@ -84,7 +84,7 @@ def batched_ids(texts: list[str | None], path: str) -> Iterator[tuple[int, np.nd
     split = "byte_bpe" in os.path.basename(path)
     pieces = [(i, p) for i, t in enumerate(texts) for p in (safe_chunks(t or "") if split else [t or ""])]
     encode = encoder(path)
-    for a, b in slices_by_bytes([len(p) for _, p in pieces], BATCH_BYTES):
+    for a, b in slices_by_bytes([len(p.encode("utf-8", "surrogatepass")) for _, p in pieces], BATCH_BYTES):
         yield from zip((i for i, _ in pieces[a:b]), encode([p for _, p in pieces[a:b]]), strict=True)
 
 
