@@ -81,8 +81,8 @@ def _cuts(units: DataFrame, targets: DataFrame) -> DataFrame:
     each = level.groupBy("source", "q").agg(F.sum("words").alias("words"))
     upto = _by_source(each.withColumn("upto", F.sum("words").over(W.partitionBy("source").orderBy("q"))), state.select("source", "room"))
     within = upto.where("upto <= room").groupBy("source").agg(F.max("q").alias("cut"))
-    # where even the first of the last bin is too much, the cut lies just below that bin
-    known = _by_source(state, within, "left").select("source", F.coalesce("cut", F.col("bin") / scale - F.lit(0.5) / scale).alias("cut"))
+    # where even the first of the last bin is too much, the cut lies just below that bin, whose start is a whole number of 2**-24
+    known = _by_source(state, within, "left").select("source", F.coalesce("cut", F.col("bin") / scale - F.lit(2.0**-53)).alias("cut"))
     cuts = pin(_by_source(targets, known, "left").select("source", "open", F.coalesce("cut", F.lit(2.0)).alias("cut")))  # no bin past the room: all are taken
     return cuts
 
