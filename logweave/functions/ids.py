@@ -31,8 +31,13 @@ def node_id(kind: Column | str, value: Column | str) -> Column:
 
 
 def window_id(dataset: Column | str, minutes: int, start: Column) -> Column:
-    """window:digest of dataset, length and start, which is written as ISO 8601 with an offset. The session's zone must be UTC."""
-    return F.concat(F.lit("window:"), F.substring(_sha(_joined(dataset, F.lit(minutes), F.date_format(start, "yyyy-MM-dd'T'HH:mm:ssxxx"))), 1, 16))
+    """window:digest of dataset, length and start, which is written as ISO 8601 at offset zero, as times are UTC."""
+    return F.concat(F.lit("window:"), F.substring(_sha(_joined(dataset, F.lit(minutes), iso_utc(start))), 1, 16))
+
+
+def iso_utc(ts: Column) -> Column:
+    """The clock time of `ts` as ISO 8601 at offset zero."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
 
 
 def short_hash(text: Column, digits: int = 16) -> Column:

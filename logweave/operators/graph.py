@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.functions.ids import node_id, short_hash
+from logweave.functions.ids import iso_utc, node_id, short_hash
 from logweave.functions.vectors import byte_vector
 from logweave.operators.numbering import dense_position
 
@@ -60,7 +60,7 @@ def weighted_graph(frames: DataFrame, entities: DataFrame, order: list[str]) ->
 def graph_bounds(frames: DataFrame, order: list[str]) -> DataFrame:
     """One row: first and last time, and the window id that hangs on the first time, else the first record, else on nothing."""
     row = frames.agg(F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), F.min_by("record_id", F.struct(*order)).alias("first_record"))
-    anchor = F.coalesce(F.date_format(F.col("start_time").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssxxx"), "first_record", F.lit("empty"))
+    anchor = F.coalesce(iso_utc(F.col("start_time").cast("timestamp")), "first_record", F.lit("empty"))
     return row.select(F.concat(F.lit("window:"), short_hash(anchor)).alias("window_id"), "start_time", "end_time")
 
 
