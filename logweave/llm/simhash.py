@@ -13,7 +13,7 @@ that can hold its neighbours. Only links that join a shard's groups leave it, at
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -177,25 +177,30 @@ def simhash_groups(docs: DataFrame, id_col: str | Column = "doc_id", text: str |
     return by_doc.join(_grouped(by_doc, radius), "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def near_distinct(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
-    """One row of `docs` from each group of near-duplicates: one with the smallest doc_id.
-
-    Where rows share that id and the group, which of them stays is settled by their texts' hashes and
-    then arbitrary. Groups whose rows have no id keep one too. Null and empty texts are one group.
-    """
+def one_of_each(docs: DataFrame, best: DataFrame, key_of: Callable[[bytes | None], int], id_col: str, text: str) -> DataFrame:
+    """A row of `docs` for each row (__id, __key) of `best`: one with that id whose text has that key."""
     names = docs.columns
-    hashed = pin(fingerprints(docs, id_col, text, shingle, seed))
-    best = _grouped(hashed, radius).where("fp = first_fp").select(F.col("component_id").alias("__id"), F.col("fp").alias("__fp"))
     again = docs.select("*", F.col(text).cast("string").alias("__text"))
     rest = again.schema.fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.fromiter((fingerprint(t, shingle, seed) for t in utf8(b.column(len(rest) - 1))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found.view(np.int64))], [*names, "__fp"])
+            found = np.fromiter((key_of(t) for t in utf8(b.column(len(rest) - 1))), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found.view(np.int64))], [*names, "__own"])
 
-    whole = again.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest[:-1]] + ["__fp bigint"]))
-    kept = whole.withColumnRenamed("__fp", "__own").join(best.hint("shuffle_hash"), (F.col("__own") == F.col("__fp")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
-    # rows that repeat id and fingerprint are dealt out by both, so a window over them has few rows each, unless rows repeat as a whole
+    whole = again.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest[:-1]] + ["__own bigint"]))
+    kept = whole.join(best.hint("shuffle_hash"), (F.col("__own") == F.col("__key")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
+    # rows that repeat id and key are dealt out by both, so a window over them has few rows each, unless rows repeat as a whole
     first = F.row_number().over(W.partitionBy("__own", id_col).orderBy(F.xxhash64(text)))
     return kept.withColumn("__n", first).where("__n = 1").select(*names)
+
+
+def near_distinct(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+    """One row of `docs` from each group of near-duplicates: one with the smallest doc_id.
+
+    Where rows share that id and the group, which of them stays is settled by their texts' hashes and
+    then arbitrary. Groups whose rows have no id keep one too. Null and empty texts are one group.
+    """
+    hashed = pin(fingerprints(docs, id_col, text, shingle, seed))
+    best = _grouped(hashed, radius).where("fp = first_fp").select(F.col("component_id").alias("__id"), F.col("fp").alias("__key"))
+    return one_of_each(docs, best, lambda t: fingerprint(t, shingle, seed), id_col, text)
