@@ -3,17 +3,22 @@
 Each source gets a target of words. A document's expected number of copies is its target over its
 source's size; the whole part of that is certain. For the rest, documents are ranked by random odds
 over inclusion odds, the Pareto order, and taken from the front until the source's words are spent,
-so samples have a fixed size with unequal inclusion probabilities. Up to three more documents per
-source, each the best fit to what is still open, then bring the sum near its target.
+passing over each that is longer than the room left, so samples have a fixed size with unequal
+inclusion probabilities. One more document a source, if its excess is less than what is still open,
+then brings the sum near its target.
 
 Where to cut is found without sorting a source: sums over bins of the rank, then over finer bins of
-the one bin where the cut falls, then in order within that. Per source only bins come together.
+the one bin where the cut falls, then in order within that; again from there over what is no longer
+than the room left, until all of that fits. Per source only bins come together.
 Cuts and targets are a table with one row a source, so that the last pass over the documents decides
 each row alone.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,7 +28,7 @@ from logweave.llm.words import word_count
 from logweave.operators.numbering import dense_position
 from logweave.operators.pinning import pin
 
-BINS, LEVELS = 1 << 8, 3
+BINS, LEVELS, WALK = 1 << 8, 3, 1024
 _RANDOM_DIGITS = 13
 
 
@@ -64,11 +69,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     return table.select("source", "source_size", "weight", target.alias("target"))
 
 
-def _cuts(units: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, open, cut): all with q <= cut are taken once more. `units`: source, q, words, pinned."""
-    spare = F.col("open").cast("double")
-    level, scale, found = units.withColumn("at", F.lit(0).cast("long")), 1, None
-    state = targets.select("source", spare.alias("room"), F.lit(0).cast("long").alias("bin"))
+def _cut(units: DataFrame, rooms: DataFrame) -> DataFrame:
+    """(source, until, room): for sources whose units (source, q, words) don't all fit in `rooms` (source, room), the q of the first past it and the room left there."""
+    level, scale, state = units, 1, rooms
     for _ in range(LEVELS):
         scale *= BINS
         here = level.select("source", "q", "words", F.floor(F.col("q") * scale).cast("long").alias("bin"))
@@ -80,24 +83,65 @@ def _cuts(units: DataFrame, targets: DataFrame) -> DataFrame:
         level = _by_source(here, state.select("source", F.col("bin").alias("cut_bin"))).where("bin = cut_bin").select("source", "q", "words")
     each = level.groupBy("source", "q").agg(F.sum("words").alias("words"))
     upto = _by_source(each.withColumn("upto", F.sum("words").over(W.partitionBy("source").orderBy("q"))), state.select("source", "room"))
-    within = upto.where("upto <= room").groupBy("source").agg(F.max("q").alias("cut"))
-    # where even the first of the last bin is too much, the cut lies just below that bin, whose start is a whole number of 2**-24
-    known = _by_source(state, within, "left").select("source", F.coalesce("cut", F.col("bin") / scale - F.lit(2.0**-53)).alias("cut"))
-    cuts = pin(_by_source(targets, known, "left").select("source", "open", F.coalesce("cut", F.lit(2.0)).alias("cut")))  # no bin past the room: all are taken
-    return cuts
-
-
-def _extras(units: DataFrame, cuts: DataFrame, rounds: int = 3) -> DataFrame:
-    """(source, cut, extras): in each round, the one of a source's rest whose words come closest to what is still open, if closer than none."""
-    words = _by_source(units, cuts).where("q <= cut").groupBy("source").agg(F.sum("words").alias("taken"))
-    now = pin(_by_source(cuts, words, "left").select("source", "cut", (F.col("open") - F.coalesce("taken", F.lit(0))).alias("gap"), F.array().cast("array<double>").alias("extras")))
-    for _ in range(rounds):
-        off = F.abs(F.col("gap") - F.col("words"))
-        rest = _by_source(units, now).where((F.col("q") > F.col("cut")) & (off < F.col("gap")) & ~F.array_contains("extras", F.col("q")))
-        best = rest.groupBy("source").agg(F.min(F.struct(off.alias("off"), "q", "words")).alias("best")).select("source", F.col("best.q").alias("more"), "best.words")
-        grown = F.when(F.col("more").isNull(), F.col("extras")).otherwise(F.concat("extras", F.array("more")))
-        now = pin(_by_source(now, best, "left").select("source", "cut", (F.col("gap") - F.coalesce("words", F.lit(0))).alias("gap"), grown.alias("extras")))
-    return now.drop("gap")
+    past = upto.where("upto > room")
+    return pin(past.groupBy("source").agg(F.min("q").alias("until"), F.min_by(F.col("room") - (F.col("upto") - F.col("words")), "q").alias("room")))
+
+
+def _walk(rest: pd.DataFrame) -> pd.DataFrame:
+    """The last spans of one source, from at most WALK units; `left` falls from row to row."""
+    left, after = float(rest["room"].iloc[0]), float(rest["after"].iloc[0])
+    most, out = left, []
+    ordered = rest.sort_values("q")
+    for q, units in groupby(zip(ordered["q"], ordered["size"], ordered["words"], strict=True), key=lambda u: u[0]):
+        words = sum(w for _, size, w in units if size <= most)
+        if words <= left:
+            left -= words
+        else:
+            out.append((left, after, q, most))
+            after, most = q, left
+    out.append((left, after, 2.0, most))
+    return pd.DataFrame(out, columns=["left", "after", "until", "most"]).assign(source=rest["source"].iloc[0])[["source", "left", "after", "until", "most"]]
+
+
+def _spans(units: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, room, spans): units with after < q < until and size <= most of any span are taken once more, which leaves `room`.
+
+    That is what a walk down the order takes that passes over each unit without room. A round walks to
+    the next unit without room, past those that are longer than the room it begins with, as they
+    never fit again; the last has no such unit. Once no source has more than WALK units that fit, each
+    is walked in one task. `units`: source, q, size, words, pinned.
+    """
+    span = "array<struct<after:double,until:double,most:double>>"
+    now = pin(targets.select("source", F.col("open").cast("double").alias("room"), F.lit(-1.0).alias("after"), F.array().cast(span).alias("spans")))
+    while True:
+        open_ = now.where("after < 2").select("source", "room", "after")
+        fit = pin(_by_source(units, open_).where("q > after and size <= room").select("source", "q", "size", "words", "room", "after"))
+        most = fit.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+        if most <= WALK:
+            break
+        found = _cut(fit.select("source", "q", "words"), open_.select("source", "room")).select("source", "until", F.col("room").alias("left"))
+        # without a unit past the room, all that fit are taken
+        both = _by_source(_by_source(now, found, "left"), fit.groupBy("source").agg(F.sum("words").alias("all_words")), "left")
+        more = F.struct("after", F.coalesce("until", F.lit(2.0)).alias("until"), F.col("room").alias("most"))
+        grown = F.when(F.col("after") < 2, F.concat("spans", F.array(more))).otherwise(F.col("spans"))
+        left = F.coalesce("left", F.col("room") - F.coalesce("all_words", F.lit(0)))
+        now = pin(both.select("source", left.alias("room"), F.coalesce("until", F.lit(2.0)).alias("after"), grown.alias("spans")))
+    walked = fit.groupBy("source").applyInPandas(_walk, "source string, left double, after double, until double, most double")
+    last = pin(walked.groupBy("source").agg(F.min("left").alias("left"), F.collect_list(F.struct("after", "until", "most")).alias("more")))
+    now = pin(_by_source(now, last, "left").select("source", F.coalesce("left", "room").alias("room"), F.concat("spans", F.coalesce("more", F.array().cast(span))).alias("spans")))
+    return now.select("source", "room", "spans")
+
+
+def _taken(q: Column, size: Column, spans: str) -> Column:
+    return F.exists(spans, lambda s: (q > s["after"]) & (q < s["until"]) & (size <= s["most"]))
+
+
+def _extra(units: DataFrame, spans: DataFrame) -> DataFrame:
+    """(source, spans, extra): the q of the one of a source's rest whose words come closest to the room left, if closer than none."""
+    off = F.abs(F.col("room") - F.col("words"))
+    rest = _by_source(units, spans).where(~_taken(F.col("q"), F.col("size"), "spans") & (off < F.col("room")))
+    best = rest.groupBy("source").agg(F.min(F.struct(off.alias("off"), "q")).alias("best")).select("source", F.col("best.q").alias("extra"))
+    return _by_source(spans, best, "left").select("source", "spans", "extra")
 
 
 def _rank(u: Column, p: Column) -> Column:
@@ -120,15 +164,15 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     targets = source_targets(narrow.select("source", F.col("words").alias("size")), weights, share, most)
     per = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = pin(targets.withColumn("certain", F.floor(per)).withColumn("p", per - F.floor(per)).withColumn("open", F.col("target") - F.col("certain") * F.col("source_size")))
-    units = pin(_by_source(narrow, targets.where("p > 0").select("source", "p")).select("source", _rank(F.col("u"), F.col("p")).alias("q"), "words"))
-    cuts = _extras(units, _cuts(units, targets.where("p > 0").select("source", "open")))
+    units = pin(_by_source(narrow, targets.where("p > 0").select("source", "p")).select("source", _rank(F.col("u"), F.col("p")).alias("q"), "size", "words"))
+    cuts = _extra(units, _spans(units, targets.where("p > 0").select("source", "open")))
     plan = pin(_by_source(targets, cuts, "left"))
-    plan = plan.select("source_size", "target", *[F.col(c).alias(f"__{c}") for c in ("source", "certain", "p", "cut", "extras")])
+    plan = plan.select("source_size", "target", *[F.col(c).alias(f"__{c}") for c in ("source", "certain", "p", "spans", "extra")])
     both = rows.join(plan, rows["__src"].eqNullSafe(plan["__source"]), "left")
     own = _rank(F.col("__u"), F.col("__p"))
-    more = F.coalesce((F.col("__p") > 0) & ((own <= F.col("__cut")) | F.array_contains("__extras", own)), F.lit(False))
+    more = F.coalesce((F.col("__p") > 0) & (F.coalesce(_taken(own, F.col("size"), "__spans"), F.lit(False)) | F.coalesce(own == F.col("__extra"), F.lit(False))), F.lit(False))
     out = both.withColumn("copies", (F.coalesce("__certain", F.lit(0)) + more.cast("long")).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("__src", "__u", "__source", "__certain", "__p", "__cut", "__extras")
+    return out.drop("__src", "__u", "__source", "__certain", "__p", "__spans", "__extra")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
