@@ -570,12 +570,24 @@ def sink_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("doc_id", "source", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "n_chars")
 
 
-def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The events table as a stream of files: written in a few parts, each read as one micro-batch."""
+STREAM_PARTS = 4
+
+
+def _event_stream(spark: SparkSession, sf: str, repeats: bool = False) -> DataFrame:
+    """The events table as a stream of files: parts of equal size by time, a file each, written in order and read as one micro-batch each.
+
+    Files are read in the order of their modification times, so no part is late. With `repeats`, a part
+    also has two of three events of the part before once more. Events without a time are in the first part.
+    """
     path = new_table_path(spark, "event_stream")
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    e.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    at = F.unix_micros("ts")
+    bounds = e.agg(F.percentile_approx(at, [k / STREAM_PARTS for k in range(1, STREAM_PARTS)])).first()[0] or []
+    part = sum((F.coalesce(at > b, F.lit(False)).cast("int") for b in bounds), F.lit(0))
+    for k in range(STREAM_PARTS):
+        again = (part == k - 1) & (F.col("event_id") % 3 > 0)
+        e.where((part == k) | again if repeats else part == k).repartition(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query
@@ -588,8 +600,8 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Events and their repeats through exactly-once dedup: each id once."""
-    e = _event_stream(spark, sf)
+    """Events and their repeats, in their own and the next micro-batch, through exactly-once dedup: each id once."""
+    e = _event_stream(spark, sf, repeats=True)
     twice = e.withColumn("copy", F.explode(F.sequence(F.lit(1), 1 + (F.col("event_id") % 3).cast("int"))))
     d = jobs.exactly_once(twice.withColumn("source_hash", F.sha2(F.col("event_id").cast("string"), 256)), "30 days")
     return jobs.run_once(d.select("event_id", "event_type"), f"stream_dedup_{id(d)}", new_table_path(spark, "stream"))
@@ -607,7 +619,7 @@ def stream_live_links(spark: SparkSession, sf: str) -> DataFrame:
     """Error windows by user as a stream: links as windows arrive, the same as from a table."""
     path = new_table_path(spark, "window_stream")
     user_windows(spark, sf).repartitionByRange(3, "window_start").write.parquet(path)
-    s = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    s = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     found = jobs.live_links(s, keep_hours=0.0, max_gap_seconds=DAY)
     out = jobs.run_once(found, f"stream_links_{id(found)}", new_table_path(spark, "stream"))

@@ -17,6 +17,7 @@ from logweave.functions.ids import content_hash, short_hash
 from logweave.functions.text import is_blank, leading_timestamp, mask, timestamp_of_event
 from logweave.functions.scores import sigmoid
 from logweave.operators.parse import quarantine_reason
+from logweave.operators.pinning import new_table_path
 
 
 def tail_text(spark: SparkSession, path: str, dataset_id: str, leading: bool = True) -> DataFrame:
@@ -131,8 +132,26 @@ def with_quarantine(records: DataFrame, valid_path: str, quarantine_path: str, c
     return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append", timeout: timedelta = timedelta(minutes=5)) -> DataFrame:
-    """All that the source has now, through the stream, as a table in memory: for small streams and tests."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination(int(timeout.total_seconds()))
-    return stream.sparkSession.table(name)
+def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append", timeout: timedelta | None = None) -> DataFrame:
+    """All that the source has now, through the stream to its end, as a Parquet table in the shared folder.
+
+    The table holds what the run from a new `checkpoint` puts out: in complete mode the last batch, else
+    the rows of all batches. A repeated batch replaces itself. A run that isn't finished after `timeout` is
+    stopped and raises TimeoutError; without one there is no limit.
+    """
+    spark, path, batches = stream.sparkSession, new_table_path(stream.sparkSession, name), {}
+
+    def write(batch: DataFrame, number: int) -> None:
+        batches[number] = f"{path}/{number}"
+        batch.write.mode("overwrite").parquet(batches[number])
+
+    query = stream.writeStream.foreachBatch(write).queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(max(1, int(timeout.total_seconds()))):
+        query.stop()
+        raise TimeoutError(f"stream {name} isn't finished after {timeout}")
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    paths = [batches[max(batches)]] if mode == "complete" else list(batches.values())
+    return spark.read.schema(stream.schema).parquet(*paths)
