@@ -28,7 +28,7 @@ from logweave.llm.words import word_count
 from logweave.operators.numbering import dense_position
 from logweave.operators.pinning import pin
 
-BINS, LEVELS, WALK = 1 << 8, 3, 1024
+BINS, LEVELS, WALK = 1 << 8, 3, 1 << 14
 _RANDOM_DIGITS = 13
 
 
