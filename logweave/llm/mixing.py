@@ -1,34 +1,37 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each source gets a target of words. A document's expected number of copies is its target over its
-source's size; the whole part of that is certain. For the rest, documents are ranked by random odds
-over inclusion odds, the Pareto order, and taken from the front until the source's words are spent,
-passing over each that is longer than the room left, so samples have a fixed size with unequal
-inclusion probabilities. One more document a source, if its excess is less than what is still open,
-then brings the sum near its target.
-
-Where to cut is found without sorting a source: sums over bins of the rank, then over finer bins of
-the one bin where the cut falls, then in order within that; again from there over what is no longer
-than the room left, until all of that fits. Per source only bins come together.
-Cuts and targets are a table with one row a source, so that the last pass over the documents decides
-each row alone.
+Each source gets a target of words. Inside it a document's expected copies are in proportion to its
+weight, by default one over the fourth root of its length, so that a source isn't spent on a few
+long documents; none has more than `most`. Whole copies below that are certain. The rest, above 0 and
+at most 1, is its inclusion probability, and documents are ranked by random odds over inclusion odds,
+the Pareto order, of which a fixed number is taken.
+
+So that a fixed number of documents is also a fixed number of words, samples are drawn by strata of
+nearly equal length, longest first: each takes as many as bring the source's words closest to what
+is expected so far, one more where shorter ones couldn't make up for it, and what it has too much or
+too few is carried on to the shorter ones. What remains open in the end is the spread of lengths
+within the strata.
+
+How many to take comes from sums by source and stratum. Where the order is cut is found without
+sorting a stratum: its ranks are counted in bins, then those of the one bin where the cut falls in
+finer bins, then that bin in order. Bins grow with the root of the rows, so a stratum of any size
+meets in no task, and no step depends on how many sources there are, but for one row of each.
 """
 
 from __future__ import annotations
 
-from itertools import groupby
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logweave.llm.columns import apart, restored
 from logweave.llm.words import word_count
-from logweave.operators.numbering import dense_position
-from logweave.operators.pinning import pin
+from logweave.operators.pinning import pin, pin_table
 
-BINS, LEVELS, WALK = 1 << 8, 3, 1 << 14
+#: Weights are whole numbers of 2**-20, probabilities too, so that sums are exact in any order.
+UNIT = 1 << 20
+#: Strata of an octave of lengths, and rows that may lie in the last bin of a cut.
+_STRATA_BITS, _LAST_BIN = 3, 256
 _RANDOM_DIGITS = 13
 
 
@@ -38,141 +41,154 @@ def random_unit(seed: int, *columns: str) -> Column:
     return F.conv(F.substring(digest, 1, _RANDOM_DIGITS), 16, 10).cast("double") / F.lit(float(16**_RANDOM_DIGITS))
 
 
-def _by_source(left: DataFrame, right: DataFrame, how: str = "inner", also: Column | None = None) -> DataFrame:
-    """Joins on source, where null is a source too; `right` has one row a source."""
-    right = right.withColumnRenamed("source", "__source")
-    on = left["source"].eqNullSafe(right["__source"])
-    return left.join(right, on if also is None else on & also, how).drop("__source")
+def _key(source: Column) -> Column:
+    """A source as a string that is never null: '' is the null one."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
+def stratum(size: Column) -> Column:
+    """The octave of a length and the next bits below its highest, as one number; 0 for length 0."""
+    octave = F.length(F.bin(size)) - 1
+    low = F.greatest(octave - _STRATA_BITS, F.lit(0))
+    return F.when(size > 0, octave * (1 << _STRATA_BITS) + F.call_function("shiftright", size, low.cast("int")) % (1 << _STRATA_BITS) + 1).otherwise(0).cast("int")
+
 
+def _whole_weight(weight: Column) -> Column:
+    """A weight in units of 2**-20, at least one, with its 12 highest bits only, so that few differ."""
+    units = F.greatest(F.floor(weight * UNIT).cast("long"), F.lit(1).cast("long"))
+    low = F.greatest(F.length(F.bin(units)) - 12, F.lit(0)).cast("int")
+    return F.call_function("shiftleft", F.call_function("shiftright", units, low), low)
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
-    """(source, source_size, weight, target) from rows (source, size).
+
+def _before(order: W) -> W:
+    return order.rowsBetween(W.unboundedPreceding, -1)
+
+
+def source_targets(totals: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
+    """(source, source_size, weight, target) from one row (source, source_size) for each source.
 
     Sources in code point order, null last, take the weights in turn and share `share` of all sizes
     by weight. A target stops at `most` times its source's size; the excess goes to the others by
-    weight until none is above. Only sums over sources come to the driver.
+    weight until none is above: those with the least room for their weight are full first. Rows of
+    sources, not of documents, meet in one task.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    placed = dense_position(totals, [F.col("source").isNull(), F.col("source")], "place")
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
-    table = pin(placed.withColumn("weight", weight).withColumn("cap", most * F.col("source_size")).drop("place"))
-    words = table.agg(F.sum("source_size")).first()[0] or 0
-    level, before = 0.0, -1.0
-    while level != before:  # the level only rises, past at least one source's cap each time
-        before = level
-        over = F.col("weight") * level > F.col("cap")
-        capped, open_weight = table.agg(F.sum(F.when(over, F.col("cap")).otherwise(0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight")))).first()
-        if not open_weight:
-            break
-        level = (share * words - capped) / open_weight
-    target = F.least(F.col("weight") * level, F.col("cap").cast("double"))
-    return table.select("source", "source_size", "weight", target.alias("target"))
-
-
-def _cut(units: DataFrame, rooms: DataFrame) -> DataFrame:
-    """(source, until, room): for sources whose units (source, q, words) don't all fit in `rooms` (source, room), the q of the first past it and the room left there."""
-    level, scale, state = units, 1, rooms
-    for _ in range(LEVELS):
-        scale *= BINS
-        here = level.select("source", "q", "words", F.floor(F.col("q") * scale).cast("long").alias("bin"))
-        sums = here.groupBy("source", "bin").agg(F.sum("words").alias("words"))
-        run = sums.withColumn("upto", F.sum("words").over(W.partitionBy("source").orderBy("bin")))
-        past = _by_source(run, state.select("source", "room")).where(F.col("upto") > F.col("room"))
-        # the first bin that holds the cut, and the room left when it begins
-        state = pin(past.groupBy("source").agg(F.min("bin").alias("bin"), F.min_by(F.col("room") - (F.col("upto") - F.col("words")), "bin").alias("room")))
-        level = _by_source(here, state.select("source", F.col("bin").alias("cut_bin"))).where("bin = cut_bin").select("source", "q", "words")
-    each = level.groupBy("source", "q").agg(F.sum("words").alias("words"))
-    upto = _by_source(each.withColumn("upto", F.sum("words").over(W.partitionBy("source").orderBy("q"))), state.select("source", "room"))
-    past = upto.where("upto > room")
-    return pin(past.groupBy("source").agg(F.min("q").alias("until"), F.min_by(F.col("room") - (F.col("upto") - F.col("words")), "q").alias("room")))
-
-
-def _walk(rest: pd.DataFrame) -> pd.DataFrame:
-    """The last spans of one source, from at most WALK units; `left` falls from row to row."""
-    left, after = float(rest["room"].iloc[0]), float(rest["after"].iloc[0])
-    most, out = left, []
-    ordered = rest.sort_values("q")
-    for q, units in groupby(zip(ordered["q"], ordered["size"], ordered["words"], strict=True), key=lambda u: u[0]):
-        words = sum(w for _, size, w in units if size <= most)
-        if words <= left:
-            left -= words
-        else:
-            out.append((left, after, q, most))
-            after, most = q, left
-    out.append((left, after, 2.0, most))
-    return pd.DataFrame(out, columns=["left", "after", "until", "most"]).assign(source=rest["source"].iloc[0])[["source", "left", "after", "until", "most"]]
-
-
-def _spans(units: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, room, spans): units with after < q < until and size <= most of any span are taken once more, which leaves `room`.
-
-    That is what a walk down the order takes that passes over each unit without room. A round walks to
-    the next unit without room, past those that are longer than the room it begins with, as they
-    never fit again; the last has no such unit. Once no source has more than WALK units that fit, each
-    is walked in one task. `units`: source, q, size, words, pinned.
+    place = F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
+    table = totals.withColumn("weight", weight).withColumn("cap", most * F.col("source_size"))
+    order = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
+    every = W.partitionBy(F.lit(0))
+    sums = table.withColumns({
+        "nth": F.row_number().over(order), "full": F.coalesce(F.sum("cap").over(_before(order)), F.lit(0)),
+        "open": F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(_before(order)), F.lit(0.0)), "words": F.sum("source_size").over(every),
+    })
+    level = (F.lit(float(share)) * F.col("words") - F.col("full")) / F.col("open")
+    fits = F.when(F.col("weight") * level <= F.col("cap"), F.struct("nth", level.alias("level")))
+    chosen = sums.withColumn("least", F.min(fits).over(every)["level"])
+    target = F.least(F.col("weight") * F.coalesce("least", F.lit(float("inf"))), F.col("cap").cast("double"))
+    return chosen.select("source", "source_size", "weight", target.alias("target"))
+
+
+def _copies(weight: Column, per: Column, most: int) -> tuple[Column, Column]:
+    """(certain copies, inclusion probability in units of 2**-20) of a document's weight, where one of weight 2**-20 is expected `per` times; null: the most."""
+    expected = F.coalesce(F.least(F.lit(float(most)), per * weight), F.lit(float(most)))
+    certain = F.greatest(F.ceil(expected) - 1, F.lit(0)).cast("long")
+    chance = F.least(F.floor((expected - certain) * UNIT), F.lit(UNIT - 1)).cast("long")
+    return certain, chance
+
+
+def _per_weight(kinds: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """(key, source_size, target, per): how many copies a weight of 2**-20 is expected to have; null where all have the most.
+
+    `kinds`: key, w, words. Documents of the largest weights reach `most` first; the rest share by weight.
     """
-    span = "array<struct<after:double,until:double,most:double>>"
-    now = pin(targets.select("source", F.col("open").cast("double").alias("room"), F.lit(-1.0).alias("after"), F.array().cast(span).alias("spans")))
-    while True:
-        open_ = now.where("after < 2").select("source", "room", "after")
-        fit = pin(_by_source(units, open_).where("q > after and size <= room").select("source", "q", "size", "words", "room", "after"))
-        most = fit.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-        if most <= WALK:
-            break
-        found = _cut(fit.select("source", "q", "words"), open_.select("source", "room")).select("source", "until", F.col("room").alias("left"))
-        # without a unit past the room, all that fit are taken
-        both = _by_source(_by_source(now, found, "left"), fit.groupBy("source").agg(F.sum("words").alias("all_words")), "left")
-        more = F.struct("after", F.coalesce("until", F.lit(2.0)).alias("until"), F.col("room").alias("most"))
-        grown = F.when(F.col("after") < 2, F.concat("spans", F.array(more))).otherwise(F.col("spans"))
-        left = F.coalesce("left", F.col("room") - F.coalesce("all_words", F.lit(0)))
-        now = pin(both.select("source", left.alias("room"), F.coalesce("until", F.lit(2.0)).alias("after"), grown.alias("spans")))
-    walked = fit.groupBy("source").applyInPandas(_walk, "source string, left double, after double, until double, most double")
-    last = pin(walked.groupBy("source").agg(F.min("left").alias("left"), F.collect_list(F.struct("after", "until", "most")).alias("more")))
-    now = pin(_by_source(now, last, "left").select("source", F.coalesce("left", "room").alias("room"), F.concat("spans", F.coalesce("more", F.array().cast(span))).alias("spans")))
-    return now.select("source", "room", "spans")
-
-
-def _taken(q: Column, size: Column, spans: str) -> Column:
-    return F.exists(spans, lambda s: (q > s["after"]) & (q < s["until"]) & (size <= s["most"]))
-
-
-def _extra(units: DataFrame, spans: DataFrame) -> DataFrame:
-    """(source, spans, extra): the q of the one of a source's rest whose words come closest to the room left, if closer than none."""
-    off = F.abs(F.col("room") - F.col("words"))
-    rest = _by_source(units, spans).where(~_taken(F.col("q"), F.col("size"), "spans") & (off < F.col("room")))
-    best = rest.groupBy("source").agg(F.min(F.struct(off.alias("off"), "q")).alias("best")).select("source", F.col("best.q").alias("extra"))
-    return _by_source(spans, best, "left").select("source", "spans", "extra")
-
-
-def _rank(u: Column, p: Column) -> Column:
+    order, every = W.partitionBy("key").orderBy(F.desc("w")), W.partitionBy("key")
+    weighed = F.col("w").cast("decimal(20,0)") * F.col("words").cast("decimal(17,0)")
+    sums = kinds.where("words > 0").groupBy("key", "w").agg(F.sum("words").alias("words")).withColumns({
+        "nth": F.row_number().over(order), "full": F.coalesce(F.sum("words").over(_before(order)), F.lit(0)),
+        "rest": (F.sum(weighed).over(every) - F.coalesce(F.sum(weighed).over(_before(order)), F.lit(0))).cast("double"),
+    })
+    per = (F.col("target") - most * F.col("full")) / F.col("rest")
+    fits = F.when(per * F.col("w") <= most, F.struct("nth", per.alias("per")))
+    found = sums.join(targets.select("key", "target"), "key").groupBy("key").agg(F.min(fits).alias("least"))
+    return targets.join(found, "key", "left").select("key", "source_size", "target", F.col("least.per").alias("per"))
+
+
+def _takes(kinds: DataFrame, per: DataFrame, most: int) -> DataFrame:
+    """(key, class, source_size, target, per, n_open, take): how many documents of a stratum get one copy more than is certain."""
+    whole, chance = _copies(F.col("w"), F.col("per"), most)
+    times = lambda a, b: F.sum(a.cast("decimal(20,0)") * b.cast("decimal(17,0)"))
+    chance = F.when(F.col("words") > 0, chance).otherwise(0)
+    rows = kinds.join(per, "key").withColumn("chance", chance).withColumn("spare", F.when(F.col("chance") > 0, UNIT - F.col("chance")).otherwise(0))
+    strata = rows.groupBy("key", "class").agg(
+        times(F.col("chance"), F.col("words")).cast("double").alias("words"), times(F.col("chance"), F.col("n")).cast("double").alias("expected"),
+        times(F.col("spare"), F.col("words")).alias("spare"), F.sum(F.when(F.col("chance") > 0, F.col("n")).otherwise(0)).alias("n_open"),
+    )
+    # what shorter strata can take beyond what is expected of them
+    later = F.coalesce(F.sum("spare").over(_before(W.partitionBy("key").orderBy("class"))), F.lit(0)).cast("double")
+    lists = strata.withColumn("later", later).groupBy("key").agg(F.sort_array(F.collect_list(F.struct((-F.col("class")).alias("order"), "words", "expected", "later", "n_open"))).alias("strata"))
+    kind = "array<struct<class:int,n_open:bigint,take:bigint>>"
+
+    def step(state: Column, s: Column) -> Column:
+        due, mean = state["carry"] + s["words"] / UNIT, F.when(s["expected"] > 0, s["words"] / s["expected"]).otherwise(1.0)
+        near = F.floor(due / mean + 0.5)
+        near = F.when(due - near * mean > s["later"] / UNIT, near + 1).otherwise(near)
+        take = F.greatest(F.lit(0).cast("long"), F.least(s["n_open"], near))
+        return F.struct((due - take * mean).alias("carry"), F.concat(state["out"], F.array(F.struct((-s["order"]).alias("class"), s["n_open"].alias("n_open"), take.alias("take"))).cast(kind)).alias("out"))
+
+    walked = F.aggregate("strata", F.struct(F.lit(0.0).alias("carry"), F.array().cast(kind).alias("out")), step, lambda state: state["out"])
+    return lists.select("key", F.explode(walked).alias("s")).select("key", "s.*").join(per, "key")
+
+
+def _rank(u: Column, chance: Column) -> Column:
     """The place in the Pareto order between 0 and 1: x / (1 + x) of the random odds over the inclusion odds; null where nothing is drawn."""
-    odds = u / (1 - u) / F.when(p > 0, p / (1 - p))
+    odds = u / (1 - u) / F.when(chance > 0, chance / (UNIT - chance))
     return odds / (1 + odds)
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 17, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Every row of `docs` with size, source_size, target, copies (0 to `most`) and taken = copies * size.
-
-    Size is the number of words; a null or empty text has 0 and adds nothing. Null is a source of its
-    own. Randomness hangs on seed, id and text, so reruns agree, and rows that repeat with id and text
-    share their fate. An empty table gives an empty result. Columns of `docs` that have the name of a
-    result column are replaced.
+def _cuts(units: DataFrame, takes: DataFrame) -> DataFrame:
+    """(key, class, until): units (key, class, q, n) with q < until are the first `take` of their stratum, where not all are."""
+    on = ["key", "class"]
+    partial = takes.where("take > 0 and take < n_open").select(*on, F.col("take").alias("room"), F.ceil(F.sqrt("n_open") / F.lit(float(_LAST_BIN**0.5))).cast("long").alias("bins"))
+    level, state = units.join(partial.select(*on, "bins"), on).withColumn("scale", F.col("bins")), partial.select(*on, "room")
+    for _ in range(2):
+        level = level.withColumn("bin", F.floor(F.col("q") * F.col("scale")).cast("long"))
+        sums = level.groupBy(*on, "bin").agg(F.sum("n").alias("n"))
+        run = sums.withColumn("upto", F.sum("n").over(W.partitionBy(*on).orderBy("bin"))).join(state, on)
+        state = pin_table(run.where("upto > room").groupBy(*on).agg(F.min("bin").alias("cut_bin"), F.min_by(F.col("room") - (F.col("upto") - F.col("n")), "bin").alias("room")), "mix_bins")
+        level = level.join(state.select(*on, "cut_bin"), on).where("bin = cut_bin").drop("bin", "cut_bin").withColumn("scale", F.col("bins") * F.col("bins"))
+        state = state.drop("cut_bin")
+    run = level.groupBy(*on, "q").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(W.partitionBy(*on).orderBy("q"))).join(state, on)
+    return run.where("upto > room").groupBy(*on).agg(F.min("q").alias("until"))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 17, id_col: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None, carry: list[str] | None = None) -> DataFrame:
+    """The columns `carry` (all, by default) of every row of `docs` with size, source_size, target, copies (0 to `most`) and taken = copies * size.
+
+    Size is the number of words; a null or empty text has 0, adds nothing and is taken 0 times. Null is
+    a source of its own. `weight` says how documents of a source share its target, by copies; null or
+    less than 2**-20 counts as 2**-20. Randomness hangs on seed, id and text, so reruns agree, and rows that repeat
+    with id and text share their fate. An empty table gives an empty result. Columns of `docs` that have the name of a
+    result column are replaced. With `carry`, texts are read once, else twice.
     """
-    docs = docs.drop("size", "source_size", "target", "copies", "taken")
-    rows = docs.withColumn("__src", F.col(source)).withColumn("size", word_count(text)).withColumn("__u", random_unit(seed, id_col, text))
-    narrow = pin(rows.groupBy(F.col("__src").alias("source"), F.col("__u").alias("u"), "size").agg(F.count("*").alias("n")).withColumn("words", F.col("n") * F.col("size")))
-    targets = source_targets(narrow.select("source", F.col("words").alias("size")), weights, share, most)
-    per = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = pin(targets.withColumn("certain", F.floor(per)).withColumn("p", per - F.floor(per)).withColumn("open", F.col("target") - F.col("certain") * F.col("source_size")))
-    units = pin(_by_source(narrow, targets.where("p > 0").select("source", "p")).select("source", _rank(F.col("u"), F.col("p")).alias("q"), "size", "words"))
-    cuts = _extra(units, _spans(units, targets.where("p > 0").select("source", "open")))
-    plan = pin(_by_source(targets, cuts, "left"))
-    plan = plan.select("source_size", "target", *[F.col(c).alias(f"__{c}") for c in ("source", "certain", "p", "spans", "extra")])
-    both = rows.join(plan, rows["__src"].eqNullSafe(plan["__source"]), "left")
-    own = _rank(F.col("__u"), F.col("__p"))
-    more = F.coalesce((F.col("__p") > 0) & (F.coalesce(_taken(own, F.col("size"), "__spans"), F.lit(False)) | F.coalesce(own == F.col("__extra"), F.lit(False))), F.lit(False))
-    out = both.withColumn("copies", (F.coalesce("__certain", F.lit(0)) + more.cast("long")).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("__src", "__u", "__source", "__certain", "__p", "__spans", "__extra")
+    kept = carry if carry is not None else [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    size = word_count(text)
+    of_text = docs.select(_key(F.col(source)).alias("__key"), F.col(source).cast("string").alias("__source"), size.alias("__size"), (F.lit(0.0) if weight is None else weight.cast("double")).alias("__own"), random_unit(seed, id_col, text).alias("__u"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(kept)])
+    of_text = of_text.withColumn("__class", stratum(F.col("__size"))).withColumn("__w", _whole_weight(F.coalesce("__own", F.lit(0.0)) if weight is not None else 1 / F.sqrt(F.sqrt(F.greatest("__size", F.lit(1)).cast("double"))))).drop("__own")
+    narrow = ["__key", "__source", "__size", "__u", "__class", "__w"]
+    rows = pin(of_text if carry is not None else of_text.select(*narrow))
+    kinds = pin_table(rows.groupBy(F.col("__key").alias("key"), F.col("__source").alias("source"), F.col("__class").alias("class"), F.col("__w").alias("w")).agg(F.count("*").alias("n"), F.sum("__size").alias("words")), "mix_kinds")
+    targets = source_targets(kinds.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most).withColumn("key", _key(F.col("source")))
+    takes = pin_table(_takes(kinds, _per_weight(kinds, targets, most), most), "mix_takes")
+    chance = _copies(F.col("__w"), F.col("per"), most)[1]
+    units = rows.where("__size > 0").join(takes.withColumnsRenamed({"key": "__key", "class": "__class"}), ["__key", "__class"]).select(F.col("__key").alias("key"), F.col("__class").alias("class"), _rank(F.col("__u"), chance).alias("q"))
+    units = units.where("q is not null").groupBy("key", "class", "q").agg(F.count("*").alias("n"))
+    cut = F.when(F.col("take") >= F.col("n_open"), F.lit(2.0)).when(F.col("take") == 0, F.lit(-1.0)).otherwise(F.coalesce("until", F.lit(2.0)))
+    plan = pin_table(takes.join(_cuts(units, takes), ["key", "class"], "left").select(F.col("key").alias("__key"), F.col("class").alias("__class"), "source_size", "target", F.col("per").alias("__per"), cut.alias("__until")), "mix_plan")
+    whole, chance = _copies(F.col("__w"), F.col("__per"), most)
+    both = (rows if carry is not None else of_text).join(plan, ["__key", "__class"], "left")
+    more = F.coalesce(_rank(F.col("__u"), chance) < F.col("__until"), F.lit(False)).cast("long")
+    copies = F.when(F.col("__size") > 0, whole + more).otherwise(F.lit(0)).cast("long")
+    return both.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(kept)], F.col("__size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("__size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:

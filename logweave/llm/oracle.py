@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from logweave.llm.mixing import UNIT
 from logweave.llm.quality_rules import BOILERPLATE, SEPARATORS, STOPS, SYMBOLS, Rules
 from logweave.llm.sharding import HASH_BITS, LIMIT
 
@@ -70,12 +71,12 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
 FROM marked GROUP BY doc_id
 """
 
-OP9 = r"""
-WITH docs AS (
+OP9 = rf"""
+WITH RECURSIVE docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
     ('0x' || substr(md5(concat_ws('|', '17', coalesce(doc_id::VARCHAR, ''), coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
   FROM documents),
-totals AS (SELECT source, sum(size) AS source_size FROM docs GROUP BY source),
+totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
 weighed AS (
   SELECT *, 2 * source_size AS cap, [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY source IS NULL, source)) - 1) % 3 + 1] AS weight FROM totals),
 running AS (
@@ -84,25 +85,43 @@ running AS (
   FROM weighed WINDOW before AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 levels AS (SELECT *, (1.5::DOUBLE * words - capped) / open_weight AS level FROM running),
 chosen AS (SELECT coalesce((SELECT arg_min(level, nth) FROM levels WHERE weight * level <= cap), 1e300) AS level),
-targets AS (
-  SELECT w.source, w.source_size, least(w.weight * c.level, w.cap::DOUBLE) AS target,
-    CASE WHEN w.source_size > 0 THEN least(w.weight * c.level, w.cap::DOUBLE) / w.source_size ELSE 0.0 END AS per
-  FROM weighed w, chosen c),
-opened AS (SELECT *, floor(per) AS certain, per - floor(per) AS p, target - floor(per) * source_size AS open FROM targets),
-ranked AS (
-  SELECT d.*, t.source_size, t.target, t.certain, t.p, t.open, CASE WHEN t.p > 0 THEN u / (1 - u) / (t.p / (1 - t.p)) END AS odds
-  FROM docs d JOIN opened t ON d.source IS NOT DISTINCT FROM t.source),
-placed AS (SELECT *, odds / (1 + odds) AS q FROM ranked),
-cut AS (SELECT *, p > 0 AND sum(size) OVER (PARTITION BY source ORDER BY q) <= open AS inside FROM placed),
-gaps AS (SELECT *, open - coalesce(sum(size) FILTER (WHERE inside) OVER (PARTITION BY source), 0) AS gap1 FROM cut),
-best1 AS (SELECT source, min({'off': abs(gap1 - size), 'q': q, 'size': size}) AS b FROM gaps WHERE p > 0 AND NOT inside AND abs(gap1 - size) < gap1 GROUP BY source),
-gaps2 AS (SELECT g.*, b.b.q AS q1, g.gap1 - coalesce(b.b.size, 0) AS gap2 FROM gaps g LEFT JOIN best1 b ON g.source IS NOT DISTINCT FROM b.source),
-best2 AS (SELECT source, min({'off': abs(gap2 - size), 'q': q, 'size': size}) AS b FROM gaps2 WHERE p > 0 AND NOT inside AND q IS DISTINCT FROM q1 AND abs(gap2 - size) < gap2 GROUP BY source),
-gaps3 AS (SELECT g.*, b.b.q AS q2, g.gap2 - coalesce(b.b.size, 0) AS gap3 FROM gaps2 g LEFT JOIN best2 b ON g.source IS NOT DISTINCT FROM b.source),
-best3 AS (
-  SELECT source, min({'off': abs(gap3 - size), 'q': q, 'size': size}) AS b FROM gaps3
-  WHERE p > 0 AND NOT inside AND q IS DISTINCT FROM q1 AND q IS DISTINCT FROM q2 AND abs(gap3 - size) < gap3 GROUP BY source)
-SELECT g.doc_id, g.size::BIGINT AS size, g.source_size::BIGINT AS source_size, g.target,
-  (g.size * (g.certain + CASE WHEN g.p > 0 AND (g.inside OR g.q = g.q1 OR g.q = g.q2 OR g.q = b.b.q) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM gaps3 g LEFT JOIN best3 b ON g.source IS NOT DISTINCT FROM b.source
+targets AS (SELECT coalesce('=' || w.source, '') AS key, w.source_size, least(w.weight * c.level, w.cap::DOUBLE) AS target FROM weighed w, chosen c),
+sized AS (
+  SELECT doc_id, coalesce('=' || source, '') AS key, size, u, length(bin(size)) - 1 AS octave, greatest(floor(1 / sqrt(sqrt(greatest(size, 1)::DOUBLE)) * {UNIT}), 1)::BIGINT AS units FROM docs),
+classed AS (
+  SELECT *, CASE WHEN size > 0 THEN octave * 8 + (size >> greatest(octave - 3, 0)::INT) % 8 + 1 ELSE 0 END AS class,
+    (units >> greatest(length(bin(units)) - 12, 0)::INT) << greatest(length(bin(units)) - 12, 0)::INT AS w
+  FROM sized),
+kinds AS (SELECT key, class, w, count(*) AS n, sum(size)::BIGINT AS words FROM classed GROUP BY ALL),
+by_weight AS (SELECT key, w, sum(words)::BIGINT AS words FROM kinds WHERE words > 0 GROUP BY ALL),
+shared AS (
+  SELECT key, w, row_number() OVER (PARTITION BY key ORDER BY w DESC) AS nth, coalesce(sum(words) OVER before, 0) AS capped,
+    (sum(w::HUGEINT * words) OVER (PARTITION BY key) - coalesce(sum(w::HUGEINT * words) OVER before, 0))::DOUBLE AS rest
+  FROM by_weight WINDOW before AS (PARTITION BY key ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levelled AS (SELECT s.*, (t.target - 2 * s.capped) / s.rest AS per FROM shared s JOIN targets t USING (key)),
+per AS (SELECT t.*, l.per FROM targets t LEFT JOIN (SELECT key, arg_min(per, nth) AS per FROM levelled WHERE per * w <= 2 GROUP BY key) l USING (key)),
+expected AS (SELECT k.*, p.source_size, p.target, coalesce(least(2.0, p.per * k.w), 2.0) AS copies FROM kinds k JOIN per p USING (key)),
+chances AS (
+  SELECT *, greatest(ceil(copies) - 1, 0)::BIGINT AS certain, CASE WHEN words > 0 THEN least(floor((copies - greatest(ceil(copies) - 1, 0)) * {UNIT}), {UNIT - 1})::BIGINT ELSE 0 END AS chance FROM expected),
+strata AS (
+  SELECT key, class, sum(chance::HUGEINT * words)::DOUBLE AS words, sum(chance::HUGEINT * n)::DOUBLE AS expected, sum(CASE WHEN chance > 0 THEN ({UNIT} - chance)::HUGEINT * words ELSE 0 END) AS spare,
+    sum(CASE WHEN chance > 0 THEN n ELSE 0 END)::BIGINT AS n_open
+  FROM chances GROUP BY ALL),
+steps AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY class DESC) AS step, CASE WHEN expected > 0 THEN words / expected ELSE 1.0 END AS mean,
+    coalesce(sum(spare) OVER (PARTITION BY key ORDER BY class ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS later
+  FROM strata),
+walk AS (
+  SELECT key, 0::BIGINT AS step, 0 AS class, 0::BIGINT AS take, 0.0::DOUBLE AS carry FROM per
+  UNION ALL
+  SELECT key, step, class, take, due - take * mean FROM (
+    SELECT *, greatest(0, least(n_open, near + CASE WHEN due - near * mean > later / {UNIT} THEN 1 ELSE 0 END))::BIGINT AS take FROM (
+      SELECT s.*, w.carry + s.words / {UNIT} AS due, floor((w.carry + s.words / {UNIT}) / s.mean + 0.5) AS near FROM walk w JOIN steps s ON s.key = w.key AND s.step = w.step + 1))),
+drawn AS (
+  SELECT d.doc_id, d.size, d.key, d.class, c.source_size, c.target, c.certain, CASE WHEN d.size > 0 AND c.chance > 0 THEN d.u / (1 - d.u) / (c.chance / ({UNIT} - c.chance)) END AS odds
+  FROM classed d JOIN chances c ON d.key = c.key AND d.class = c.class AND d.w = c.w),
+ranked AS (SELECT *, odds / (1 + odds) AS q FROM drawn),
+placed AS (SELECT *, CASE WHEN q IS NOT NULL THEN count(*) OVER (PARTITION BY key, class, q IS NULL ORDER BY q) END AS place FROM ranked)
+SELECT p.doc_id, p.size::BIGINT AS size, p.source_size::BIGINT AS source_size, p.target, (p.size * (p.certain + CASE WHEN p.place <= w.take THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM placed p JOIN walk w ON w.key = p.key AND w.class = p.class AND w.step > 0
 """

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logweave.llm.arrow import small
 from logweave.llm.token_counts import batched_ids, vocabulary_path
 from logweave.operators.pinning import pin
 
@@ -208,7 +209,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], np.uint32)
-        for b in batches:
+        for b in small(batches):
             own, rows = b.column(1).to_pylist(), []
             for i, group in groupby(batched_ids(b.column(0).to_pylist(), path), key=lambda x: x[0]):
                 rows += [(own[i], *p) for p in pieces(np.concatenate([*(ids for _, ids in group), end]))]

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.llm.arrow import small
 from logweave.llm.words import SPACES
 
 SYMBOLS = "#*$%&|<>"
@@ -134,7 +135,7 @@ def quality_rules(docs: DataFrame, text: str | Column = "text", rules: Rules = R
     rest = [f for f in base.schema.fields if f.name != "__text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = [judge(t, rules) for t in batch.column(0).to_pylist()]
             columns = list(zip(*rows, strict=True)) or [()] * len(FIELDS)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(c, k) for c, (_, k) in zip(columns, fields, strict=False))], [f.name for f in rest] + names)

@@ -13,18 +13,17 @@ that can hold its neighbours. Only links that join a shard's groups leave it, at
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logweave.llm.arrow import utf8
+from logweave.llm.arrow import small, utf8
 from logweave.operators.components import components
-from logweave.operators.pinning import pin
+from logweave.operators.pinning import pin, pin_table
 
 BITS = 64
 SHARD_LIMIT = 256
@@ -43,16 +42,18 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(h)).view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str | Column = "doc_id", text: str | Column = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint's 64 bits as a long. Texts without words, null ones too, have fingerprint 0."""
-    base = docs.select((id_col if isinstance(id_col, Column) else F.col(id_col)).cast("long").alias("doc_id"), (text if isinstance(text, Column) else F.col(text)).cast("string").alias("__text"))
+def fingerprints(docs: DataFrame, id_col: str | Column = "doc_id", text: str | Column = "text", shingle: int = 3, seed: int = 42, also: Column | None = None) -> DataFrame:
+    """(doc_id, fp, and the long `also`, if given): the fingerprint's 64 bits as a long. Texts without words, null ones too, have fingerprint 0."""
+    own = [(id_col if isinstance(id_col, Column) else F.col(id_col)).cast("long").alias("doc_id")] + ([] if also is None else [also])
+    base = docs.select((text if isinstance(text, Column) else F.col(text)).cast("string").alias("__text"), *own)
+    names = [f.name for f in base.schema.fields[1:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = np.fromiter((fingerprint(t, shingle, seed) for t in utf8(b.column(1))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        for b in small(batches):
+            found = np.fromiter((fingerprint(t, shingle, seed) for t in utf8(b.column(0))), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(found.view(np.int64))], [*names, "fp"])
 
-    return base.mapInArrow(run, "doc_id bigint, fp bigint")
+    return base.mapInArrow(run, ", ".join([f"`{n}` bigint" for n in [*names, "fp"]]))
 
 
 class BKTree:
@@ -177,30 +178,37 @@ def simhash_groups(docs: DataFrame, id_col: str | Column = "doc_id", text: str |
     return by_doc.join(_grouped(by_doc, radius), "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, best: DataFrame, key_of: Callable[[bytes | None], int], id_col: str, text: str) -> DataFrame:
-    """A row of `docs` for each row (__id, __key) of `best`: one with that id whose text has that key."""
-    names = docs.columns
-    again = docs.select("*", F.col(text).cast("string").alias("__text"))
-    rest = again.schema.fields
+def text_hash(text: str) -> Column:
+    """What stands for a text, beside its row's id, so that a row is found again without its text."""
+    return F.xxhash64(F.col(text).cast("string"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = np.fromiter((key_of(t) for t in utf8(b.column(len(rest) - 1))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found.view(np.int64))], [*names, "__own"])
 
-    whole = again.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest[:-1]] + ["__own bigint"]))
-    kept = whole.join(best.hint("shuffle_hash"), (F.col("__own") == F.col("__key")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
-    # rows that repeat id and key are dealt out by both, so a window over them has few rows each, unless rows repeat as a whole
-    first = F.row_number().over(W.partitionBy("__own", id_col).orderBy(F.xxhash64(text)))
-    return kept.withColumn("__n", first).where("__n = 1").select(*names)
+def kept_rows(docs: DataFrame, rows: DataFrame, kept: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The rows of `docs` whose id and text are in `kept` (id, hash), one of those that repeat with both.
+
+    `rows` (id, hash) has all of them, pinned. What goes is usually little, and a table of known size,
+    so Spark broadcasts it under its own bound; beyond that, rows meet it by their hash.
+    """
+    same = lambda a, b: a["__id"].eqNullSafe(b["id"]) & (a["__hash"] == b["hash"])
+    chosen = kept.select(F.col("id").alias("__kid"), F.col("hash").alias("__khash"))
+    counted = rows.groupBy("id", "hash").agg(F.count("*").alias("n"))
+    decided = counted.join(chosen, F.col("id").eqNullSafe(F.col("__kid")) & (F.col("hash") == F.col("__khash")), "left").select("id", "hash", "n", F.col("__khash").isNotNull().alias("keep"))
+    special = pin_table(decided.where("not keep or n > 1"), "not_once")
+    own = docs.select("*", F.col(id_col).cast("long").alias("__id"), text_hash(text).alias("__hash"))
+    out = own.join(special, same(own, special), "left_anti")
+    repeated = special.where("keep")
+    if not repeated.isEmpty():
+        out = out.unionByName(own.join(repeated, same(own, repeated), "left_semi").dropDuplicates(["__id", "__hash"]))
+    return out.drop("__id", "__hash")
 
 
 def near_distinct(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
     """One row of `docs` from each group of near-duplicates: one with the smallest doc_id.
 
-    Where rows share that id and the group, which of them stays is settled by their texts' hashes and
-    then arbitrary. Groups whose rows have no id keep one too. Null and empty texts are one group.
+    Where rows share that id and the group, which of them stays is settled by their fingerprints and
+    texts' hashes, then arbitrary. Groups whose rows have no id keep one too. Null and empty texts are one group.
     """
-    hashed = pin(fingerprints(docs, id_col, text, shingle, seed))
-    best = _grouped(hashed, radius).where("fp = first_fp").select(F.col("component_id").alias("__id"), F.col("fp").alias("__key"))
-    return one_of_each(docs, best, lambda t: fingerprint(t, shingle, seed), id_col, text)
+    hashed = pin(fingerprints(docs, id_col, text, shingle, seed, also=text_hash(text).alias("hash")).withColumnRenamed("doc_id", "id"))
+    best = _grouped(hashed.withColumnRenamed("id", "doc_id"), radius).where("fp = first_fp").select(F.col("component_id").alias("__best"), F.col("fp").alias("__fp"))
+    found = hashed.join(best, (F.col("fp") == F.col("__fp")) & F.col("id").eqNullSafe(F.col("__best")))
+    return kept_rows(docs, hashed.select("id", "hash"), found.groupBy("__fp").agg(F.min(F.struct("hash", "id")).alias("one")).select("one.id", "one.hash"), id_col, text)

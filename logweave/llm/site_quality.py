@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.arrow import utf8
+from logweave.llm.arrow import small, utf8
 from logweave.llm.sampling import hash_sample
 from logweave.operators.pinning import pin
 
@@ -49,7 +49,7 @@ def features(docs: DataFrame, text: str, carry: list[Column]) -> DataFrame:
     rest = base.schema.fields[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             found = np.array([text_features(t) for t in utf8(b.column(0))], np.float64).reshape(-1)
             values = pa.FixedSizeListArray.from_arrays(pa.array(found), len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], values], [f.name for f in rest] + ["features"])

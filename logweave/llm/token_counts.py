@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.arrow import slices_by_bytes
+from logweave.llm.arrow import slices_by_bytes, small
 
 #: A special token of the byte-level vocabulary; its string in a text is that token, as by the library's default.
 SPECIAL = {"<|endoftext|>": 50256}
@@ -100,7 +100,7 @@ def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
     rest = [f for f in base.schema.fields if f.name != "__text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             counts = np.zeros(batch.num_rows, np.int64)
             for i, ids in batched_ids(batch.column(0).to_pylist(), path):
                 counts[i] += len(ids)
