@@ -5,28 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What an address and a path look like.
 IP = r"(?:\d{1,3}\.){3}\d{1,3}"
 WHOLE_IP = rf"^{IP}$"
 PATH = r"(?:[A-Za-z]:\\|/)[^\s,;]+"
 
-# What is masked, in this order. A number stays if it follows one of four keys.
+# What is masked, in this order, and the keys whose numbers stay.
 # Each begins with a look ahead, so that most places fail before the costlier looks behind.
 _MASKS = (
     (r"(?U)(?=\d)(?<![A-Za-z0-9])(?:\d{1,3}\.){3}\d{1,3}(?![A-Za-z0-9])", "<IP>"),
     (r"(?iU)(?=[0-9a-f]{8}-)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<UUID>"),
     (r"(?iU)(?=0x)\b0x[0-9a-f]{6,}\b", "<HEX>"),
-    (r"(?U)(?=\d)(?<![A-Za-z_])(?<!(?i:eventid|status|result|action)=\d{0,64})\d+(?![A-Za-z_])", "<NUM>"),
 )
+_NUMBER = r"(?U)(?=\d)(?<![A-Za-z_])\d+(?![A-Za-z_])"
+_KEPT = r"(?iU)(?<=(?:eventid|status|result|action)=)(?=\d)"
 
 
 def mask(message: Column) -> Column:
     """The message with addresses, UUIDs, long hex numbers and other numbers replaced by placeholders.
 
-    Numbers right after eventid=, status=, result= or action= stay, in any case.
+    Numbers right after eventid=, status=, result= or action= stay, in any case, however long: a message
+    that has one is cut there, and each piece but the first keeps the digits that it begins with.
     """
     for pattern, to in _MASKS:
         message = F.regexp_replace(message, pattern, to)
-    return message
+    numbers = lambda text: F.regexp_replace(text, _NUMBER, "<NUM>")
+
+    def after_key(piece: Column) -> Column:
+        kept = F.regexp_extract(piece, r"(?U)^\d+", 0)
+        return F.concat(kept, numbers(F.substring(piece, F.length(kept) + 1, F.length(piece))))
+
+    pieces = F.split(message, _KEPT)
+    cut = F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, numbers(p)).otherwise(after_key(p))), "")
+    return F.when(F.regexp_like(message, F.lit(_KEPT)), cut).otherwise(numbers(message))
 
 
 def squeezed(text: Column) -> Column:

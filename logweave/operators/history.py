@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logweave.operators.numbering import dense_position
 from logweave.operators.parse import event_order
 
 
@@ -13,7 +16,8 @@ def causal_history(events: DataFrame, by: list[str], keep: list[str], last: int
     """Adds history_size (of all earlier events of the same `by`) and history, the last `last` of them as structs of `keep`, oldest first.
 
     Without `last` the whole history of each event is kept, which grows with the square of a group: for
-    small groups, or tests. A group is ordered in one task, so `by` should name an actor, not a dataset.
+    small groups, or tests. A group is ordered in one task, so `by` should name an actor; for a whole
+    dataset there is ranged_history.
     """
     order = order or event_order()
     before = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding if last is None else -last, -1)
@@ -21,6 +25,26 @@ def causal_history(events: DataFrame, by: list[str], keep: list[str], last: int
     return events.withColumn("history_size", F.row_number().over(seen).cast("long") - 1).withColumn("history", F.collect_list(F.struct(*keep)).over(before))
 
 
+def ranged_history(events: DataFrame, by: list[str], keep: list[str], last: int, order: list | None = None, block: int = 4096) -> DataFrame:
+    """As causal_history, for groups of any size: no group is ordered in one task.
+
+    Events are numbered through range partitions and cut into blocks of their group; each block also
+    sees the last `last` events of the one before.
+    """
+    order, size = order or event_order(), max(block, last)
+    placed = dense_position(events, [*by, *order], "__at")
+    first = placed.groupBy(*by).agg(F.min("__at").alias("__first"))
+    named = first.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], "__first")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by)])
+    own = placed.join(named, same).withColumn("history_size", F.col("__at") - F.col("__first"))
+    inside = F.pmod("history_size", F.lit(size))
+    blocks = F.when(inside >= size - last, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    seen = own.withColumn("__ahead", F.explode(blocks)).withColumn("__block", F.floor(F.col("history_size") / size) + F.col("__ahead"))
+    before = W.partitionBy(*by, "__block").orderBy("history_size").rowsBetween(-last, -1)
+    out = seen.withColumn("history", F.collect_list(F.struct(*keep)).over(before)).where("__ahead = 0")
+    return out.select(*events.columns, "history_size", "history")
+
+
 def history_before(events: DataFrame, current_id: str) -> DataFrame:
     """The events of the current one's dataset that come before it in the total order."""
     names = ["__ts", "source_file", "source_line", "record_id"]
@@ -39,15 +63,6 @@ def all_but(frames: DataFrame, current_id: str) -> DataFrame:
     return frames.where(~F.col("record_id").eqNullSafe(F.lit(current_id)))
 
 
-def causal_theta(events: DataFrame, by: list[str], order: list | None = None) -> DataFrame:
-    """(record_id, history_size) by a join on the order: the same as causal_history, of quadratic cost. A check for small data."""
-    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order or event_order())])
-    a = events.select(*by, F.col("record_id"), key.alias("ka"))
-    b = events.select(*by, key.alias("kb"))
-    pairs = a.join(b, by).where("kb < ka").groupBy("record_id").agg(F.count("*").alias("n"))
-    return a.join(pairs, "record_id", "left").select("record_id", F.coalesce("n", F.lit(0)).alias("history_size"))
-
-
 def leaks(batches: DataFrame) -> DataFrame:
     """Rows of causal batches (record_id, history, graph_nodes, graph_edges) whose own event is in their past, with a reason.
 

@@ -7,6 +7,7 @@ Windows meet through an equi-join on anchors, never all with all.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logweave.functions.scores import decays, sigmoid
@@ -42,11 +43,11 @@ def _seconds(a: str, b: str) -> Column:
     return F.greatest(F.col(b).cast("double") - F.col(a).cast("double"), F.lit(0.0))
 
 
-def window_links(entities: DataFrame, max_gap_seconds: float | None = None) -> DataFrame:
+def window_links(entities: DataFrame, max_gap_seconds: float | None) -> DataFrame:
     """(source_window, target_window, anchors, anchor_strength, n_strong, n_medium, delta_seconds) from (window_id, window_start, entity_type, value).
 
-    Without a bound on the gap, an anchor of n windows gives n² / 2 pairs, which is what it means; with
-    one, pairs grow with the density in time.
+    Pairs grow with the density in time of an anchor's windows. A gap of None has no bound: an anchor of n
+    windows then gives n² / 2 pairs, which only small data can bear.
     """
     useful = entities.where(F.col("entity_type").isin(*STRONG, *MEDIUM))
     strong = F.col("entity_type").isin(*STRONG)
@@ -58,10 +59,23 @@ def window_links(entities: DataFrame, max_gap_seconds: float | None = None) -> D
     return found.select("source_window", "target_window", "anchors", strength.alias("anchor_strength"), "n_strong", "n_medium", _seconds("source_start", "target_start").alias("delta_seconds"))
 
 
-def window_pairs(entities: DataFrame, max_gap_seconds: float | None = None) -> DataFrame:
+def anchor_chains(entities: DataFrame, max_gap_seconds: float) -> DataFrame:
+    """(source_window, target_window): each anchor's windows in order of time, each linked to the next one if the gap fits.
+
+    Two windows of an anchor within the gap have only such gaps between them, so the chains connect
+    exactly what window_links connects, with one row a window instead of all pairs.
+    """
+    order = W.partitionBy("entity_type", "value").orderBy("window_start", "window_id")
+    before = lambda c: F.lag(c).over(order)
+    useful = entities.where(F.col("entity_type").isin(*STRONG, *MEDIUM)).select("entity_type", "value", "window_start", "window_id").distinct()
+    gap = F.col("window_start").cast("double") - F.col("before_start").cast("double")
+    return useful.select(before("window_id").alias("source_window"), F.col("window_id").alias("target_window"), before("window_start").alias("before_start"), "window_start").where(gap <= max_gap_seconds).select("source_window", "target_window")
+
+
+def window_pairs(entities: DataFrame, max_gap_seconds: float | None) -> DataFrame:
     """(source_window, target_window, shared_strong_entities, shared_ip_entities, candidate, rejected_reason): pairs that share anything.
 
-    Here a user, host or process matches any of these by its text alone. A pair with only addresses in
+    The gap is as in window_links. Here a user, host or process matches any of these by its text alone. A pair with only addresses in
     common is rejected as ip_only_anchor.
     """
     strong = _pairs(entities.where(F.col("entity_type").isin(*STRONG, *MEDIUM)).withColumn("entity_type", F.lit("strong")).distinct(), ["value"], max_gap_seconds)
@@ -72,15 +86,6 @@ def window_pairs(entities: DataFrame, max_gap_seconds: float | None = None) -> D
     return out.withColumn("rejected_reason", F.when(~F.col("candidate"), "ip_only_anchor"))
 
 
-def all_pairs_links(entities: DataFrame) -> DataFrame:
-    """(source_window, target_window, n_strong, n_medium) by comparing every window with every other: the definition, for checks on small data."""
-    sets = entities.groupBy("window_id", "window_start").agg(*[F.collect_set(F.when(F.col("entity_type").isin(*kinds), F.concat_ws(":", "entity_type", "value"))).alias(n) for n, kinds in (("strong", STRONG), ("medium", MEDIUM))])
-    a, b = sets.alias("a"), sets.alias("b")
-    both = a.join(b, F.struct("a.window_start", "a.window_id") < F.struct("b.window_start", "b.window_id"))
-    out = both.select(F.col("a.window_id").alias("source_window"), F.col("b.window_id").alias("target_window"), F.size(F.array_intersect("a.strong", "b.strong")).alias("n_strong"), F.size(F.array_intersect("a.medium", "b.medium")).alias("n_medium"))
-    return out.where("n_strong + n_medium > 0")
-
-
 def entity_rarity(entities: DataFrame) -> DataFrame:
     """(value, rarity): log of windows over the windows that have the value."""
     total = entities.agg(F.countDistinct("window_id").alias("n"))

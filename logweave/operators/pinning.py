@@ -8,29 +8,42 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one is set only where none is configured."""
+    """The session's checkpoint folder. Where none is configured a temporary one serves a local session; a cluster's executors couldn't see it."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if not found:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
         found = sc.getCheckpointDir()
     return found
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """`df`, computed once and read back from reliable storage. For narrow rows: it is not compressed."""
+    """`df`, computed once and read back from reliable storage. For narrow rows: it is not compressed.
+
+    Spark removes such files when spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
+    return path
 
 
 def pin_table(df: DataFrame, name: str) -> DataFrame:
@@ -38,3 +51,22 @@ def pin_table(df: DataFrame, name: str) -> DataFrame:
     path = new_table_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared storage, if it is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is pinned as a table inside is deleted at its end. Results that are still to be read must be written elsewhere by then."""
+    mine: list[str] = []
+    _scopes.append(mine)
+    try:
+        yield
+    finally:
+        _scopes.remove(mine)
+        for path in mine:
+            remove_path(spark, path)

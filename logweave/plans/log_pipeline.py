@@ -36,9 +36,11 @@ class LogRun:
     features: DataFrame
 
 
-def run_log_pipeline(spark: SparkSession, path: str, dataset_id: str, dim: int = 32, last: int | None = 64, whole_files: bool = False) -> LogRun:
+def run_log_pipeline(spark: SparkSession, path: str, dataset_id: str, dim: int = 32, last: int = 64, whole_files: bool = False, max_gap_seconds: float = 86_400.0) -> LogRun:
     """Reads lines that begin with a time; cut points that feed several outputs are written once.
 
+    Windows further apart than `max_gap_seconds` aren't paired; queues join them through those between.
+
     Embeddings are bytes of a frame's fields and the event logit is that of its confidence: stand-ins for
     a trained model's, which join_features takes in their place.
     """
@@ -49,22 +51,22 @@ def run_log_pipeline(spark: SparkSession, path: str, dataset_id: str, dim: int =
     frames = pin_table(frames, "frames")
     found = pin_table(entities.mention_entities(frames), "mentions")
     nodes, edges = graph.strict_graph(frames, entities.links_of(found))
-    histories = history.causal_history(frames, ["dataset_id"], ["record_id"], last)
+    histories = history.ranged_history(frames, ["dataset_id"], ["record_id"], last)
     long = found.select(F.col("event_id").alias("record_id"), "raw_value", "role")
     scored = frames.withColumn("logit", F.log(F.col("semantic_confidence") / (1 - F.col("semantic_confidence"))))
     vectors = scored.select("record_id", byte_vector(serialized(F.col("roles")), dim).alias("vector"))
     micro, macro = (pin_table(windows.window_table(scored, long, m, score="logit", vectors=vectors, dim=dim), "windows") for m in (windows.MICRO, windows.MACRO))
     anchors = pin_table(windows.window_entities(frames, long, windows.MICRO), "anchors")
-    pairs = links.window_pairs(anchors)
+    pairs = links.window_pairs(anchors, max_gap_seconds)
     sides = micro.select("window_id", "actions", F.col("event_ids").alias("path_nodes"), F.col("embedding").alias("graph_embedding"))
-    linked = pin_table(links.default_link_score(links.link_evidence(links.window_links(anchors), sides)), "links")
+    linked = pin_table(links.default_link_score(links.link_evidence(links.window_links(anchors, max_gap_seconds), sides)), "links")
     by_event = lambda w, m: links.scores_by_event(w, windows.window_events(frames, m)).select(F.lit(dataset_id).alias("dataset_id"), F.col("event_id").alias("record_id"), "score")
     outputs = scored.select("dataset_id", "record_id").join(vectors, "record_id").join(scored.select("record_id", "logit"), "record_id").select("dataset_id", "record_id", F.col("vector").alias("event_embedding"), F.col("logit").alias("raw_event_logit"), F.lit(0.0).alias("slot_nll"))
     summary = entities.event_summary(found).select("dataset_id", F.col("event_id").alias("record_id"), F.create_map(F.lit("entity_count"), F.col("entity_count").cast("string"), F.lit("entity_types"), F.array_join("entity_types", ",")).alias("entity_summary"))
     score = graph.graph_summary(nodes, edges).select("score")
     graphs = frames.select("dataset_id", "record_id").join(score, F.lit(True)).select("dataset_id", "record_id", F.lit(None).cast("array<double>").alias("graph_embedding"), F.col("score").alias("graph_score"))
     table = features.join_features(frames, outputs, by_event(micro, windows.MICRO), by_event(macro, windows.MACRO), summary, graphs)
-    return LogRun(raw, parses, bad, frames, found, entities.entities_of(found), nodes, edges, histories, micro, macro, pairs, linked, links.attack_queues(links.above(linked, 0.0)), table)
+    return LogRun(raw, parses, bad, frames, found, entities.entities_of(found), nodes, edges, histories, micro, macro, pairs, linked, links.attack_queues(links.anchor_chains(anchors, max_gap_seconds)), table)
 
 
 def preprocess(raw: DataFrame) -> dict[str, DataFrame]:

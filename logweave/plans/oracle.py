@@ -190,10 +190,14 @@ WITH w AS (SELECT {_start(30)} AS start, embedding FROM events JOIN embeddings O
 SELECT {_window(30)} AS window_id, round(avg(embedding[1]::DOUBLE), 5) AS first, round(avg(embedding[64]::DOUBLE), 5) AS last, 0.0::DOUBLE AS padding FROM w GROUP BY start"""
 
 # error windows by user, and their links within a day
-LINKS = f"""u AS (SELECT DISTINCT {_window(5)} AS id, start, value FROM (SELECT {_start(5)} AS start, user_id::VARCHAR AS value FROM events WHERE event_type = 'error')),
+def _links(where: str, gap: int) -> str:
+    return f"""u AS (SELECT DISTINCT {_window(5)} AS id, start, value FROM (SELECT {_start(5)} AS start, user_id::VARCHAR AS value FROM events WHERE {where})),
 l AS (
   SELECT a.id AS source_window, b.id AS target_window, list(DISTINCT a.value ORDER BY a.value) AS anchors, any_value(epoch(b.start) - epoch(a.start)) AS delta
-  FROM u a JOIN u b ON a.value = b.value AND (a.start, a.id) < (b.start, b.id) AND epoch(b.start) - epoch(a.start) <= 86400 GROUP BY a.id, b.id)"""
+  FROM u a JOIN u b ON a.value = b.value AND (a.start, a.id) < (b.start, b.id) AND epoch(b.start) - epoch(a.start) <= {gap} GROUP BY a.id, b.id)"""
+
+
+LINKS, ALL = _links("event_type = 'error'", 86400), _links("TRUE", 3600)
 SQL["window_links"] = f"WITH {LINKS} SELECT source_window, target_window, array_to_string(anchors, ',') AS anchors, 'strong' AS anchor_strength, delta::BIGINT AS delta_seconds FROM l"
 SQL["stream_live_links"] = f"WITH {LINKS} SELECT source_window, target_window FROM l"
 SQL["ip_only_rejections"] = f"""
@@ -214,20 +218,22 @@ WITH RECURSIVE {QUEUES}
 SELECT queue_id, count(DISTINCT u.id) AS windows, count(DISTINCT u.value) AS users, strftime(min(start), '%Y-%m-%d %H:%M:%S') AS first_start, strftime(max(start), '%Y-%m-%d %H:%M:%S') AS last_start
 FROM named n JOIN u ON u.id = n.id GROUP BY queue_id"""
 SQL["link_evidence"] = f"""
-WITH {LINKS},
-w AS (SELECT {_window(5)} AS id, list(DISTINCT json_extract_string(props, '$.k')) AS path, [count(*)::DOUBLE, sum(value)] AS g FROM (SELECT *, {_start(5)} AS start FROM events WHERE event_type = 'error') GROUP BY start),
+WITH {ALL},
+w AS (
+  SELECT {_window(5)} AS id, list(DISTINCT json_extract_string(props, '$.k')) AS path, list(DISTINCT event_type) AS acts, [count(*)::DOUBLE, sum(value)] AS g
+  FROM (SELECT *, {_start(5)} AS start FROM events) GROUP BY start),
 n AS (SELECT count(DISTINCT id) AS n FROM u), r AS (SELECT value, ln(any_value(n)::DOUBLE / count(DISTINCT id)) AS rarity FROM u, n GROUP BY value),
 s AS (SELECT source_window, target_window, avg(rarity) AS stable_rarity FROM (SELECT source_window, target_window, unnest(anchors) AS value FROM l) JOIN r USING (value) GROUP BY 1, 2),
 x AS (
-  SELECT l.source_window, l.target_window, len(anchors)::DOUBLE AS anchor_score, stable_rarity, 1.0::DOUBLE AS action_compatibility, len(list_intersect(a.path, b.path))::DOUBLE / len(list_distinct(list_concat(a.path, b.path))) AS path_coherence,
+  SELECT l.source_window, l.target_window, len(anchors)::DOUBLE AS anchor_score, stable_rarity, list_has_any(a.acts, b.acts)::INT::DOUBLE AS action_compatibility, len(list_intersect(a.path, b.path))::DOUBLE / len(list_distinct(list_concat(a.path, b.path))) AS path_coherence,
     list_dot_product(a.g, b.g) / (sqrt(list_dot_product(a.g, a.g)) * sqrt(list_dot_product(b.g, b.g))) AS graph_cosine, delta
   FROM l JOIN w a ON a.id = l.source_window JOIN w b ON b.id = l.target_window JOIN s USING (source_window, target_window))
 SELECT source_window, target_window, anchor_score, round(stable_rarity, 6) AS stable_rarity, action_compatibility, round(path_coherence, 6) AS path_coherence, round(graph_cosine, 6) AS graph_cosine,
   round(1 / (1 + exp(-(-1.0 + anchor_score + 0.5 * (action_compatibility + path_coherence + graph_cosine) + exp(-delta / 3600.0 / 6)))), 6) AS score
 FROM x"""
-SQL["entity_memory"] = f"WITH {LINKS} SELECT 'user' AS entity_type, value, count(*) AS n, string_agg(id, ',' ORDER BY start, id) AS windows FROM u GROUP BY value"
-SQL["entity_rarity"] = f"WITH {LINKS}, n AS (SELECT count(DISTINCT id) AS n FROM u) SELECT value, round(ln(any_value(n)::DOUBLE / count(DISTINCT id)), 9) AS rarity FROM u, n GROUP BY value"
-SQL["suspicious_values"] = f"WITH {LINKS} SELECT DISTINCT value FROM u"
+SQL["entity_memory"] = f"WITH {ALL} SELECT 'user' AS entity_type, value, count(*) AS n, string_agg(id, ',' ORDER BY start, id) AS windows FROM u GROUP BY value"
+SQL["entity_rarity"] = f"WITH {ALL}, n AS (SELECT count(DISTINCT id) AS n FROM u) SELECT value, round(ln(any_value(n)::DOUBLE / count(DISTINCT id)), 9) AS rarity FROM u, n GROUP BY value"
+SQL["suspicious_values"] = f"WITH {ALL} SELECT DISTINCT value FROM u"
 SQL["pair_evidence"] = """
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS b, lag(embedding::DOUBLE[]) OVER w AS a, lag(vec_id) OVER w AS before_id FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
 p AS (SELECT *, greatest((vec_id - before_id) * 600, 0) / 3600.0 AS h FROM e WHERE a IS NOT NULL)

@@ -352,7 +352,7 @@ def ip_only_rejections(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def attack_queues(spark: SparkSession, sf: str) -> DataFrame:
-    q = links.attack_queues(links.window_links(user_windows(spark, sf), DAY))
+    q = links.attack_queues(links.anchor_chains(user_windows(spark, sf), DAY))
     return q.select("queue_id", F.size("window_ids").cast("long").alias("windows"), F.element_at("window_ids", 1).alias("first_window"), F.element_at("window_ids", -1).alias("last_window"))
 
 
@@ -364,31 +364,30 @@ def campaign_queues(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def link_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """Evidence and default score of error windows' links: actions of all events, events as path, rarity of users."""
-    found = user_windows(spark, sf)
-    seen = pin_table(found, "user_windows")
-    f = event_frames(spark, sf, "error")
+    """Evidence and default score of links within an hour between users' windows of all events: actions, objects as path, rarity of users."""
+    seen = pin_table(user_windows(spark, sf, None), "user_windows")
+    f = event_frames(spark, sf)
     acts = windows.aggregate_windows(f, windows.MICRO).select("window_id", "actions")
     objects = windows.with_window(f, windows.MICRO).groupBy("window_id").agg(F.collect_set(F.col("roles")["object"]).alias("path_nodes"), F.array(F.count("*").cast("double"), F.sum("value")).alias("graph_embedding"))
-    e = links.link_evidence(links.window_links(seen, DAY), acts.join(objects, "window_id"), links.entity_rarity(seen))
+    e = links.link_evidence(links.window_links(seen, 3600.0), acts.join(objects, "window_id"), links.entity_rarity(seen))
     cols = ("anchor_score", "stable_rarity", "action_compatibility", "path_coherence", "graph_cosine", "score")
     return links.default_link_score(e).select("source_window", "target_window", *[F.round(c, 6).alias(c) for c in cols])
 
 
 @query
 def entity_memory(spark: SparkSession, sf: str) -> DataFrame:
-    m = links.entity_memory(user_windows(spark, sf))
+    m = links.entity_memory(user_windows(spark, sf, None))
     return m.select("entity_type", "value", F.size("windows").cast("long").alias("n"), joined_text("windows").alias("windows"))
 
 
 @query
 def entity_rarity(spark: SparkSession, sf: str) -> DataFrame:
-    return links.entity_rarity(user_windows(spark, sf)).select("value", F.round("rarity", 9).alias("rarity"))
+    return links.entity_rarity(user_windows(spark, sf, None)).select("value", F.round("rarity", 9).alias("rarity"))
 
 
 @query
 def suspicious_values(spark: SparkSession, sf: str) -> DataFrame:
-    return links.suspicious_values(user_windows(spark, sf))
+    return links.suspicious_values(user_windows(spark, sf, None))
 
 
 @query

@@ -35,13 +35,20 @@ def numbered_lines(spark: SparkSession, path: str | list[str], whole_files: bool
         text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value")
         lines = F.split(F.regexp_replace("value", r"\n\z", ""), "\r?\n")
         return text.where("value <> ''").select("source_file", F.posexplode(lines).alias("at", "value")).select("source_file", (F.col("at") + 1).cast("long").alias("source_line"), F.rtrim("value", F.lit("\r")).alias("value"))
-    at = [F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__order")]
-    lines = pin(spark.read.text(path).select(*at, F.rtrim("value", F.lit("\r")).alias("value")))
-    first = lines.groupBy("source_file", "__block").agg(F.count("*").alias("__n"), F.min("__order").alias("__least"))
+    return numbered_rows(spark.read.text(path), F.rtrim("value", F.lit("\r")).alias("value"))
+
+
+def numbered_rows(read: DataFrame, *columns: Column | str) -> DataFrame:
+    """(source_file, source_line, columns): the rows of files just read, numbered from 1 in their file's order.
+
+    Rows of a split have consecutive ids; counts by split, summed along the file, say where each begins.
+    """
+    rows = pin(read.select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__order"), *columns))
+    first = rows.groupBy("source_file", "__block").agg(F.count("*").alias("__n"), F.min("__order").alias("__least"))
     before = F.sum("__n").over(W.partitionBy("source_file").orderBy("__block")) - F.col("__n")
     starts = pin(first.select("source_file", "__block", "__least", before.alias("__before")))
-    # inside a split ids are consecutive
-    return lines.join(starts, ["source_file", "__block"]).select("source_file", (F.col("__order") - F.col("__least") + F.col("__before") + 1).cast("long").alias("source_line"), "value")
+    at = (F.col("__order") - F.col("__least") + F.col("__before") + 1).cast("long").alias("source_line")
+    return rows.join(starts, ["source_file", "__block"]).select("source_file", at, *[c for c in rows.columns if c != "source_file" and not c.startswith("__")])
 
 
 def limited(rows: DataFrame, limit: int) -> DataFrame:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import csv
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logweave.functions.text import is_blank, leading_timestamp, non_empty, timestamp_anywhere, timestamp_of_event
-from logweave.sources.raw import limited, numbered_lines, raw_records
+from logweave.sources.raw import limited, numbered_lines, numbered_rows, raw_records
 from logweave.vocabulary import STREAM_COLUMNS
 
 #: Which time column of a flow table counts, best first.
@@ -18,13 +17,16 @@ FLOW_TIMES = ("timestamp", "Timestamp", "StartTime")
 STREAM_TIMES = ("Timestamp", "StartTime", "timestamp")
 
 
-def read_text_log(spark: SparkSession, path: str, limit: int = 0, dataset_id: str = "loghub_2_0", whole_files: bool = False) -> DataFrame:
+Path = str | list[str]
+
+
+def read_text_log(spark: SparkSession, path: Path, limit: int = 0, dataset_id: str = "loghub_2_0", whole_files: bool = False) -> DataFrame:
     """Non-blank lines of text logs; blank ones count in the numbering."""
     lines = numbered_lines(spark, path, whole_files).where(~is_blank(F.col("value")))
     return raw_records(limited(lines, limit), dataset_id, "loghub_text_v1", text=F.col("value"))
 
 
-def read_event_text(spark: SparkSession, path: str, limit: int = 0, dataset_id: str = "splunk_attack_data", whole_files: bool = False) -> DataFrame:
+def read_event_text(spark: SparkSession, path: Path, limit: int = 0, dataset_id: str = "splunk_attack_data", whole_files: bool = False) -> DataFrame:
     """As read_text_log, with the time that the line's event states."""
     lines = numbered_lines(spark, path, whole_files).where(~is_blank(F.col("value")))
     return raw_records(limited(lines, limit), dataset_id, "text_stream_v1", text=F.col("value"), timestamp=timestamp_of_event(F.col("value")))
@@ -43,25 +45,29 @@ def read_timed_text(spark: SparkSession, path: str, dataset_id: str, whole_files
     return raw_records(lines, dataset_id, "timed_text_v1", text=rest, timestamp=time)
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
-    """The names in a CSV's first line; of repeated ones only the first counts."""
-    first = spark.read.text(path).first()
-    names = next(csv.reader([first.value.lstrip("\ufeff")])) if first else []
-    return [n if n not in names[:i] else f"{n}#{i}" for i, n in enumerate(names)]
-
-
-def read_flow_csv(spark: SparkSession, path: str, limit: int = 0, dataset_id: str = "sandworm_flow", times: tuple[str, ...] = FLOW_TIMES, version: str = "csv_stream_v1") -> DataFrame:
-    """A CSV with a header, all values strings; the first data row is line 2. The time is the first of `times` that isn't empty."""
-    names = _header(spark, path)
-    lines = numbered_lines(spark, path).where((F.col("source_line") > 1) & ~is_blank(F.col("value")))
-    # columns by place, as names may differ in case only
-    row = lines.withColumn("row", F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(names))), {"emptyValue": ""}))
-    fields = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.col("row")[f"c{i}"])])
-    time = F.coalesce(*[non_empty(F.col("row")[f"c{names.index(n)}"]) for n in times if n in names], F.lit(None).cast("string"))
-    return raw_records(limited(row, limit), dataset_id, version, fields=fields, timestamp=time)
+def read_flow_csv(spark: SparkSession, path: Path, limit: int = 0, dataset_id: str = "sandworm_flow", times: tuple[str, ...] = FLOW_TIMES, version: str = "csv_stream_v1") -> DataFrame:
+    """CSV files, each with a header of its own, all values strings. The time is the first of `times` that isn't empty.
 
-
-def read_csv_stream(spark: SparkSession, path: str, dataset_id: str = "ctu13_selected", limit: int = 0) -> DataFrame:
+    Records are numbered, the header being 1; blank lines aren't records. Values may hold line breaks
+    in quotes, so a file is read in one task; files are read side by side. A record shorter than its
+    header has nulls, one that is longer loses what has no name, and of equal names the last counts.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "id").alias("value"))
+    # no header has more names than commas in its first line and one
+    width = (first.agg(F.max(F.length(F.regexp_replace("value", "[^,]", "")))).first()[0] or 0) + 1
+    csv = spark.read.schema(", ".join(f"c{i} string" for i in range(width))).options(multiLine=True, quote='"', escape='"', emptyValue="", mode="PERMISSIVE").csv(path)
+    rows = numbered_rows(csv, F.array(*[F.col(f"c{i}") for i in range(width)]).alias("cells"))
+    names = F.transform(F.array_compact("cells"), lambda n: F.ltrim(n, F.lit("\ufeff")))
+    header = rows.where("source_line = 1").select("source_file", names.alias("names"))
+    rows = rows.where("source_line > 1").join(header, "source_file")
+    last = F.filter(F.sequence(F.lit(0), F.size("names") - 1), lambda i: ~F.array_contains(F.slice("names", i + 2, width), F.get("names", i)))
+    rows = rows.withColumn("row", F.map_from_entries(F.transform(last, lambda i: F.struct(F.get("names", i), F.get("cells", i)))))
+    time = F.coalesce(*[non_empty(F.col("row")[n]) for n in times])
+    return raw_records(limited(rows, limit), dataset_id, version, fields=F.col("row"), timestamp=time)
+
+
+def read_csv_stream(spark: SparkSession, path: Path, dataset_id: str = "ctu13_selected", limit: int = 0) -> DataFrame:
     """As read_flow_csv, with another preference among time columns."""
     return read_flow_csv(spark, path, limit, dataset_id, STREAM_TIMES)
 
@@ -79,13 +85,15 @@ def read_event_stream(spark: SparkSession, path: str, limit: int = 0, dataset_id
     return raw_records(limited(cells, limit), dataset_id, f"lanl_{kind}_v1", fields=fields, timestamp=F.col("cells")["time"])
 
 
-def read_event_xml(spark: SparkSession, path: str, limit: int = 0, dataset_id: str = "windows_events") -> DataFrame:
-    """Rendered event XML, one <Event> a row, numbered in file order; the payload has the header's fields and each named datum."""
+def read_event_xml(spark: SparkSession, path: str, limit: int = 0, dataset_id: str = "evtx_attack_samples") -> DataFrame:
+    """Rendered event XML, one <Event> a row, numbered in file order; the payload has the header's fields and each named datum.
+
+    The binary form of such files isn't read: no decoder of it comes with Spark.
+    """
     data = "array<struct<_Name:string,_VALUE:string>>"
     schema = f"System struct<EventID:string,Computer:string,Channel:string,TimeCreated:struct<_SystemTime:string>>, EventData struct<Data:{data}>"
     events = spark.read.format("xml").option("rowTag", "Event").schema(schema).load(path)
-    events = events.select(F.input_file_name().alias("source_file"), F.monotonically_increasing_id().alias("__order"), "System", "EventData")
-    rows = events.withColumn("source_line", F.row_number().over(W.partitionBy("source_file").orderBy("__order")))
+    rows = numbered_rows(events, "System", "EventData")
     head = F.create_map(*[x for n in ("EventID", "Computer", "Channel") for x in (F.lit(n), F.col("System")[n])])
     named = F.map_from_entries(F.transform(F.filter(F.coalesce(F.col("EventData.Data"), F.array().cast(data)), lambda d: d["_Name"].isNotNull() & ~d["_Name"].isin("EventID", "Computer", "Channel")), lambda d: F.struct(d["_Name"], d["_VALUE"])))
     fields = F.map_filter(F.map_concat(head, named), lambda k, v: v.isNotNull())
@@ -113,19 +121,18 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_discovered(spark: SparkSession, root: str) -> DataFrame:
-    """All discovered sources as one table. File names, not rows, come to the driver."""
+    """All discovered sources as one table, one read for each dataset. File names, not rows, come to the driver."""
     readers: dict[str, Callable] = {"sandworm_flow": read_csv_stream, "ctu13_selected": read_csv_stream, "splunk_attack_data": read_event_text}
-    parts = [readers[r.dataset_id](spark, r.source_file, dataset_id=r.dataset_id) for r in discover(spark, root).collect()]
-    if not parts:
+    files: dict[str, list[str]] = {}
+    for r in discover(spark, root).collect():
+        files.setdefault(r.dataset_id, []).append(r.source_file)
+    if not files:
         raise FileNotFoundError(f"no known source under {root}")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, [readers[d](spark, paths, dataset_id=d) for d, paths in files.items()])
 
 
 #: dataset id -> reader (spark, path, limit) of raw records.
-ADAPTERS: dict[str, Callable[..., DataFrame]] = {"loghub_2_0": read_text_log, "sandworm_flow": read_flow_csv, "windows_events": read_event_xml, "lanl_comprehensive": read_event_stream}
+ADAPTERS: dict[str, Callable[..., DataFrame]] = {"loghub_2_0": read_text_log, "sandworm_flow": read_flow_csv, "evtx_attack_samples": read_event_xml, "lanl_comprehensive": read_event_stream}
 
 
 def adapter_for(dataset_id: str) -> Callable[..., DataFrame]:

@@ -29,6 +29,19 @@ def log_frames(spark):
     return frames.extract_frames(parse(raw(spark, [(r[0], r[1]) for r in LOG])))
 
 
+
+def all_pairs_links(entities):
+    """(source_window, target_window) by comparing every window with every other: the definition."""
+    found = entities.collect()
+    strong = {"user", "process", "host"}
+    out = set()
+    for a in found:
+        for b in found:
+            if a.entity_type in strong and (a.entity_type, a.value) == (b.entity_type, b.value) and (a.window_start, a.window_id) < (b.window_start, b.window_id):
+                out.add((a.window_id, b.window_id))
+    return sorted(out, key=str)
+
+
 def test_frames_follow_the_ladder(log_frames):
     for r, (_, _, family, outcome, roles) in zip(log_frames.orderBy("source_line").collect(), LOG, strict=True):
         assert (r.action_family, r.outcome, r.roles) == (family, outcome, roles)
@@ -150,7 +163,7 @@ def test_history_is_strictly_before(spark, rows):
     e = spark.createDataFrame([("d", "b", "t1", "f", 2), ("d", "a", "t1", "f", 1), ("d", "c", "t2", "f", 1), ("d", "n", None, "f", 9)], "dataset_id string, record_id string, timestamp string, source_file string, source_line int")
     h = history.causal_history(e, ["dataset_id"], ["record_id"])
     assert {r.record_id: [x.record_id for x in r.history] for r in h.collect()} == {"n": [], "a": ["n"], "b": ["n", "a"], "c": ["n", "a", "b"]}
-    assert rows(history.causal_history(e, ["dataset_id"], ["record_id"], 1), "record_id", "history_size") == rows(history.causal_theta(e, ["dataset_id"]), "record_id", "history_size")
+    assert rows(history.causal_history(e, ["dataset_id"], ["record_id"], 1), "record_id", "history_size") == [("a", 1), ("b", 2), ("c", 3), ("n", 0)]
     assert rows(history.history_before(e, "b"), "record_id") == [("a",), ("n",)]
     assert history.all_but(e, "b").count() == 3
     ok = h.select("record_id", "history", F.expr("array(named_struct('node_id', 'event:x'))").alias("graph_nodes"), F.expr("array(named_struct('source', 's', 'target', 'event:x'))").alias("graph_edges"))
@@ -160,6 +173,25 @@ def test_history_is_strictly_before(spark, rows):
         history.require_no_leak(ok.withColumn("history", F.array(F.struct("record_id")))).collect()
 
 
+@pytest.mark.parametrize(("last", "block"), [(1, 1), (3, 8), (40, 8)])
+def test_ranged_history_is_the_ordered_one(spark, last, block):
+    e = spark.range(90).selectExpr("if(id % 10 < 8, 'd', null) AS dataset_id", "cast(id AS string) AS record_id", "concat('t', id * 37 % 50) AS timestamp", "'f' AS source_file", "id AS source_line")
+    a, b = (h(e, ["dataset_id"], ["record_id"], last, **more).collect() for h, more in ((history.causal_history, {}), (history.ranged_history, {"block": block})))
+    assert sorted(a, key=str) == sorted(b, key=str) and max(r.history_size for r in b) == 71
+
+
+def test_chains_connect_what_pairs_connect(spark):
+    import random
+
+    for seed, gap in ((0, 2), (1, 1), (2, 5)):
+        r = random.Random(seed)
+        w = window_set(spark, *[{t: r.sample("abcdefghij", 1) for t in ("user", "host", "ip") if r.random() < 0.5} or {"ip": ["a"]} for _ in range(24)])
+        chains = links.anchor_chains(w, gap * 3600.0)
+        assert chains.count() <= w.count()
+        members = [sorted(map(tuple, links.attack_queues(x).collect()), key=str) for x in (chains, links.window_links(w, gap * 3600.0))]
+        assert members[0] == members[1]
+
+
 def window_set(spark, *sets):
     """(window_id, window_start, entity_type, value) rows; windows are hours."""
     rows = [(f"w{i}", f"2026-01-01 {i:02d}:00:00", t, v) for i, s in enumerate(sets) for t, vs in s.items() for v in vs]
@@ -168,10 +200,10 @@ def window_set(spark, *sets):
 
 def test_ip_alone_links_nothing(spark, rows):
     w = window_set(spark, {"ip": ["1.1.1.1"], "user": ["a"]}, {"ip": ["1.1.1.1"], "user": ["b"]}, {"user": ["a"], "host": ["h"]}, {"host": ["h"], "process": ["h"]})
-    assert rows(links.window_links(w), "source_window", "target_window", "anchors", "anchor_strength", "delta_seconds") == [("w0", "w2", ["a"], "strong", 7200.0), ("w2", "w3", ["h"], "medium", 3600.0)]
-    p = links.window_pairs(w)
+    assert rows(links.window_links(w, None), "source_window", "target_window", "anchors", "anchor_strength", "delta_seconds") == [("w0", "w2", ["a"], "strong", 7200.0), ("w2", "w3", ["h"], "medium", 3600.0)]
+    p = links.window_pairs(w, None)
     assert rows(p.where("rejected_reason is not null"), "source_window", "target_window") == [("w0", "w1")]
-    q = links.attack_queues(links.window_links(w)).collect()
+    q = links.attack_queues(links.window_links(w, None)).collect()
     assert [(r.queue_id, r.window_ids) for r in q] == [("attack_queue_0000", ["w0", "w2", "w3"])]
     assert rows(links.window_links(w, 3600.0), "source_window", "target_window") == [("w2", "w3")]
 
@@ -182,9 +214,9 @@ def test_links_equal_all_pairs(spark, rows):
     for seed in range(3):
         r = random.Random(seed)
         w = window_set(spark, *[{t: r.sample("abcdefgh", 2) for t in ("user", "host", "process", "ip") if r.random() < 0.5} or {"ip": ["a"]} for _ in range(20)])
-        assert rows(links.window_links(w), "source_window", "target_window", "n_strong", "n_medium") is not None
-        ours = rows(links.window_links(w), "source_window", "target_window")
-        assert ours == rows(links.all_pairs_links(w), "source_window", "target_window")
+        assert rows(links.window_links(w, None), "source_window", "target_window", "n_strong", "n_medium") is not None
+        ours = rows(links.window_links(w, None), "source_window", "target_window")
+        assert ours == all_pairs_links(w)
         bounded = [(a, b) for a, b in ours if int(b[1:]) - int(a[1:]) <= 5]
         assert rows(links.window_links(w, 5 * 3600.0), "source_window", "target_window") == bounded
 
@@ -203,10 +235,10 @@ def test_windows(spark, rows):
 def test_evidence(spark):
     w = window_set(spark, {"user": ["a", "b"]}, {"user": ["a", "b"]}, {"user": ["c"]})
     side = spark.createDataFrame([("w0", ["x"], ["p", "q"], [1.0, 0.0]), ("w1", ["x", "y"], ["q"], [0.0, 1.0])], "window_id string, actions array<string>, path_nodes array<string>, graph_embedding array<double>")
-    e = links.link_evidence(links.window_links(w), side, links.entity_rarity(w)).first()
+    e = links.link_evidence(links.window_links(w, None), side, links.entity_rarity(w)).first()
     assert (e.anchor_score, e.action_compatibility, e.path_coherence, e.graph_cosine) == (2.0, 1.0, 0.5, 0.0)
     assert e.stable_rarity == pytest.approx(0.405465, abs=1e-5)
-    assert links.above(links.default_link_score(links.link_evidence(links.window_links(w), side)), 0.5).count() == 1
+    assert links.above(links.default_link_score(links.link_evidence(links.window_links(w, None), side)), 0.5).count() == 1
     assert [r.windows for r in links.entity_memory(w).orderBy("value").collect()] == [["w0", "w1"], ["w0", "w1"], ["w2"]]
 
 

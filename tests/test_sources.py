@@ -57,6 +57,16 @@ def test_flow_csv_prefers_its_times(spark, tmp_path):
     assert [r.raw_timestamp for r in read_csv_stream(spark, str(tmp_path / "f.csv")).orderBy("source_line").collect()] == ["9", "2"]
 
 
+def test_flow_csv_holds_line_breaks_in_quotes_and_headers_of_its_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('timestamp,note,n\n1,"two\nlines, ""quoted""",5\n\n2,short\n', newline="")
+    (tmp_path / "b.csv").write_text('n,StartTime,x,x\n7,9,first,second,beyond\n', newline="")
+    found = {(r.source_file.rsplit("/", 1)[-1], r.source_line): r for r in read_flow_csv(spark, str(tmp_path)).collect()}
+    assert set(found) == {("a.csv", 2), ("a.csv", 3), ("b.csv", 2)}
+    assert found["a.csv", 2].payload_map == {"timestamp": "1", "note": 'two\nlines, "quoted"', "n": "5"} and found["a.csv", 2].raw_timestamp == "1"
+    assert found["a.csv", 3].payload_map == {"timestamp": "2", "note": "short", "n": None}
+    assert found["b.csv", 2].payload_map == {"n": "7", "StartTime": "9", "x": "second"} and found["b.csv", 2].raw_timestamp == "9"
+
+
 def test_event_stream_by_file_name(spark, tmp_path):
     path = tmp_path / "auth.txt.gz"
     path.write_bytes(gzip.compress(b"1,u@d,v@d,c1,c2,k,n,on,ok\n,,\n2,u\n"))
@@ -92,7 +102,7 @@ def test_discovery(spark, tmp_path):
 
 
 def test_adapter_for():
-    assert adapter_for("loghub_2_0") is read_text_log
+    assert adapter_for("loghub_2_0") is read_text_log and adapter_for("evtx_attack_samples") is read_event_xml
     with pytest.raises(ValueError, match="no reader"):
         adapter_for("other")
 

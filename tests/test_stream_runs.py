@@ -14,17 +14,17 @@ from logweave.streaming import jobs
 def test_an_unfinished_stream_raises(spark, tmp_path):
     spark.range(4).repartition(4).write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    slow = s.mapInPandas(_sleep, "id long")
-    with pytest.raises(TimeoutError):
-        jobs.run_once(slow, "slow", str(tmp_path / "c"), timeout=timedelta(seconds=1))
 
+    def wait(frames):  # inside, so that workers get it by value
+        import time
 
-def _sleep(frames):
-    import time
+        for f in frames:
+            time.sleep(3)
+            yield f
 
-    for f in frames:
-        time.sleep(3)
-        yield f
+    slow = s.mapInPandas(wait, "id long")
+    with pytest.raises(TimeoutError):
+        jobs.run_once(slow, "slow", str(tmp_path / "c"), timeout=timedelta(seconds=1))
 
 
 def test_events_cross_batches_and_land_in_a_table(spark, tmp_path):
