@@ -54,9 +54,9 @@ def stratum(size: Column) -> Column:
 
 
 def _whole_weight(weight: Column) -> Column:
-    """A weight in units of 2**-20, at least one, with its 12 highest bits only, so that few differ."""
+    """A weight in units of 2**-20, at least one, with its 8 highest bits only, so that few differ."""
     units = F.greatest(F.floor(weight * UNIT).cast("long"), F.lit(1).cast("long"))
-    low = F.greatest(F.length(F.bin(units)) - 12, F.lit(0)).cast("int")
+    low = F.greatest(F.length(F.bin(units)) - 8, F.lit(0)).cast("int")
     return F.call_function("shiftleft", F.call_function("shiftright", units, low), low)
 
 

@@ -90,7 +90,7 @@ sized AS (
   SELECT doc_id, coalesce('=' || source, '') AS key, size, u, length(bin(size)) - 1 AS octave, greatest(floor(1 / sqrt(sqrt(greatest(size, 1)::DOUBLE)) * {UNIT}), 1)::BIGINT AS units FROM docs),
 classed AS (
   SELECT *, CASE WHEN size > 0 THEN octave * 8 + (size >> greatest(octave - 3, 0)::INT) % 8 + 1 ELSE 0 END AS class,
-    (units >> greatest(length(bin(units)) - 12, 0)::INT) << greatest(length(bin(units)) - 12, 0)::INT AS w
+    (units >> greatest(length(bin(units)) - 8, 0)::INT) << greatest(length(bin(units)) - 8, 0)::INT AS w
   FROM sized),
 kinds AS (SELECT key, class, w, count(*) AS n, sum(size)::BIGINT AS words FROM classed GROUP BY ALL),
 by_weight AS (SELECT key, w, sum(words)::BIGINT AS words FROM kinds WHERE words > 0 GROUP BY ALL),
