@@ -49,6 +49,11 @@ def content_hash(text: Column) -> Column:
     return _sha(text)
 
 
+def configuration_hash(settings: Column) -> Column:
+    """SHA-256 of a map of settings as canonical JSON, whatever the order they were given in."""
+    return _sha(canonical_json(settings))
+
+
 def canonical_json(payload: Column) -> Column:
     """A map as JSON with sorted keys and no spaces: the form that all hashes of maps here are taken of."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(payload))))

@@ -130,7 +130,16 @@ SELECT record_id, canonical_value, 'token:' || substr(sha256('token|' || canonic
 SQL["event_summary"] = f"WITH {FRAMES} SELECT record_id AS event_id, count(*) AS entity_count, string_agg(DISTINCT entity_type, ',' ORDER BY entity_type) AS entity_types FROM e GROUP BY record_id"
 SQL["entity_latest"] = """SELECT user_id::VARCHAR AS entity_id, max(event_id) AS "order", arg_max(event_type, event_id) AS action_family FROM events GROUP BY user_id"""
 SQL["entity_matches"] = f"WITH {FRAMES} SELECT entity_type, entity_id, count(*) AS mentions, count(DISTINCT record_id) AS events FROM e WHERE entity_type <> 'ip' GROUP BY ALL HAVING count(DISTINCT record_id) > 1"
-SQL["entity_pair_scores"] = f"WITH {FRAMES} SELECT 'scope_mismatch' AS reason, count(*) AS pairs, 0.0::DOUBLE AS score FROM f WHERE k IS NOT NULL"
+SQL["entity_pair_scores"] = f"""
+WITH {FRAMES},
+all_of AS (
+  SELECT record_id, 'actor' AS role, 'user' AS entity_type, lower(actor) AS v FROM f UNION ALL SELECT record_id, 'object', 'file', replace(k, chr(92), '/') FROM f WHERE k IS NOT NULL AND event_id % 3 = 1
+  UNION ALL SELECT record_id, 'destination_ip', 'ip', '10.0.0.' || event_id % 5 FROM f WHERE event_id % 3 = 2),
+p AS (
+  SELECT record_id AS event_id, role, entity_type, v, lag(entity_type) OVER w AS t, lag(v) OVER w AS u FROM all_of
+  WINDOW w AS (PARTITION BY record_id::BIGINT // 100 ORDER BY role <> 'actor', entity_type, record_id::BIGINT)),
+r AS (SELECT *, CASE WHEN t <> entity_type THEN 'scope_mismatch' WHEN t = 'ip' THEN 'weak_ip_only' WHEN u = v THEN 'canonical_and_scope_match' ELSE 'no_match' END AS reason FROM p WHERE t IS NOT NULL)
+SELECT event_id, role, reason, (reason = 'canonical_and_scope_match')::INT::DOUBLE AS score FROM r"""
 
 _ACTION = "'action:' || substr(sha256(event_type), 1, 24)"
 SQL["event_graph_edges"] = f"""
@@ -141,22 +150,23 @@ SELECT source, target, relation, count(*)::DOUBLE AS weight, arg_max(timestamp,
 SQL["event_graph_nodes"] = f"""
 WITH {FRAMES}, n AS (
   SELECT 'event:' || record_id AS id, 'event' AS node_type, event_type AS value FROM f UNION ALL SELECT DISTINCT entity_id, 'token', lower(value) FROM simple UNION ALL SELECT DISTINCT {_ACTION}, 'action', event_type FROM f)
-SELECT node_type, count(*) AS nodes, count(DISTINCT id) AS ids, min(value) AS first_value FROM n GROUP BY node_type"""
+SELECT id AS node_id, node_type, value, CASE WHEN node_type <> 'event' THEN '' WHEN value = 'error' THEN 'failure' ELSE 'unknown' END AS outcome FROM n"""
 SQL["graph_bounds"] = f"""
 WITH {FRAMES} SELECT 'window:' || substr(sha256(strftime(min(ts), '%Y-%m-%dT%H:%M:%S+00:00')), 1, 16) AS window_id, min(timestamp) AS start_time, max(timestamp) AS end_time FROM f"""
 SQL["graph_summary"] = f"""
 WITH {FRAMES}, n AS (SELECT (SELECT count(*) FROM f) + (SELECT count(DISTINCT entity_id) FROM e) AS nodes)
 SELECT any_value(nodes)::BIGINT AS node_count, count(*) AS edge_count, string_agg(DISTINCT {_of("role", EDGE_OF_ROLE, "session_of")}, ',' ORDER BY {_of("role", EDGE_OF_ROLE, "session_of")}) AS relations, count(*)::DOUBLE / any_value(nodes) AS score FROM e, n"""
-SQL["per_event_graphs"] = f"WITH {FRAMES} SELECT record_id, (2 + (k IS NOT NULL)::INT)::BIGINT AS nodes, (1 + (k IS NOT NULL)::INT)::BIGINT AS edges, 'event:' || record_id AS first_node, coalesce(k, actor) AS last_node FROM f"
+SQL["per_event_graphs"] = f"""
+WITH {FRAMES} SELECT record_id, concat_ws(',', 'event/event:' || record_id, 'unknown/' || actor, 'unknown/' || k) AS nodes, concat_ws(',', 'actor_of/' || actor || '/event:' || record_id, 'actor_of/' || k || '/event:' || record_id) AS edges FROM f"""
+_TENSORS = f"""{FRAMES}, n AS (SELECT 'event:' || record_id AS id, 'event' AS t FROM f UNION ALL SELECT DISTINCT entity_id, 'unknown' FROM e),
+i AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS nth FROM n)"""
 SQL["graph_tensors"] = f"""
-WITH {FRAMES}, n AS (SELECT 'event:' || record_id AS id, 'event' AS t FROM f UNION ALL SELECT DISTINCT entity_id, 'unknown' FROM e),
-i AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS nth FROM n),
-a AS (SELECT s.nth AS s, t.nth AS t, role FROM e JOIN i s ON s.id = e.entity_id JOIN i t ON t.id = 'event:' || record_id)
-SELECT (SELECT count(*) FROM i) AS nodes, (SELECT max(nth) FROM i)::BIGINT AS last_index, (SELECT count(DISTINCT ('0x' || substr(sha256(t), 1, 8))::BIGINT % 32) FROM i) AS types,
-  count(*) AS arcs, count(DISTINCT role) AS relations, sum(s)::BIGINT AS sources, sum(t)::BIGINT AS targets FROM a"""
+WITH {_TENSORS} SELECT s.nth AS source_index, t.nth AS target_index, (dense_rank() OVER (ORDER BY {_of("role", EDGE_OF_ROLE, "session_of")}) - 1)::INT AS relation_id FROM e JOIN i s ON s.id = e.entity_id JOIN i t ON t.id = 'event:' || record_id"""
+SQL["graph_tensor_nodes"] = f"""
+WITH {_TENSORS} SELECT nth AS node_index, id AS node_id, (('0x' || substr(sha256(t), 1, 8))::BIGINT % 32)::INT AS type_id, ascii(t || '|' || id)::BIGINT AS first_byte, ascii(substr(t || '|' || id, 8, 1))::BIGINT AS last_byte FROM i"""
 SQL["neighbor_mean"] = """
-WITH m AS (SELECT l_suppkey AS node, avg(embedding[1]::DOUBLE) AS m0, avg(embedding[2]::DOUBLE) AS m1 FROM lineitem JOIN embeddings ON vec_id = l_partkey GROUP BY 1)
-SELECT vec_id AS node_id, round(coalesce(m0, 0), 5) AS m0, round(coalesce(m1, 0), 5) AS m1 FROM embeddings LEFT JOIN m ON node = vec_id"""
+WITH m AS (SELECT l_suppkey AS node, avg(embedding[1]::DOUBLE) AS m0, avg(embedding[2]::DOUBLE) AS m1, avg(list_sum(embedding::DOUBLE[])) AS s FROM lineitem JOIN embeddings ON vec_id = l_partkey GROUP BY 1)
+SELECT vec_id AS node_id, round(coalesce(m0, 0), 5) AS m0, round(coalesce(m1, 0), 5) AS m1, round(coalesce(s, 0), 4) AS total FROM embeddings LEFT JOIN m ON node = vec_id"""
 SQL["byte_vectors"] = f"""
 WITH {FRAMES}, t AS (SELECT record_id, substr(CASE WHEN k IS NULL THEN 'actor=' || actor ELSE 'actor=' || actor || '|object=' || k END, 1, 12) AS t FROM f)
 SELECT record_id, list_sum(list_transform(string_split(t, ''), lambda c: ascii(c)))::BIGINT AS total, ascii(t)::BIGINT AS first FROM t"""
@@ -186,8 +196,9 @@ SELECT {_window(_minutes)} AS window_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS
   string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS actions, round(avg(1 / (1 + exp(-value))), 6) AS suspicious_score
 FROM w GROUP BY start"""
 SQL["window_vectors"] = f"""
-WITH w AS (SELECT {_start(30)} AS start, embedding FROM events JOIN embeddings ON vec_id = event_id)
-SELECT {_window(30)} AS window_id, round(avg(embedding[1]::DOUBLE), 5) AS first, round(avg(embedding[64]::DOUBLE), 5) AS last, 0.0::DOUBLE AS padding FROM w GROUP BY start"""
+WITH w AS (SELECT {_start(30)} AS start, embedding FROM events JOIN embeddings ON vec_id = event_id),
+x AS (SELECT start, unnest(range(0, 70)) AS position, embedding FROM w)
+SELECT {_window(30)} AS window_id, position::INT AS position, round(avg(coalesce(embedding[position + 1]::DOUBLE, 0)), 5) AS x FROM x GROUP BY start, position"""
 
 # error windows by user, and their links within a day
 def _links(where: str, gap: int) -> str:

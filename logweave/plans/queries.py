@@ -25,7 +25,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
-def _raw_documents(spark: SparkSession, sf: str) -> DataFrame:
+def raw_documents(spark: SparkSession, sf: str) -> DataFrame:
     """documents as raw records: one file a source, numbered by id; those with fewer than 40 characters lose their text, every seventh its time."""
     d = table(spark, sf, "documents")
     text = F.when(F.length("text") >= 40, F.col("text"))
@@ -64,24 +64,24 @@ def text_source_all_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def parse_documents(spark: SparkSession, sf: str) -> DataFrame:
-    p = parse.parse(_raw_documents(spark, sf))
+    p = parse.parse(raw_documents(spark, sf))
     return p.select("record_id", "source_line", "format", "template_id", "quarantined", "quarantine_reason", "parse_confidence")
 
 
 @query
 def quarantine_split(spark: SparkSession, sf: str) -> DataFrame:
-    p = parse.parse(_raw_documents(spark, sf))
+    p = parse.parse(raw_documents(spark, sf))
     return p.groupBy("source_file").agg(F.count_if(~F.col("quarantined")).alias("valid"), F.count_if("quarantined").alias("quarantined"), F.count_if(F.col("quarantine_reason") == "missing_timestamp").alias("missing_timestamp"), F.count_if(F.col("quarantine_reason") == "empty_payload").alias("empty_payload"))
 
 
 @query
 def dedup_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return parse.first_by_content(_raw_documents(spark, sf)).select("source_file", "source_line", "source_hash", "copies")
+    return parse.first_by_content(raw_documents(spark, sf)).select("source_file", "source_line", "source_hash", "copies")
 
 
 @query
 def duplicate_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return parse.duplicate_counts(_raw_documents(spark, sf))
+    return parse.duplicate_counts(raw_documents(spark, sf))
 
 
 # Templates
@@ -202,12 +202,14 @@ def entity_matches(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def entity_pair_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Each mention beside the one before it of its user, scored."""
-    m = _mentions(spark, sf)
+    """Each mention beside the one before it in runs of a hundred events: users, objects and made-up addresses in turn, so of one scope or not, equal or not."""
+    f = event_frames(spark, sf).withColumn("entity_mentions", F.array_append("entity_mentions", F.struct(F.concat(F.lit("10.0.0."), F.col("source_line") % 5).alias("raw_value"), F.lit("destination_ip").alias("role"))))
+    m = entities.mention_entities(f).withColumn("number", F.col("event_id").cast("long"))
+    kept = m.where(F.pmod("number", F.lit(3)) == F.when(F.col("role") == "actor", F.col("number") % 3).when(F.col("role") == "object", 1).otherwise(2))
     s = F.struct("dataset_id", "entity_type", "entity_id")
-    w = W.partitionBy("event_id").orderBy("position")
-    pairs = m.select("event_id", "position", s.alias("r"), F.lag(s).over(w).alias("l")).where("l is not null")
-    return entities.score_pairs(pairs).groupBy("reason").agg(F.count("*").alias("pairs"), F.sum("score").alias("score"))
+    w = W.partitionBy(F.floor(F.col("number") / 100)).orderBy(F.col("role") != "actor", "entity_type", "number")
+    pairs = kept.select("event_id", "role", s.alias("r"), F.lag(s).over(w).alias("l")).where("l is not null")
+    return entities.score_pairs(pairs).select("event_id", "role", "reason", "score")
 
 
 # Graph
@@ -230,7 +232,7 @@ def event_graph_edges(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def event_graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
     nodes, _ = graph.weighted_graph(_keyed_frames(spark, sf), _resolved(spark, sf), ["source_line"])
-    return nodes.groupBy("node_type").agg(F.count("*").alias("nodes"), F.countDistinct("node_id").alias("ids"), F.min("value").alias("first_value"))
+    return nodes.select("node_id", "node_type", "value", F.coalesce("outcome", F.lit("")).alias("outcome"))
 
 
 @query
@@ -248,26 +250,34 @@ def graph_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def per_event_graphs(spark: SparkSession, sf: str) -> DataFrame:
     g = graph.event_graphs(event_frames(spark, sf))
-    return g.select("record_id", F.size("node_records").cast("long").alias("nodes"), F.size("edge_records").cast("long").alias("edges"), F.element_at("node_records", 1)["node_id"].alias("first_node"), F.element_at("node_records", -1)["node_id"].alias("last_node"))
+    nodes = F.transform("node_records", lambda n: F.concat_ws("/", n["node_type"], n["node_id"]))
+    edges = F.transform("edge_records", lambda e: F.concat_ws("/", e["role"], e["source"], e["target"]))
+    return g.select("record_id", F.array_join(nodes, ",").alias("nodes"), F.array_join(edges, ",").alias("edges"))
 
 
-@query
-def graph_tensors(spark: SparkSession, sf: str) -> DataFrame:
+def _tensors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     f = event_frames(spark, sf)
     nodes, edges = graph.strict_graph(f, entities.links_of(entities.mention_entities(f)))
-    index, arcs = graph.tensor_tables(nodes, graph.known_edges(edges, nodes), 8)
-    n = index.agg(F.count("*").alias("nodes"), F.max("node_index").alias("last_index"), F.countDistinct("type_id").alias("types"))
-    a = arcs.agg(F.count("*").alias("arcs"), F.countDistinct("relation_id").alias("relations"), F.sum("source_index").alias("sources"), F.sum("target_index").alias("targets"))
-    return n.join(a, F.lit(True))
+    return graph.tensor_tables(nodes, graph.known_edges(edges, nodes), 8)
+
+
+@query
+def graph_tensors(spark: SparkSession, sf: str) -> DataFrame:
+    return _tensors(spark, sf)[1].select("source_index", "target_index", "relation_id")
+
+
+@query
+def graph_tensor_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return _tensors(spark, sf)[0].select("node_index", "node_id", "type_id", F.round(F.element_at("features", 1) * 255).cast("long").alias("first_byte"), F.round(F.element_at("features", 8) * 255).cast("long").alias("last_byte"))
 
 
 @query
 def neighbor_mean(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines as edges from part to supplier, embeddings by key: each supplier's mean in-neighbour, its first two components."""
+    """Lines as edges from part to supplier, embeddings by key: each supplier's mean in-neighbour, its first two components and the sum of all."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding")
     edges = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"))
     m = graph.neighbor_mean(edges, e, vector="embedding")
-    return m.select("node_id", F.round(F.element_at("mean", 1), 5).alias("m0"), F.round(F.element_at("mean", 2), 5).alias("m1"))
+    return m.select("node_id", F.round(F.element_at("mean", 1), 5).alias("m0"), F.round(F.element_at("mean", 2), 5).alias("m1"), F.round(F.aggregate("mean", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
 @query
@@ -330,7 +340,7 @@ def window_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Mean embedding of each half hour's events that have one."""
     v = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("record_id"), F.col("embedding").alias("vector"))
     w = windows.window_vectors(event_frames(spark, sf), v, windows.MACRO, 70)
-    return w.select("window_id", F.round(F.element_at("embedding", 1), 5).alias("first"), F.round(F.element_at("embedding", 64), 5).alias("last"), F.element_at("embedding", 70).alias("padding"))
+    return w.select("window_id", F.posexplode("embedding").alias("position", "x")).select("window_id", "position", F.round("x", 5).alias("x"))
 
 
 @query
@@ -572,7 +582,7 @@ def sink_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 STREAM_PARTS = 4
 
 
-def _event_stream(spark: SparkSession, sf: str, repeats: bool = False) -> DataFrame:
+def event_stream(spark: SparkSession, sf: str, repeats: bool = False) -> DataFrame:
     """The events table as a stream of files: parts of equal size by time, a file each, written in order and read as one micro-batch each.
 
     Files are read in the order of their modification times, so no part is late. With `repeats`, a part
@@ -592,7 +602,7 @@ def _event_stream(spark: SparkSession, sf: str, repeats: bool = False) -> DataFr
 @query
 def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Half-hour counts through a stream, in complete mode, so that all windows are out at its end."""
-    w = jobs.window_counts(_event_stream(spark, sf), windows.MACRO)
+    w = jobs.window_counts(event_stream(spark, sf), windows.MACRO)
     out = jobs.run_once(w, f"stream_windows_{id(w)}", new_table_path(spark, "stream"), "complete")
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_count", joined_text("actions").alias("actions"))
 
@@ -600,7 +610,7 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Events and their repeats, in their own and the next micro-batch, through exactly-once dedup: each id once."""
-    e = _event_stream(spark, sf, repeats=True)
+    e = event_stream(spark, sf, repeats=True)
     twice = e.withColumn("copy", F.explode(F.sequence(F.lit(1), 1 + (F.col("event_id") % 3).cast("int"))))
     d = jobs.exactly_once(twice.withColumn("source_hash", F.sha2(F.col("event_id").cast("string"), 256)), "30 days")
     return jobs.run_once(d.select("event_id", "event_type"), f"stream_dedup_{id(d)}", new_table_path(spark, "stream"))
@@ -609,7 +619,7 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_templates(spark: SparkSession, sf: str) -> DataFrame:
     """Running counts of masked props through a stream."""
-    t = jobs.template_counts(_event_stream(spark, sf).withColumn("message", F.concat_ws(" ", "event_type", "props")))
+    t = jobs.template_counts(event_stream(spark, sf).withColumn("message", F.concat_ws(" ", "event_type", "props")))
     return jobs.run_once(t, f"stream_templates_{id(t)}", new_table_path(spark, "stream"), "complete").select("template", "size")
 
 

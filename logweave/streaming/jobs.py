@@ -20,9 +20,11 @@ from logweave.operators.parse import quarantine_reason
 from logweave.operators.pinning import new_table_path
 
 
-def tail_text(spark: SparkSession, path: str, dataset_id: str, leading: bool = True) -> DataFrame:
+def tail_text(spark: SparkSession, path: str, dataset_id: str, leading: bool = True, files_per_batch: int | None = None) -> DataFrame:
     """Records from text files as they appear. A record's identity is its file and content, as a stream has no line numbers."""
-    lines = spark.readStream.format("text").load(path).select(F.col("_metadata.file_path").alias("source_file"), "value").where(~is_blank(F.col("value")))
+    source = spark.readStream.format("text")
+    source = source.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else source
+    lines = source.load(path).select(F.col("_metadata.file_path").alias("source_file"), "value").where(~is_blank(F.col("value")))
     time, rest = leading_timestamp(F.col("value")) if leading else (timestamp_of_event(F.col("value")), F.col("value"))
     out = lines.select(F.lit(dataset_id).alias("dataset_id"), "source_file", time.alias("timestamp"), rest.alias("message"), content_hash(F.col("value")).alias("source_hash"))
     out = out.withColumn("record_id", F.sha2(F.concat_ws("|", "dataset_id", "source_file", "source_hash").cast("binary"), 256))
@@ -95,14 +97,15 @@ class _EntitySpan(StatefulProcessor):
         self.keep = int(keep_hours * 3_600_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.span = handle.getValueState("span", "first double, last double, n bigint", ttlDurationMs=self.keep) if self.keep else handle.getValueState("span", "first double, last double, n bigint")
+        self.span = handle.getValueState("span", "first bigint, last bigint, n bigint", ttlDurationMs=self.keep) if self.keep else handle.getValueState("span", "first bigint, last bigint, n bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        times = pd.concat([pd.to_datetime(r["ts"]).astype("datetime64[ns]").astype("int64") / 1e9 for r in rows])
-        first, last, n = self.span.get() if self.span.exists() else (float("inf"), float("-inf"), 0)
-        first, last, n = min(first, times.min()), max(last, times.max()), n + len(times)
+        times = pd.concat([pd.to_datetime(r["ts"]).astype("datetime64[us]").astype("int64") for r in rows])
+        least, most = int(times.min()), int(times.max())
+        first, last, n = self.span.get() if self.span.exists() else (least, most, 0)
+        first, last, n = min(first, least), max(last, most), n + len(times)
         self.span.update((first, last, n))
-        yield pd.DataFrame([(key[0], key[1], pd.Timestamp(first, unit="s"), pd.Timestamp(last, unit="s"), n)], columns=["entity_type", "value", "first_seen", "last_seen", "mentions"])
+        yield pd.DataFrame([(key[0], key[1], pd.Timestamp(first, unit="us"), pd.Timestamp(last, unit="us"), n)], columns=["entity_type", "value", "first_seen", "last_seen", "mentions"])
 
     def close(self) -> None:
         pass
