@@ -7,14 +7,18 @@ all directions that a vector exceeds are found by list decoding: code words of e
 first, combined only while the sum can still reach the bar. Close vectors exceed common directions,
 so a join on filters finds them, and the exact cosine, in double precision, verifies.
 
-The bar follows from the number of vectors, so that a filter holds a few vectors on average at any
-size, and the size of the code from the bar, so that a pair at the cosine bound is expected in
-COMMON common filters. These are shared by a few independent codes, which evens out how well a
-turned vector suits its blocks.
-
-Equal vectors are one node with a weight. A filter that holds many vectors, such as a dense group,
-is cut into blocks of at most TILE vectors, and each pair of blocks is a task of its own. Links leave
-a tile as counts and a spanning forest, never as pairs.
+The bar follows from the number of vectors of a label, so that a filter holds a few of them on
+average at any size, and the size of the code from the bar, so that a pair at the cosine bound is
+expected in COMMON common filters. Labels of sizes within a factor of four share their codes. There
+are a few independent ones, which evens out how well a turned vector suits its blocks. In fewer than
+8 dimensions a code has one block, in one dimension the two directions there are.
+
+Equal vectors are one node with a weight. A pair counts in one of its common filters alone: filters
+have an order, those that hold most first, and the first that two vectors share is theirs. A dense
+group shares its first filter, so in all others its vectors pass each other by, and a filter whose
+vectors all have another first filter in common is left out. One that holds many vectors is cut into
+blocks of at most TILE, and each pair of blocks is a task of its own. Links leave a tile as counts
+and a spanning forest, never as pairs.
 """
 
 from __future__ import annotations
@@ -36,17 +40,30 @@ PER_FILTER = 8.0
 CODES = 4
 MAX_WORDS = 1024
 TILE = 1024
+LOW_DIM = 8
 
 
 def cap_share(bar: float, dim: int) -> float:
     """The share of the sphere in `dim` dimensions within cosine `bar` of a direction, by numeric integration."""
+    if dim < LOW_DIM:
+        return float((_directions(dim)[:, 0] >= bar).mean())
     t = np.linspace(-1, 1, 40001)
-    density = (1 - t * t) ** ((dim - 3) / 2) if dim > 2 else np.ones_like(t)
+    density = (1 - t * t) ** ((dim - 3) / 2)
     return float(density[t >= bar].sum() / density.sum())
 
 
+@lru_cache(maxsize=8)
+def _directions(dim: int, n: int = 200_000) -> np.ndarray:
+    """Random directions, to estimate shares where the formulas of many dimensions have poles."""
+    d = np.random.default_rng(dim).standard_normal((n, dim))
+    return d / np.linalg.norm(d, axis=1, keepdims=True)
+
+
 def wedge_share(bar: float, cosine: float, dim: int) -> float:
     """The share of directions that two vectors at `cosine` both exceed."""
+    if dim < LOW_DIM:
+        d = _directions(dim)
+        return float(((d[:, 0] >= bar) & (cosine * d[:, 0] + math.sqrt(1 - cosine * cosine) * d[:, 1] >= bar)).mean())
     t = np.linspace(bar, 1, 2001)
     density = (1 - t * t) ** ((dim - 3) / 2)
     sine = math.sqrt(1 - cosine * cosine)
@@ -60,22 +77,28 @@ def wedge_share(bar: float, cosine: float, dim: int) -> float:
 
 
 def code_parameters(n: int, dim: int, cosine: float) -> tuple[float, int, int]:
-    """(bar, blocks, code words in each) of each of CODES codes, for about `n` vectors of one label in `dim` dimensions.
+    """(bar, blocks, code words in each) of each of CODES codes, for labels of up to `n` vectors in `dim` dimensions.
 
     The lowest bar at which a filter holds no more than PER_FILTER vectors on average, and as many
     directions as a pair at `cosine` needs to have COMMON of them in common.
     """
+    if dim == 1:
+        return 0.5, 1, 2
     bar = 0.2
     while cap_share(bar, dim) * n > PER_FILTER and bar < 0.8:
         bar += 0.02
     directions = COMMON / CODES / max(wedge_share(bar, cosine, dim), 1e-15)
+    if dim < LOW_DIM:
+        return bar, 1, max(4, math.ceil(directions))
     blocks = next(k for k in range(2, dim + 1) if directions ** (1 / k) <= MAX_WORDS)
     return bar, blocks, max(4, math.ceil(directions ** (1 / blocks)))
 
 
-@lru_cache(maxsize=16)
+@lru_cache(maxsize=64)
 def _code(dim: int, blocks: int, words: int, seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """A random rotation, and for each block its unit code words. The same on every executor."""
+    if dim == 1:
+        return np.eye(1), [np.array([[1.0], [-1.0]])]
     rng = np.random.default_rng([seed, dim, blocks, words])
     turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
     parts = [rng.standard_normal((words, len(part))) for part in np.array_split(np.arange(dim), blocks)]
@@ -121,16 +144,29 @@ def _units(column: pa.Array) -> np.ndarray:
     return values / np.linalg.norm(values, axis=1, keepdims=True)
 
 
-def _tile_links(a: dict, b: dict, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of members of blocks a and b that link, and whose first common filter is this one."""
-    rows, cols = [], []
-    for start in range(0, len(a["node"]), 256):
-        i, j = np.nonzero(a["unit"][start : start + 256] @ b["unit"].T >= cosine)
-        i = i + start
-        if same:
-            i, j = i[i < j], j[i < j]
-        rows.append(i)
-        cols.append(j)
+def _tile_links(a: dict, b: dict, cosine: float, same: bool, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of members of blocks a and b that link, and whose first common filter is this one, of number `own`.
+
+    Members with another first filter in common have met there: only those of different ones are compared.
+    """
+    rows, cols = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    kinds = np.unique(a["first"])
+    if len(a["node"]) * len(b["node"]) <= 1 << 14 or len(kinds) > 64:  # not worth a product for each first filter
+        met = a["first"][:, None] == np.where(b["first"] == own, -1, b["first"])
+        i, j = np.nonzero((a["unit"] @ b["unit"].T >= cosine) & ~met)
+        keep = i < j if same else slice(None)
+        rows, cols, kinds = [i[keep]], [j[keep]], []
+    for f in kinds:
+        mine = np.flatnonzero(a["first"] == f)
+        others = np.arange(len(b["node"])) if f == own else np.flatnonzero(b["first"] != f)
+        for start in range(0, len(mine), 256):
+            part = mine[start : start + 256]
+            i, j = np.nonzero(a["unit"][part] @ b["unit"][others].T >= cosine)
+            i, j = part[i], others[j]
+            if same:
+                i, j = i[i < j], j[i < j]
+            rows.append(i)
+            cols.append(j)
     i, j = np.concatenate(rows), np.concatenate(cols)
     if not len(i):
         return i, j
@@ -157,34 +193,40 @@ def cap_links(nodes: DataFrame, cosine: float, seed: int = 7) -> tuple[DataFrame
 
     `links` counts the vectors, weights included, that the node links with; the edges connect what links connect.
     """
-    sizes = nodes.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels")).collect()  # a row for each dimension
-    codes = {r.dim: code_parameters(max(1, r.n // r.labels), r.dim, cosine) if r.dim >= 8 else None for r in sizes}
+    dims = nodes.select("node", "label", "vector", F.size("vector").alias("dim"))
+    # 0, 1, 2, …: labels of up to 1, 4, 16, … vectors of a dimension
+    octave = F.greatest(F.ceil(F.log2(F.count("*").cast("double")) / 2), F.lit(0)).cast("int")
+    sizes = pin_table(dims.groupBy("label", "dim").agg(octave.alias("size_class")), "cap_sizes")
+    codes = {(r.dim, r.size_class): code_parameters(4**r.size_class, r.dim, cosine) for r in sizes.select("dim", "size_class").distinct().collect()}  # as many as dimensions and powers of four
 
     def filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch.column(1).value_lengths().to_numpy()
-            for dim in np.unique(dims):
-                code, at = codes[int(dim)], np.flatnonzero(dims == dim)
-                for part in np.array_split(at, 1 + len(at) * (code[2] if code else 1) // 500_000):
+            kinds = np.stack([batch.column(1).value_lengths().to_numpy(), batch.column(2).to_numpy()])
+            for dim, size_class in np.unique(kinds, axis=1).T.tolist():
+                code, at = codes[dim, size_class], np.flatnonzero((kinds[0] == dim) & (kinds[1] == size_class))
+                for part in np.array_split(at, 1 + len(at) * code[2] // 500_000):
                     sub = batch.take(pa.array(part))
-                    # in few dimensions all vectors of a label are one filter's
-                    found = all_filters(_units(sub.column(1)), *code, seed) if code else [np.zeros(1, np.int64)] * len(part)
+                    found = all_filters(_units(sub.column(1)), *code, seed)
                     ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
                     yield pa.RecordBatch.from_arrays([sub.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))], ["node", "filters"])
 
-    decoded = pin_table(nodes.select("node", "vector").mapInArrow(filters, "node bigint, filters array<bigint>"), "cap_filters")
-    keyed = nodes.select("node", "label", F.size("vector").alias("dim"))
+    known = dims.join(sizes.where("size_class > 0"), ["label", "dim"]).select("node", "vector", "size_class")
+    decoded = known.mapInArrow(filters, "node bigint, filters array<bigint>")
     key = ["label", "dim", "filter"]
-    light = pin_table(decoded.join(keyed, "node").select("node", "label", "dim", F.explode("filters").alias("filter")), "cap_members")
-    held = light.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / TILE).cast("int"))
-    placed = light.join(pin(held.select(*key, "blocks")), key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    light = pin_table(decoded.join(dims.select("node", "label", "dim"), "node").select("node", "label", "dim", F.explode("filters").alias("filter")), "cap_members")
+    held = pin_table(light.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "cap_held")
+    # each vector's filters in their order: those that hold most first
+    order = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "filter"))), lambda x: x["filter"])
+    ordered = pin_table(light.join(held, key).groupBy("node", "label", "dim").agg(order.alias("filters")), "cap_orders")
+    placed = ordered.select("node", "label", "dim", "filters", F.get("filters", F.lit(0)).alias("first"), F.posexplode("filters").alias("at", "filter"))
+    firsts = placed.groupBy(*key).agg(F.min("first").alias("low"), F.max("first").alias("high"), F.count("*").alias("n"))
+    useful = pin_table(firsts.where("low <> high or low = filter").select(*key, F.ceil(F.col("n") / TILE).cast("int").alias("blocks")), "cap_useful")
+    member = placed.join(useful, key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a member of block b meets every other block, and its own, in one tile each
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("low"), F.greatest("block", o).alias("high")))
-    tiled = placed.select(*key, "node", "block", F.explode(tiles).alias("tile")).select(*key, "node", "block", "tile.*")
-    full = tiled.join(nodes.select("node", "vector", "weight"), "node").join(decoded, "node")
-    full = full.select(*key, "low", "high", "block", "node", "weight", "vector", F.filter("filters", lambda f: f < F.col("filter")).alias("before"))
-    order = [*key, "low", "high", "block", "node"]
-    dealt = full.repartition(*key, "low", "high").sortWithinPartitions(*order)
+    tiled = member.select(*key, "node", "block", "first", F.array_sort(F.slice("filters", 1, F.col("at"))).alias("before"), F.explode(tiles).alias("tile")).select("*", "tile.*").drop("tile")
+    full = tiled.join(nodes.select("node", "vector", "weight"), "node").select(*key, "low", "high", "block", "node", "weight", "vector", "first", "before")
+    dealt = full.repartition(*key, "low", "high").sortWithinPartitions(*key, "low", "high", "block", "node")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in _groups(batches, 5):
@@ -221,9 +263,10 @@ def _tile_result(tile: pa.Table, cosine: float) -> pa.RecordBatch | None:
     node, weight, unit = tile.column("node").to_numpy(), tile.column("weight").to_numpy(), _units(one(tile.column("vector")))
     lists = one(tile.column("before"))
     flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-    side = lambda m: {"node": node[m], "unit": unit[m], "before": [flat[ends[k] : ends[k + 1]] for k in np.flatnonzero(m)], "at": np.flatnonzero(m)}
+    first = tile.column("first").to_numpy()
+    side = lambda m: {"node": node[m], "first": first[m], "unit": unit[m], "before": [flat[ends[k] : ends[k + 1]] for k in np.flatnonzero(m)], "at": np.flatnonzero(m)}
     a, b = side(block == low), side(block == high)
-    i, j = _tile_links(a, b, cosine, low == high)
+    i, j = _tile_links(a, b, cosine, low == high, tile.column("filter")[0].as_py())
     if not len(i):
         return None
     i, j = a["at"][i], b["at"][j]
@@ -252,9 +295,10 @@ def vector_groups(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_i
 
     Vectors link when their labels are equal and not null, they have the same number of components
     and their cosine is at least `cosine`. Null vectors, zero vectors and those with null or
-    non-finite components link with nothing. Equal vectors of a label link with each other. Ids are
-    expected to differ; rows that repeat an id count as rows, and a null id is a row that has no id
-    to give to its component. An empty table gives an empty result.
+    non-finite components link with nothing. Equal vectors of a label link with each other. Rows that
+    repeat an id count as rows: each is linked, and has the component of its own vector, which is the
+    smallest id that the component's rows have. A null id is a row that has no id to give to its
+    component. An empty table gives an empty result. Other columns play no part.
     """
     kind = vectors.schema[vector].dataType.simpleString()
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast(kind if kind == "array<float>" else "array<double>").alias("vector"))

@@ -1,6 +1,7 @@
 """Licence scans: a trained paragraph classifier names the family, templates confirm it.
 
-Paragraphs are lines. A multinomial logistic regression on sparse word 1- to 3-grams gives a
+A paragraph is a line, or a notice wrapped over several: lines on end of whose word pairs most are
+known from licences are joined, but a line that covers a template by itself stays one. A multinomial logistic regression on sparse word 1- to 3-grams gives a
 probability for each licence family and for unknown. It is trained here, on variants of the
 templates (cut, thinned, with strange words around) against text that is none: words strung together
 from the corpus's own paragraphs, and licence words out of order. A temperature, fitted on held-out
@@ -19,14 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.arrow import utf8
+from logweave.llm.arrow import small, utf8
 from logweave.llm.license_templates import TEMPLATES
 from logweave.llm.sampling import hash_sample
+from logweave.operators.pinning import pin
 
 UNKNOWN = "unknown"
-#: Bounds of what the classifier is fitted on: sampled corpus rows, and variants made of each template.
-MAX_SAMPLE_DOCS, VARIANTS = 200, 60
+#: Bounds of what the classifier is fitted on: sampled corpus rows and lines of them, and variants made of each template.
+MAX_SAMPLE_DOCS, MAX_SAMPLE_LINES, VARIANTS = 200, 1200, 60
 MIN_PROBABILITY, MIN_OVERLAP, MIN_SHARED = 0.6, 0.5, 2
+#: Share of a line's word pairs that makes it part of a notice, and of a template's that makes a line a whole one.
+PART_OF_NOTICE, WHOLE_NOTICE = 0.5, 0.9
 _word = re.compile(rb"[a-z0-9\x80-\xff]+(?:[.-][a-z0-9\x80-\xff]+)*")
 
 
@@ -55,9 +59,9 @@ def pairs_of(words: list[bytes]) -> frozenset:
 
 
 def overlap(pairs: frozenset, template: frozenset) -> float:
-    """Share of the smaller set's word pairs that both have; 0 with fewer than MIN_SHARED in common."""
+    """Share of the smaller set's word pairs that both have; 0 with fewer than MIN_SHARED in common, or all of a template that has fewer."""
     both = len(pairs & template)
-    return both / min(len(pairs), len(template)) if both >= MIN_SHARED else 0.0
+    return both / min(len(pairs), len(template)) if both >= min(MIN_SHARED, len(template)) and both else 0.0
 
 
 @dataclass
@@ -82,6 +86,32 @@ class LicenseModel:
         e = np.exp(z - z.max())
         return e / e.sum()
 
+    def kind_of_line(self, words: list[bytes]) -> str:
+        """'' for a line without a known word, 'part' for a piece of a notice, else 'line'."""
+        if self.known.keys().isdisjoint(words):
+            return ""
+        if sum(w in self.known for w in words) < PART_OF_NOTICE * len(words):
+            return "line"
+        pairs = pairs_of(words)
+        if not pairs or sum(b" ".join(p) in self.known for p in pairs) < PART_OF_NOTICE * len(pairs):
+            return "line"
+        whole = any(len(pairs & t) >= WHOLE_NOTICE * len(t) for ts in self.templates for t in ts if t)
+        return "line" if whole else "part"
+
+    def paragraphs(self, lines: list[bytes]) -> list[tuple[int, list[bytes]]]:
+        """(number of its first line, words) of each paragraph with a known word: pieces of a notice on end are one."""
+        out: list[tuple[int, list[bytes]]] = []
+        inside = False
+        for k, line in enumerate(lines):
+            words = words_of(line)
+            kind = self.kind_of_line(words)
+            if kind == "part" and inside:
+                out[-1][1].extend(words)
+            elif kind:
+                out.append((k, words))
+            inside = kind == "part"
+        return out
+
     def classify(self, words: list[bytes]) -> tuple[str, float, float, bool]:
         """(family, its probability, overlap with its closest template, confirmed)."""
         p = self.probabilities(grams_of(words, self.known))
@@ -107,7 +137,10 @@ def _variant(words: list[bytes], strange: list[bytes], rng: np.random.Generator)
 
 
 def fit_license_model(sample: list[str], seed: int = 5, epochs: int = 12) -> LicenseModel:
-    """Fits on the templates and on `sample`, a bounded list of texts that stand for what isn't a licence. The same input gives the same model."""
+    """Fits on the templates and on `sample`, a bounded list of texts or lines that stand for what isn't a licence. The same input gives the same model.
+
+    A model that takes a paragraph without any known word for a licence is refused, as the scan passes over those.
+    """
     rng = np.random.default_rng(seed)
     families = [*TEMPLATES, UNKNOWN]
     texts = [(k, words_of(t.encode())) for k, f in enumerate(families[:-1]) for t in TEMPLATES[f]]
@@ -155,51 +188,54 @@ def fit_license_model(sample: list[str], seed: int = 5, epochs: int = 12) -> Lic
         return sum(float(np.log(np.exp((z - z.max()) / t).sum()) - (z[c] - z.max()) / t) for z, c in tested)
 
     model.temperature = min((float(t) for t in np.geomspace(0.25, 8, 26)), key=loss)
+    if model.classify([])[0] != UNKNOWN:
+        raise ValueError("a paragraph without known words must be unknown")
     return model
 
 
 def license_paragraphs(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_paragraphs, found) for every row: found is an array of (paragraph, family, probability, overlap, confirmed), paragraphs from 0.
+    """(doc_id, n_lines, found) for every row: found is an array of (line, family, probability, overlap, confirmed), by a paragraph's first line, from 0.
 
-    Null and empty texts are one paragraph in which nothing is found. Repeated rows each have a row.
+    Null and empty texts are one line in which nothing is found. Ids may be null or repeat, and rows that
+    repeat each have a row, in which the same is found. Whole texts are read, however long they or their
+    lines are. Other columns of `docs`, whatever their names, play no part.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the templates
-    kind = "array<struct<paragraph:int,family:string,probability:double,overlap:double,confirmed:boolean>>"
-    arrow = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("overlap", pa.float64()), ("confirmed", pa.bool_())]))
+    kind = "array<struct<line:int,family:string,probability:double,overlap:double,confirmed:boolean>>"
+    arrow = pa.list_(pa.struct([("line", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("overlap", pa.float64()), ("confirmed", pa.bool_())]))
 
     def scan(text: bytes | None, m: LicenseModel) -> tuple[int, list[dict]]:
         lines = (text or b"").split(b"\n")
         out = []
-        for k, line in enumerate(lines):
-            words = words_of(line)
-            if m.known.keys().isdisjoint(words):
-                continue  # no known word, so no known n-gram: the bias alone, which is unknown
+        for k, words in m.paragraphs(lines):
             family, p, share, sure = m.classify(words)
             if family != UNKNOWN:
-                out.append({"paragraph": k, "family": family, "probability": p, "overlap": share, "confirmed": sure})
+                out.append({"line": k, "family": family, "probability": p, "overlap": share, "confirmed": sure})
         return len(lines), out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in small(batches, 1):
             rows = [scan(t, m) for t in utf8(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], arrow)], ["doc_id", "n_paragraphs", "found"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], arrow)], ["doc_id", "n_lines", "found"])
 
-    return base.mapInArrow(run, f"doc_id bigint, n_paragraphs bigint, found {kind}")
+    return base.mapInArrow(run, f"doc_id bigint, n_lines bigint, found {kind}")
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_sample: int = MAX_SAMPLE_DOCS) -> DataFrame:
-    """doc_id, n_paragraphs, n_found, n_confirmed, licenses (distinct confirmed families, sorted, comma-joined; '' if none), probability (highest of a confirmed one, else 0).
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_sample: int = MAX_SAMPLE_DOCS, max_lines: int = MAX_SAMPLE_LINES) -> DataFrame:
+    """doc_id, n_lines, n_found, n_confirmed, licenses (distinct confirmed families, sorted, comma-joined; '' if none), probability (highest of a confirmed one, else 0).
 
-    The model is fitted on the templates and on at most `max_sample` rows, those whose ids hash lowest.
-    An empty table gives an empty result.
+    The model is fitted on the templates and on at most `max_lines` different lines of at most `max_sample`
+    rows, in both those whose hashes are lowest. An empty table gives an empty result. Null ids, repeated
+    rows, long texts and other columns are as in license_paragraphs.
     """
-    texts = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.substring(F.col(text).cast("string"), 1, 4000).alias("t"))
-    sample = hash_sample(texts, ["id"], max_sample, 11).orderBy("id", "t").collect()
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t"))
+    lines = pin(hash_sample(texts, ["id"], max_sample, 11).select(F.explode(F.split("t", "\n")).alias("t")).distinct())
+    sample = hash_sample(lines, ["t"], max_lines, 11).orderBy("t").collect()
     found = license_paragraphs(docs, fit_license_model([r.t for r in sample]), id_col, text)
     sure = F.filter("found", lambda x: x["confirmed"])
     return found.select(
-        "doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_found"), F.size(sure).cast("long").alias("n_confirmed"),
+        "doc_id", "n_lines", F.size("found").cast("long").alias("n_found"), F.size(sure).cast("long").alias("n_confirmed"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("licenses"), F.coalesce(F.array_max(F.transform(sure, lambda x: x["probability"])), F.lit(0.0)).alias("probability"),
     )

@@ -18,9 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm.words import ascii_lower, stripped
-from logweave.operators.pinning import new_table_path, pin, pin_table
+from logweave.operators.pinning import new_table_path, pin, pin_table, remove_path
 
 KEY = ["h1", "h2"]
+#: Frequent lines that go with a plan as a list, 33 bytes each.
+MAX_LISTED = 4096
 
 
 def line_key(line: Column) -> Column:
@@ -32,7 +34,7 @@ def _lines(text: str | Column) -> Column:
     return F.split(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit("")), "\n")
 
 
-def _hashes(key: str) -> list[Column]:
+def _hashes(key: str | Column) -> list[Column]:
     """128 bits in two longs: the second hash starts from the hash of a constant."""
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2")]
 
@@ -52,13 +54,20 @@ class LineRuns:
     fanout: int = 2
     buckets: int = 0
     levels: list[list[str]] = field(default_factory=list)
+    paths: dict[str, str] = field(default_factory=dict)
 
     def _write(self, run: DataFrame) -> str:
         n = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         name = f"line_run_{uuid.uuid4().hex}"
-        run.select(*KEY, "n_docs").repartition(n, *KEY).write.bucketBy(n, *KEY).sortBy(*KEY).option("path", new_table_path(self.spark, name)).saveAsTable(name)
+        self.paths[name] = new_table_path(self.spark, name)
+        run.select(*KEY, "n_docs").repartition(n, *KEY).write.bucketBy(n, *KEY).sortBy(*KEY).option("path", self.paths[name]).saveAsTable(name)
         return name
 
+    def _drop(self, name: str) -> None:
+        """Drops a run with its files, which a table at a path of its own would leave."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove_path(self.spark, self.paths.pop(name))
+
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]
 
@@ -74,9 +83,9 @@ class LineRuns:
         self.levels[level].append(name)
         if len(full := self.levels[level]) == self.fanout:
             merged = self._write(self._summed([self.spark.table(n) for n in full]))
-            for n in full:
-                self.spark.sql(f"DROP TABLE {n}")
             self.levels[level] = []
+            for n in full:
+                self._drop(n)
             self._put(level + 1, merged)
 
     @staticmethod
@@ -96,9 +105,9 @@ class LineRuns:
         return pin_table(self._summed(self.runs()).where(F.col("n_docs") >= self.min_docs).select(*KEY), "frequent_lines")
 
     def close(self) -> None:
-        for level in self.levels:
-            for n in level:
-                self.spark.sql(f"DROP TABLE IF EXISTS {n}")
+        """Drops every run there is, also one that a failed batch left behind."""
+        for n in [*self.paths]:
+            self._drop(n)
         self.levels = []
 
 
@@ -106,28 +115,47 @@ def frequent_lines(docs: DataFrame, min_docs: int, text: str | Column = "text",
     """(h1, h2) of the frequent lines of a table taken as `batches` batches, which are counted in one scan."""
     runs = LineRuns(docs.sparkSession, min_docs)
     counts = pin_table(line_counts(docs, text, F.pmod(F.xxhash64(id_col), F.lit(batches)), min_chars), "line_counts")
-    for b in range(batches):
-        runs.add(counts.where(F.col("batch") == b))
-    found = runs.frequent()
-    runs.close()
-    return found
+    try:
+        for b in range(batches):
+            runs.add(counts.where(F.col("batch") == b))
+        return runs.frequent()
+    finally:
+        runs.close()
+
+
+def _by_list(docs: DataFrame, frequent: DataFrame, text: str, min_chars: int) -> DataFrame:
+    """Adds __drop, the places of frequent lines, where these are few enough for a list in the plan: no shuffle."""
+    name = lambda h1, h2: F.concat(F.hex(h1), F.lit("-"), F.hex(h2))
+    listed = [r[0] for r in frequent.select(name(F.col("h1"), F.col("h2"))).collect()]
+    gone = lambda key: (F.length(key) >= min_chars) & name(*_hashes(key)).isin(listed)
+    keys = F.transform(_lines(text), line_key)
+    return docs.withColumn("__drop", F.filter(F.transform(keys, lambda k, i: F.when(gone(k), i)), lambda i: i.isNotNull()) if listed else F.array().cast("array<int>"))
+
+
+def _by_shuffle(docs: DataFrame, frequent: DataFrame, text: str, id_col: str, min_chars: int) -> DataFrame:
+    """Adds __drop through joins: lines meet the frequent ones by hash, then texts their places by id and text."""
+    row = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__text"), F.posexplode(F.transform(_lines(text), line_key)).alias("__at", "key")).where(F.length("key") >= min_chars)
+    hits = row.select("__id", "__text", "__at", *_hashes("key")).join(frequent, KEY, "left_semi")
+    drops = pin(hits.groupBy("__id", "__text").agg(F.collect_set("__at").alias("__drop")))  # at most one document's lines
+    both = docs.withColumn("__hash", F.xxhash64(text)).join(drops.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")), "left")
+    return both.drop("__hash", "__id", "__text")
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 10, text: str = "text", id_col: str = "doc_id", batches: int = 4, min_chars: int = 1) -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = 10, text: str = "text", id_col: str = "doc_id", batches: int = 4, min_chars: int = 1, max_listed: int = MAX_LISTED) -> DataFrame:
     """`docs` without the lines whose key is in at least `min_docs` rows; such a line goes everywhere.
 
     Adds n_lines, n_dropped and kept_text; columns of `docs` that have these names are replaced. A
     null or empty text is one empty line. Each row counts as a document, repeated ones too. Ids may
-    be null or repeat: what is dropped from a row hangs on its id and text. No rows are lost.
+    be null or repeat: what is dropped from a row hangs on its text. No rows are lost.
+
+    Up to `max_listed` frequent lines, which a count checks, go with the plan, and texts stay where they
+    are; with more, texts are shuffled to meet the places of theirs. Results are the same.
     """
     docs = docs.drop("n_lines", "n_dropped", "kept_text")
     frequent = frequent_lines(docs, min_docs, text, id_col, batches, min_chars)
-    row = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__text"), F.posexplode(F.transform(_lines(text), line_key)).alias("__at", "key")).where(F.length("key") >= min_chars)
-    hits = row.select("__id", "__text", "__at", *_hashes("key")).join(frequent, KEY, "left_semi")
-    drops = pin(hits.groupBy("__id", "__text").agg(F.collect_set("__at").alias("__drop")))  # at most one document's lines
-    both = docs.withColumn("__hash", F.xxhash64(text)).join(drops.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")), "left")
+    both = _by_list(docs, frequent, text, min_chars) if frequent.limit(max_listed + 1).count() <= max_listed else _by_shuffle(docs, frequent, text, id_col, min_chars)
     split = both.withColumn("__lines", _lines(text)).withColumn("n_lines", F.size("__lines").cast("long"))
     split = split.withColumn("n_dropped", F.when(F.col("__drop").isNull(), F.lit(0)).otherwise(F.size("__drop")).cast("long"))
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
     kept = F.when(F.col("n_dropped") == 0, F.coalesce(F.col(text), F.lit(""))).when(F.col("n_dropped") == F.col("n_lines"), "").otherwise(F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n"))
-    return split.withColumn("kept_text", kept).drop("__hash", "__id", "__text", "__drop", "__lines")
+    return split.withColumn("kept_text", kept).drop("__drop", "__lines")

@@ -18,12 +18,15 @@ WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesc
 starts AS (SELECT doc_id, unnest(range(1, len(words) - {_R.window} + 2)) AS i, words FROM docs WHERE len(words) >= {_R.window}),
 grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, list_slice(words, i, i + {_R.window} - 1)) AS c FROM starts),
 repeats AS (SELECT doc_id, count(DISTINCT w) AS n FROM (SELECT doc_id, unnest(range(i, i + {_R.window})) AS w FROM grams WHERE c > 1) GROUP BY doc_id),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM docs),
-split AS (SELECT doc_id, raw, {_TRIM.format("raw")} AS line, {_WORDS.format("raw")} AS words FROM lines),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS pos FROM docs),
+split AS (SELECT doc_id, pos, raw, {_TRIM.format("raw")} AS line, {_WORDS.format("raw")} AS words FROM lines),
+listed AS (
+  SELECT *, len(words) BETWEEN 1 AND {_R.max_menu_words} AND NOT regexp_matches(line, '[{STOPS}]') AS menu, count(*) OVER (PARTITION BY doc_id, raw) AS copies FROM split),
+runs AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, menu ORDER BY pos) AS run FROM listed),
 counted AS (
-  SELECT *, len(words) AS n, len(list_filter(words, lambda w: w IN ({_quoted(SEPARATORS)}))) AS bars,
+  SELECT *, count(*) OVER (PARTITION BY doc_id, menu, run) AS menu_lines, len(words) AS n, len(list_filter(words, lambda w: w IN ({_quoted(SEPARATORS)}))) AS bars,
     length(regexp_replace(line, '[^A-Za-z]', '', 'g')) AS letters, length(regexp_replace(line, '[^A-Z]', '', 'g')) AS upper
-  FROM split),
+  FROM runs),
 judged AS (
   SELECT *, n > 0 AND (
     (bars >= {_R.min_separators} AND bars > {_R.max_separator_share} * n)
@@ -31,6 +34,8 @@ judged AS (
     OR (n >= 3 AND len(regexp_extract_all(line, '[!?]{{2,}}|!')) > {_R.max_bang_share} * n AND contains(line, '!'))
     OR (letters >= {_R.min_letters} AND upper > {_R.max_upper_share} * letters)
     OR (n <= {_R.max_boilerplate_words} AND ({" OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)}))
+    OR (menu AND menu_lines >= {_R.min_menu_lines})
+    OR (copies > {_R.max_copies} AND n BETWEEN {_R.min_copied_words} AND {_R.max_boilerplate_words})
     OR (n > {_R.max_words_without_stop} AND NOT regexp_matches(line, '[{STOPS}]'))) AS bad
   FROM counted),
 per AS (
@@ -53,7 +58,7 @@ WITH docs AS (
     ('0x' || substr(md5(concat_ws('|', coalesce(doc_id::VARCHAR, ''), coalesce(text, ''))), 1, {HASH_BITS // 4}))::BIGINT AS bits
   FROM documents),
 prefixes AS (SELECT *, unnest(range(0, 25)) AS depth FROM docs),
-sums AS (SELECT depth, bits >> ({HASH_BITS} - depth)::INT AS prefix, sum(n_bytes) AS shard_bytes FROM prefixes GROUP BY ALL HAVING sum(n_bytes) <= {LIMIT}),
+sums AS (SELECT depth, bits >> ({HASH_BITS} - depth)::INT AS prefix, sum(n_bytes) AS shard_bytes FROM prefixes GROUP BY ALL HAVING sum(n_bytes) <= {LIMIT} OR count(*) = 1),
 leaves AS (
   SELECT p.doc_id, p.bits, min(p.depth) AS depth FROM prefixes p JOIN sums s ON p.depth = s.depth AND p.bits >> ({HASH_BITS} - p.depth)::INT = s.prefix GROUP BY ALL)
 SELECT d.doc_id, d.n_bytes, CASE WHEN l.depth = 0 THEN 'root' ELSE lpad(bin(s.prefix), l.depth::INT, '0') END AS shard, l.depth::BIGINT AS depth, 0::BIGINT AS page, s.shard_bytes::BIGINT AS shard_bytes
@@ -62,13 +67,13 @@ FROM docs d JOIN leaves l ON d.doc_id = l.doc_id AND d.bits = l.bits JOIN sums s
 
 OP8 = f"""
 WITH lines AS (
-  SELECT doc_id, generate_subscripts(s, 1) AS pos, unnest(s) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
+  SELECT doc_id, row, generate_subscripts(s, 1) AS pos, unnest(s) AS line FROM (SELECT doc_id, row_number() OVER () AS row, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
 keyed AS (SELECT *, translate({_TRIM.format("line")}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
-frequent AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+frequent AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT row) >= 10),
 marked AS (SELECT k.*, f.key IS NOT NULL AS gone FROM keyed k LEFT JOIN frequent f ON k.key = f.key)
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY row, doc_id
 """
 
 OP9 = rf"""

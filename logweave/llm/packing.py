@@ -29,11 +29,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logweave.llm.arrow import small
-from logweave.llm.token_counts import batched_ids, vocabulary_path
-from logweave.operators.pinning import pin
+from logweave.llm.token_counts import batched_ids, ranks_of, vocabulary_path
+from logweave.operators.pinning import pin, pin_table
 
 CAPACITY = 2048
-RANK_BUCKETS = 256
 
 #: So many sequences alike: (how many, ((length, times), ...)).
 Pattern = tuple[int, tuple[tuple[int, int], ...]]
@@ -164,12 +163,14 @@ def pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY, tie
     Rows of equal length can change places; `tie`, all columns by default, says by what they're
     ordered among themselves. Repeated rows each get a place. An empty table stays empty.
     """
-    histogram = {r[0]: r[1] for r in items.groupBy(length).count().collect()}  # at most `capacity` rows
+    sizes = pin_table(items.groupBy(length).agg(F.count("*").alias("__of")), "piece_lengths")
+    histogram = {r[0]: r[1] for r in sizes.collect()}  # at most `capacity` rows
     if any(x is None or not 1 <= x <= capacity for x in histogram):
         raise ValueError(f"lengths must be 1 to {capacity}")
     slots = items.sparkSession.sparkContext.broadcast(slot_table(plan_patterns(histogram, capacity)))  # bounded by the capacity, as patterns are
     tie = tie or items.columns
-    dealt = items.withColumn("__bucket", F.pmod(F.xxhash64(*tie), F.lit(RANK_BUCKETS)).cast("int"))
+    # a length's rows are ranked by buckets, as many as the root of the rows over eight: neither buckets nor their rows grow with the rows themselves
+    dealt = items.join(sizes, length).withColumn("__bucket", F.pmod(F.xxhash64(*tie), F.ceil(F.sqrt("__of") / 8)))
     per = dealt.groupBy(length, "__bucket").agg(F.count("*").alias("__n"))
     first = pin(per.select(length, "__bucket", (F.sum("__n").over(W.partitionBy(length).orderBy("__bucket")) - F.col("__n")).alias("__first")))
     ranked = dealt.join(first, [length, "__bucket"]).withColumn("__rank", F.row_number().over(W.partitionBy(length, "__bucket").orderBy(*tie)) - 1 + F.col("__first"))
@@ -198,6 +199,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacit
     cut so that only its first piece is shorter. The crc is of the ids as little-endian 32 bits.
     """
     path = vocabulary_path(vocabulary)
+    ranks = ranks_of(path)
     base = docs.select((text if isinstance(text, Column) else F.col(text)).cast("string").alias("text"), (id_col if isinstance(id_col, Column) else F.col(id_col)).cast("long").alias("doc_id"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
@@ -211,7 +213,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacit
         end = np.array([end_id], np.uint32)
         for b in small(batches):
             own, rows = b.column(1).to_pylist(), []
-            for i, group in groupby(batched_ids(b.column(0).to_pylist(), path), key=lambda x: x[0]):
+            for i, group in groupby(batched_ids(b.column(0).to_pylist(), path, ranks), key=lambda x: x[0]):
                 rows += [(own[i], *p) for p in pieces(np.concatenate([*(ids for _, ids in group), end]))]
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
             if with_ids:

@@ -1,5 +1,11 @@
 """Line-first cleaning: rules judge lines, failing lines go, and documents that lose too much go too.
 
+Punctuation: a line of over 20 words without any stop fails. So does a menu: three or more lines on
+end of few words and no stop, which each alone could be headings. Navigation: separators that stand
+as words. Boilerplate: phrases of page furniture in a short line, and in any language a short line
+that a text has more than three times. Symbols and shouting are shares of a line. Texts in scripts
+without any of STOPS need rules of their own, with max_words_without_stop and min_menu_lines raised.
+
 Counts over the whole text are kept beside the verdict. One pass over the rows, no shuffle: each
 document is judged alone.
 """
@@ -8,6 +14,7 @@ from __future__ import annotations
 
 import re
 import string
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +49,11 @@ class Rules:
     max_separator_share: float = 0.2
     min_separators: int = 2
     max_boilerplate_words: int = 12
-    max_words_without_stop: int = 200
+    max_words_without_stop: int = 20
+    max_menu_words: int = 8
+    min_menu_lines: int = 3
+    max_copies: int = 3
+    min_copied_words: int = 3
     max_lost_share: float = 0.5
 
 
@@ -56,7 +67,7 @@ _upper = string.ascii_uppercase.encode()
 
 
 def line_fault(line: str, rules: Rules = Rules()) -> str | None:
-    """Which rule a line fails: symbols, shouting, navigation, boilerplate, punctuation; None if it passes."""
+    """Which rule a line fails by itself: symbols, shouting, navigation, boilerplate, punctuation; None if it passes."""
     line = line.strip(SPACES)
     if not line:
         return None
@@ -79,6 +90,24 @@ def line_fault(line: str, rules: Rules = Rules()) -> str | None:
     return None
 
 
+def line_faults(lines: list[str], rules: Rules = Rules()) -> list[str | None]:
+    """Which rule each line of a text fails, by itself or beside the others; lines without a word pass."""
+    seen = Counter(lines)
+    known = {line: line_fault(line, rules) for line in seen}
+    out, run = [known[line] for line in lines], 0
+    for i, line in enumerate([*lines, ""]):
+        n = len(line.encode("utf-8", "surrogatepass").split())
+        if n and n <= rules.max_menu_words and not _stop.search(line):
+            run += 1
+        else:
+            if run >= rules.min_menu_lines:
+                out[i - run : i] = [f or "navigation" for f in out[i - run : i]]
+            run = 0
+        if i < len(lines) and seen[line] > rules.max_copies and rules.min_copied_words <= n <= rules.max_boilerplate_words:
+            out[i] = out[i] or "boilerplate"
+    return out
+
+
 def repeated_words(words: list, window: int) -> int:
     """Words that lie in a window of `window` words found twice or more in the text, its first place included."""
     grams = list(zip(*(words[i:] for i in range(window)), strict=False))
@@ -105,13 +134,14 @@ def judge(text: str | None, rules: Rules = Rules()) -> tuple:
     full = [line for line in lines if line.strip(SPACES)]
     chars = lambda t: len(t) - sum(map(t.count, SPACES))
     n_chars, repeats = chars(text), repeated_words(words, rules.window)
-    bad = {line for line in set(full) if line_fault(line, rules)}
-    lost = sum(chars(line) for line in full if line in bad) if bad else 0
+    faults = line_faults(lines, rules)
+    bad = [line for line, fault in zip(lines, faults, strict=True) if fault]
+    lost = sum(map(chars, bad))
     failed = len(words) < rules.min_words or 100 * repeats > rules.max_repeat_percent * len(words)
     return (
         len(words), n_chars, sum(map(text.count, SYMBOLS)), len(full) - len(set(full)), repeats, failed,
         not failed and lost <= rules.max_lost_share * n_chars,
-        len(lines), sum(line in bad for line in full) if bad else 0, lost, "\n".join(line for line in lines if line not in bad) if bad else text,
+        len(lines), len(bad), lost, "\n".join(line for line, fault in zip(lines, faults, strict=True) if not fault) if bad else text,
     )
 
 

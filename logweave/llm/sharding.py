@@ -1,7 +1,7 @@
 """Byte-balanced shards by extendible hashing.
 
 A shard is a prefix of the documents' hash bits. The directory starts with one bucket, and only a
-bucket over the byte limit splits on one more bit, until each fits. The whole directory comes from
+bucket over the byte limit splits on one more bit, until each fits or holds a single document. The whole directory comes from
 one histogram: bytes by cell, a prefix a few bits longer than shards need on average, summed up to
 every shorter prefix; a cell's shard is its shortest prefix within the limit. Cells that alone are
 over the limit get the next bits in another round, so the number of rounds doesn't hang on the data's
@@ -19,7 +19,8 @@ from logweave.operators.numbering import dense_position
 from logweave.operators.pinning import pin
 
 HASH_BITS = 60
-LIMIT = 64 << 20
+#: Bytes of text in a shard: what one reader holds at once.
+LIMIT = 256 << 10
 _STEP = 8
 
 
@@ -29,10 +30,10 @@ def _prefix(bits: Column, depth: Column | int) -> Column:
 
 
 def _leaves(rows: DataFrame, above: int, depth: int, limit: int) -> DataFrame:
-    """(cell, depth, prefix, shard_bytes): for each cell of `depth` bits its shortest prefix, of more than `above` bits, within the limit; depth null if none is."""
-    cells = pin(rows.groupBy(_prefix(F.col("bits"), depth).alias("cell")).agg(F.sum("n_bytes").alias("bytes")))
-    ups = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(above), F.lit(depth))).alias("depth")).withColumn("prefix", F.call_function("shiftright", F.col("cell"), (F.lit(depth) - F.col("depth")).cast("int")))
-    fit = pin(ups.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes")).where(F.col("shard_bytes") <= limit))
+    """(cell, depth, prefix, shard_bytes): for each cell of `depth` bits its shortest prefix, of more than `above` bits, within the limit or of one row; depth null if none is."""
+    cells = pin(rows.groupBy(_prefix(F.col("bits"), depth).alias("cell")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n")))
+    ups = cells.select("cell", "bytes", "n", F.explode(F.sequence(F.lit(above), F.lit(depth))).alias("depth")).withColumn("prefix", F.call_function("shiftright", F.col("cell"), (F.lit(depth) - F.col("depth")).cast("int")))
+    fit = pin(ups.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("n").alias("n")).where((F.col("shard_bytes") <= limit) | (F.col("n") == 1)).drop("n"))
     found = ups.join(fit, ["depth", "prefix"]).groupBy("cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes")).alias("leaf"))
     return pin(cells.select("cell").join(found, "cell", "left").select("cell", "leaf.*"))
 
@@ -40,7 +41,7 @@ def _leaves(rows: DataFrame, above: int, depth: int, limit: int) -> DataFrame:
 def shard_documents(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """`carry` (the id, by default) and n_bytes, shard (its bits; 'root' if it never split), depth, page, shard_bytes for every row.
 
-    No shard has more than `limit` bytes of text, except one that holds a single larger document.
+    No shard has more than `limit` bytes of text, except one that holds a single larger document, however long.
     A null text has 0 bytes. The hash is of id and text, so only rows that repeat with both can't be
     told apart by bits; those of an oversized bucket go to pages that fit, numbered from 0. An empty
     table gives an empty result.

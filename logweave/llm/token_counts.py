@@ -7,7 +7,8 @@ and their lengths added, so no batch grows with a text.
 The byte-level vocabulary comes as a file for `tokenizers` and as ranks for `tiktoken`. Both give
 the same ids (tests/llm compares them on texts and on every code point), and the latter is about
 four times as fast on words that repeat little, so it encodes where the ranks lie beside the file.
-Any other tokenizer file is read by its own library.
+That is settled once, on the driver, and an executor that lacks the ranks fails. Any other tokenizer
+file is read by its own library.
 """
 
 from __future__ import annotations
@@ -38,12 +39,17 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def ranks_of(path: str) -> str | None:
+    """The file of ranks that gives the same ids as the byte-level vocabulary at `path`, if it lies beside it. For the driver to ask."""
+    ranks = f"{path.removesuffix('.json')}.tiktoken"
+    return ranks if path.endswith("byte_bpe_50k.json") and os.path.exists(ranks) else None
+
+
 @lru_cache(maxsize=4)
-def encoder(path: str):
-    """A function from a list of texts to a list of id arrays, for a vocabulary file, loaded once in each worker."""
+def encoder(path: str, ranks: str | None = None):
+    """A function from a list of texts to a list of id arrays, for a vocabulary file, loaded once in each worker; by `ranks`, if given."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    ranks = f"{path.removesuffix('.json')}.tiktoken"
-    if path.endswith("byte_bpe_50k.json") and os.path.exists(ranks):
+    if ranks:
         import public_tokenizers
         import tiktoken
 
@@ -79,11 +85,11 @@ def safe_chunks(text: str, limit: int = CHUNK_CHARS) -> list[str]:
     return [*out, text[start:]]
 
 
-def batched_ids(texts: list[str | None], path: str) -> Iterator[tuple[int, np.ndarray]]:
+def batched_ids(texts: list[str | None], path: str, ranks: str | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(index of its text, ids of a piece) in order; a null text is an empty one. At most about BATCH_BYTES are in hand at once."""
     split = "byte_bpe" in os.path.basename(path)
     pieces = [(i, p) for i, t in enumerate(texts) for p in (safe_chunks(t or "") if split else [t or ""])]
-    encode = encoder(path)
+    encode = encoder(path, ranks)
     for a, b in slices_by_bytes([len(p.encode("utf-8", "surrogatepass")) for _, p in pieces], BATCH_BYTES):
         yield from zip((i for i, _ in pieces[a:b]), encode([p for _, p in pieces[a:b]]), strict=True)
 
@@ -96,13 +102,14 @@ def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
     collection, or a path that every executor can open.
     """
     path = vocabulary if os.path.isabs(vocabulary) else vocabulary_path(vocabulary)
+    ranks = ranks_of(path)
     base = docs.select((text if isinstance(text, Column) else F.col(text)).cast("string").alias("__text"), *(carry if carry is not None else ["*"])).drop("n_bytes", "n_tokens", "over_limit")
     rest = [f for f in base.schema.fields if f.name != "__text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             counts = np.zeros(batch.num_rows, np.int64)
-            for i, ids in batched_ids(batch.column(0).to_pylist(), path):
+            for i, ids in batched_ids(batch.column(0).to_pylist(), path, ranks):
                 counts[i] += len(ids)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(counts)], [f.name for f in rest] + ["n_tokens"])
 

@@ -145,7 +145,7 @@ def brute_vectors(rows, cosine=0.93):
     return n, grouped(ids, link)
 
 
-@pytest.mark.parametrize(("seed", "dim"), [(1, 64), (2, 64), (3, 5)])
+@pytest.mark.parametrize(("seed", "dim"), [(1, 64), (2, 64), (3, 5), (4, 8), (5, 3), (6, 2)])
 def test_vector_groups_are_those_of_all_pairs(spark, seed, dim):
     rows = vectors_table(seed, dim=dim)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("node", F.lit("x"))
@@ -158,6 +158,46 @@ def test_vector_groups_are_those_of_all_pairs(spark, seed, dim):
         assert {i: r.component_id for i, r in got.items()} == root and all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
+def test_vectors_of_one_dimension_link_by_sign(spark):
+    rows = [(i, [float((i + 1) * (-1) ** i)], 1) for i in range(9)]
+    got = vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {g.vec_id: (g.n_links, g.component_id) for g in got} == {i: (4 - i % 2, i % 2) for i in range(9)}
+
+
+def test_a_heavy_label_among_small_ones_has_its_own_bar(spark):
+    """One label of 3000 and 300 of one to four: pairs at cosines around the bound, recall over all."""
+    r = np.random.default_rng(11)
+    rows = []
+    for i in range(1500):
+        a, b = r.standard_normal(64), r.standard_normal(64)
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        c = 0.925 + 0.02 * r.random()
+        rows += [(a, 0), (c * a + (1 - c * c) ** 0.5 * b / np.linalg.norm(b), 0)]
+    for k in range(300):
+        base = r.standard_normal(64)
+        rows += [(base + 0.05 * r.standard_normal(64), 1 + k) for _ in range(1 + k % 4)]
+    rows = [(i, [float(x) for x in v], lab) for i, (v, lab) in enumerate(rows)]
+    got = {g.vec_id: g.n_links for g in vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    want = {}
+    for lab in range(301):
+        ids = [i for i, _, x in rows if x == lab]
+        v = np.array([rows[i][1] for i in ids])
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        want |= dict(zip(ids, ((v @ v.T >= 0.93).sum(1) - 1).tolist(), strict=True))
+    assert all(got[i] <= want[i] for i in want)
+    assert sum(got.values()) >= 0.97 * sum(want.values()) and {i: got[i] for i, _, x in rows if x} == {i: want[i] for i, _, x in rows if x}
+    assert code_parameters(4096, 64, 0.93)[0] > code_parameters(4, 64, 0.93)[0]
+
+
+def test_vectors_with_repeated_and_null_ids_and_rows(spark):
+    v, w = [1.0] * 16, [-1.0] * 15 + [3.0]
+    rows = [(5, v, 1), (5, v, 1), (3, v, 1), (None, v, 1), (5, w, 1), (None, w, 2), (8, None, 1), (8, None, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"kept": F.lit("own"), "filter": F.lit(1)})
+    got = sorted((r.vec_id or -1, r.n_links, r.component_id or -1, r.kept) for r in vector_groups(df).collect())
+    assert got == sorted([(5, 3, 3, False), (5, 3, 3, False), (3, 3, 3, True), (-1, 3, 3, False), (5, 0, 5, True), (-1, 0, -1, False), (8, 0, 8, True), (8, 0, 8, True)])
+
+
 def test_large_groups_are_tiled(spark, monkeypatch):
     from logweave.llm import cap_filters
 
@@ -236,6 +276,27 @@ def test_lines_with_null_and_repeated_ids(spark, line_texts):
     assert line_dedup(df.limit(0), 10).count() == 0
 
 
+def test_a_list_and_a_shuffle_drop_the_same_lines(spark, line_texts):
+    df = spark.createDataFrame([(i % 50, t) for i, t in enumerate(line_texts)], "doc_id long, text string")
+    ways = [sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup(df, 10, max_listed=n).collect()) for n in (0, 1000)]
+    assert ways[0] == ways[1]
+
+
+def test_runs_leave_no_tables_or_files(spark, tmp_path, line_texts):
+    from pathlib import Path
+
+    from logweave.operators.pinning import shared_folder
+
+    left = lambda: {p.name for p in Path(shared_folder(spark).removeprefix("file:")).glob("line_run_*")} | {t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")}
+    before = left()
+    line_dedup(spark.createDataFrame([(i, t) for i, t in enumerate(line_texts)], "doc_id long, text string"), 10).count()
+    runs = LineRuns(spark, 2)
+    runs.add(line_counts(spark.createDataFrame([(1, "a")], "doc_id long, text string")).drop("batch"))
+    assert left() > before
+    runs.close()
+    assert left() == before
+
+
 def test_runs_compact_and_count_over_batches(spark):
     runs = LineRuns(spark, 3, fanout=2)
     for b in range(5):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter
@@ -9,6 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from logweave.llm import quality_rules as qr
 from logweave.llm import token_counts as tc
 from logweave.llm.license_scan import fit_license_model, license_paragraphs, license_scan, words_of
 from logweave.llm.license_templates import TEMPLATES
@@ -99,7 +101,7 @@ def test_both_libraries_agree_on_every_code_point():
     from tokenizers import Tokenizer
 
     path = tc.vocabulary_path("byte_bpe_50k.json")
-    slow, fast = Tokenizer.from_file(path), tc.encoder(path)
+    slow, fast = Tokenizer.from_file(path), tc.encoder(path, tc.ranks_of(path))
     points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
     for s in range(0, len(points), 50_000):
         texts = [f"a{chr(c)}1{chr(c)} {chr(c)}b" for c in points[s : s + 50_000]]
@@ -118,7 +120,7 @@ def test_licences_are_found_and_confirmed(spark):
     texts = [f"{PROSE}\n{t}\n{PROSE}" for t in held.values()] + [PROSE, None, "", "A license to drive a car is hereby required. The public library is free software for the mind.", "x " * 30_000, PROSE]
     got = license_scan(docs(spark, texts)).orderBy("doc_id").collect()
     assert [r.licenses for r in got[:4]] == list(held) and all(r.probability > 0.6 and r.n_confirmed == 1 for r in got[:4])
-    assert all(r.licenses == "" for r in got[4:]) and got[5].n_paragraphs == 1
+    assert all(r.licenses == "" for r in got[4:]) and got[5].n_lines == 1
     assert license_scan(docs(spark, []).limit(0)).count() == 0
 
 
@@ -140,7 +142,7 @@ def test_licence_model_on_held_out_variants(spark):
     again = fit_license_model([PROSE] * 5)
     assert (again.weights == model.weights).all()
     df = license_paragraphs(docs(spark, ["a\nReleased under the MIT License.\nb"]), model).first()
-    assert [(x.paragraph, x.family, x.confirmed) for x in df.found] == [(1, "MIT", True)]
+    assert [(x.line, x.family, x.confirmed) for x in df.found] == [(1, "MIT", True)]
 
 
 def quality_table(spark, n=400):
@@ -180,3 +182,73 @@ def test_site_quality_edges(spark):
 
 def test_rules_are_parameters():
     assert judge("a b", Rules(min_words=1))[5] is False
+
+
+def test_wrapped_notices_are_one_paragraph():
+    import textwrap
+
+    model = fit_license_model([PROSE] * 5)
+    for family, notices in TEMPLATES.items():
+        for notice in notices:
+            lines = [PROSE.encode(), *textwrap.fill(notice, 72).encode().split(b"\n"), PROSE.encode()]
+            found = [(k, *model.classify(words)) for k, words in model.paragraphs(lines)]
+            assert {(k, f) for k, f, _, _, sure in found if sure} >= {(1, family)} and {f for _, f, _, _, sure in found if sure} == {family}, notice
+    two = model.paragraphs([b"Released under the MIT License.", b"Licensed under the ISC License.", b""])
+    assert [(k, model.classify(w)[0]) for k, w in two] == [(0, "MIT"), (1, "ISC")]
+
+
+def brute_license(text, model):
+    """Every n-gram of every paragraph looked up, probabilities and shares of pairs written out."""
+    out, found = [], []
+    for k, line in enumerate((text or "").encode().split(b"\n")):
+        w = re.findall(rb"[a-z0-9\x80-\xff]+(?:[.-][a-z0-9\x80-\xff]+)*", line.lower())
+        pairs = set(zip(w, w[1:], strict=False))
+        known = sum(a + b" " + b in model.known for a, b in pairs)
+        whole = any(len(pairs & set(t)) >= 0.9 * len(t) for ts in model.templates for t in ts if t)
+        part = bool(pairs) and known >= 0.5 * len(pairs) and sum(x in model.known for x in w) >= 0.5 * len(w) and not whole
+        if part and out and out[-1][2] and out[-1][3] == k - 1:
+            out[-1] = (out[-1][0], out[-1][1] + w, True, k)
+        else:
+            out.append((k, w, part, k))
+    for k, w, _, _ in out:
+        grams = {model.known[b" ".join(w[i : i + n])] for n in (1, 2, 3) for i in range(len(w) - n + 1) if b" ".join(w[i : i + n]) in model.known}
+        z = [(model.bias[c] + (sum(model.weights[g][c] for g in grams) / len(grams) ** 0.5 if grams else 0)) / model.temperature for c in range(len(model.families))]
+        p = [math.exp(x - max(z)) for x in z]
+        best = max(range(len(z) - 1), key=lambda c: p[c])
+        if p[best] / sum(p) >= 0.6:
+            pairs = set(zip(w, w[1:], strict=False))
+            share = max((len(pairs & t) / min(len(pairs), len(t)) if pairs & t and len(pairs & t) >= min(2, len(t)) else 0) for t in model.templates[best])
+            found.append((k, model.families[best], round(p[best] / sum(p), 9), share >= 0.5))
+    return found
+
+
+def test_license_scan_by_brute_force(spark):
+    r = random.Random(4)
+    pool = [w for ts in TEMPLATES.values() for t in ts for w in t.split()]
+    notices = [t for ts in TEMPLATES.values() for t in ts]
+    line = lambda: r.choice([PROSE, r.choice(notices), " ".join(r.choice(pool) for _ in range(r.randint(1, 12))), r.choice(notices)[: r.randint(10, 200)], ""])
+    texts = ["\n".join(line() for _ in range(r.randint(1, 9))) for _ in range(120)]
+    model = fit_license_model([PROSE] * 5)
+    got = license_paragraphs(docs(spark, texts), model).collect()
+    for g in got:
+        assert [(x.line, x.family, round(x.probability, 9), x.confirmed) for x in g.found] == brute_license(texts[g.doc_id], model)
+    assert sum(len(g.found) for g in got) > 100
+
+
+def test_license_scan_with_clashing_names_null_ids_and_repeated_rows(spark):
+    rows = [(None, "Released under the MIT License."), (4, "Released under the MIT License."), (4, "Released under the MIT License."), (5, "word " * 200_000 + "\nLicensed under the ISC License.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"found": F.lit(1), "n_lines": F.lit("own"), "licenses": F.lit("none")})
+    got = sorted((r.doc_id or 0, r.n_lines, r.licenses) for r in license_scan(df).collect())
+    assert got == [(0, 1, "MIT"), (4, 1, "MIT"), (4, 1, "MIT"), (5, 2, "ISC")]
+
+
+def test_menus_and_copied_lines_fail_but_single_headings_pass():
+    menu = ["Home", "World news", "Sport and weather", "Sign in here now"]
+    prose = "This is a sentence that says something, and ends."
+    assert qr.line_faults([prose, *menu, prose]) == [None, *["navigation"] * 4, None]
+    assert qr.line_faults(["A heading", prose, "Another heading", prose, "Two", "In a row", prose]) == [None] * 7
+    copied = "Follow us, friends, today."
+    assert qr.line_faults([copied, prose] * 4)[0] == "boilerplate" and qr.line_faults([copied, prose] * 3)[0] is None
+    assert qr.line_faults(["word " * 21])[0] == "punctuation" and qr.line_faults(["word " * 20])[0] is None
+    judged = qr.judge("\n".join([prose] * 3 + menu))
+    assert judged[8] == 4 and judged[10] == "\n".join([prose] * 3)
