@@ -50,10 +50,11 @@ def fit_threshold(scores: DataFrame, source: str, score: str = "score", label: s
     return scores.agg(F.coalesce(F.min(F.when(F.col(label) != 0, F.col(score).cast("double"))), F.lit(1.0)).alias("threshold"))
 
 
-def fit_calibration(scores: DataFrame, source: str, logit: str = "logit", label: str = "label", quantile: float = 0.995, exact: bool = True, by: list[str] | None = None) -> DataFrame:
+def fit_calibration(scores: DataFrame, source: str, logit: str = "logit", label: str = "label", quantile: float = 0.995, exact: bool = False, by: list[str] | None = None) -> DataFrame:
     """(by, temperature, threshold): the quantile of negatives' probabilities, 0.5 without negatives.
 
-    Exact quantiles keep every distinct value of a group in memory; pass exact=False for large groups.
+    The quantile is a sketch's, right to one in 100,000 of the ranks. With `exact`, every distinct value of a
+    group is kept in one task's memory: for small groups.
     """
     _source_allowed(source, starts=True)
     p = F.when(F.col(label) == 0, sigmoid(F.col(logit).cast("double")))

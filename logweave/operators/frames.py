@@ -14,21 +14,13 @@ ROLE_PATTERNS = {
     "process": r"(?:process|started)\s+([\w.-]+\.exe)",
     "object": rf"({PATH})",
 }
-FAMILIES = (
-    (("login", "logon", "authenticated"), "authentication"),
-    (("process", "started", ".exe"), "process"),
-    (("download",), "download"),
-    (("accessed", "read"), "read"),
-    (("connect", "network"), "network"),
+ACTION_RULES = (  # words, family, leaf, relation
+    (("login", "logon", "authenticated"), "authentication", "login", "actor_of"),
+    (("process", "started", ".exe"), "process", "start", "process_of"),
+    (("download",), "file", "download", "object_of"),
+    (("accessed", "read"), "file", "read", "object_of"),
+    (("connect", "network"), "network", "connect", "destination_of"),
 )
-FAMILY_DETAILS = {  # step -> family, leaf, relation
-    "authentication": ("authentication", "login", "actor_of"),
-    "process": ("process", "start", "process_of"),
-    "download": ("file", "download", "object_of"),
-    "read": ("file", "read", "object_of"),
-    "network": ("network", "connect", "destination_of"),
-    "unknown": ("unknown", "unknown", "unknown"),
-}
 OUTCOMES = ((("failed", "denied", "error"), "failure"), (("success", "completed", "ok"), "success"))
 KEYWORD_ACTIONS = (
     (("login",), "authenticate"), (("logon",), "authenticate"), (("connect",), "connect"), (("failed",), "fail"), (("error",), "error"), (("delete",), "delete"),
@@ -54,15 +46,14 @@ def extract_frames(parses: DataFrame, message: Column | None = None) -> DataFram
     found = [(role, captured(F.col("__m"), pattern)) for role, pattern in ROLE_PATTERNS.items()]
     found.append(("destination_ip", non_empty(F.regexp_extract("__m", rf"(?U)(?=\d)\b{IP}\b", 0))))
     mentions = F.filter(F.array(*[F.struct(value.alias("raw_value"), F.lit(role).alias("role")) for role, value in found]), lambda m: m["raw_value"].isNotNull() & (m["raw_value"] != ""))
-    out = out.withColumn("entity_mentions", mentions).withColumn("__step", ladder(F.col("__low"), FAMILIES, "unknown"))
-    details = F.create_map(*[x for step, d in FAMILY_DETAILS.items() for x in (F.lit(step), F.struct(*[F.lit(v).alias(n) for n, v in zip(("family", "leaf", "relation"), d, strict=True)]))])
-    out = out.withColumn("__d", details[F.col("__step")])
-    confidence = F.when(F.col("__step") != "unknown", 0.9).otherwise(LOW_CONFIDENCE)
+    of = lambda k: ladder(F.col("__low"), tuple((rule[0], rule[k]) for rule in ACTION_RULES), "unknown")
+    out = out.withColumn("entity_mentions", mentions).withColumns({"__family": of(1), "__leaf": of(2), "__relation": of(3)})
+    confidence = F.when(F.col("__leaf") != "unknown", 0.9).otherwise(LOW_CONFIDENCE)
     return out.withColumns({
-        "record_kind": F.col("__d.family"), "relation_type": F.col("__d.relation"), "action_family": F.col("__d.family"), "action_leaf": F.col("__d.leaf"),
+        "record_kind": F.col("__family"), "relation_type": F.col("__relation"), "action_family": F.col("__family"), "action_leaf": F.col("__leaf"),
         "outcome": ladder(F.col("__low"), OUTCOMES, "unknown"), "roles": F.map_from_entries(F.transform("entity_mentions", lambda m: F.struct(m["role"], m["raw_value"]))),
         "entities": F.transform("entity_mentions", lambda m: m["raw_value"]), "semantic_confidence": confidence, "unknown_score": 1 - confidence, "semantic_version": F.lit(SEMANTIC_VERSION),
-    }).drop("__m", "__low", "__step", "__d")
+    }).drop("__m", "__low", "__family", "__leaf", "__relation")
 
 
 def mentions_of(text: Column) -> Column:

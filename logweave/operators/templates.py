@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.text import mask, squeezed, template_fingerprint
+from logweave.operators.pinning import pin_table
 
 CACHE_VERSION = "templates-1"
 
@@ -32,15 +34,35 @@ def load_catalog(spark, path: str, version: str = CACHE_VERSION) -> DataFrame:
     return spark.read.parquet(path).where(checked).drop("cache_version")
 
 
-def merge_similar(found: DataFrame, threshold: float = 0.4) -> DataFrame:
+def _buckets(found: DataFrame, most: int) -> DataFrame:
+    """Adds bucket: number of words and the first one, and further words in place where that holds more than `most` templates.
+
+    A word with a digit or a placeholder stands for any. Templates alike in all words, if there are too
+    many of them, are buckets of their own.
+    """
+    words = F.split(squeezed(F.col("template")), " ")
+    at = lambda k: F.when(F.regexp_like(F.get("__words", F.lit(k)), F.lit(r"\d|<")), "<*>").otherwise(F.get("__words", F.lit(k)))
+    rest = found.withColumn("__words", words).withColumn("bucket", F.concat_ws("|", F.size("__words"), at(0)))
+    done, depth = [], 1
+    while True:
+        large = pin_table(rest.groupBy("bucket").count().where(F.col("count") > most).select("bucket"), "large_buckets")
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, [*done, rest]).drop("__words")
+        done.append(rest.join(large, "bucket", "left_anti"))
+        more = F.when(F.size("__words") > depth, at(depth)).otherwise(F.col("fingerprint"))
+        rest = rest.join(large, "bucket", "left_semi").withColumn("bucket", F.concat_ws("|", "bucket", more))
+        depth += 1
+
+
+def merge_similar(found: DataFrame, threshold: float = 0.4, most: int = 2000) -> DataFrame:
     """Adds cluster (the first member's fingerprint) and cluster_template (differing words as <*>) to a catalog.
 
     Templates can only merge with others of as many words and the same first one, and join the first
-    cluster, in order of size, that has at least `threshold` of its words in place. The catalog has
-    one row a template, so its groups are as large as a program's messages of a length.
+    cluster, in order of size, that has at least `threshold` of its words in place. A bucket of more than
+    `most` templates is split by further words, so none is compared with more than that many, and
+    templates that differ in those words stay apart.
     """
-    words = F.split(squeezed(F.col("template")), " ")
-    keyed = found.withColumn("bucket", F.concat_ws("|", F.size(words), F.when(F.regexp_like(F.get(words, F.lit(0)), F.lit(r"\d|<")), "<*>").otherwise(F.get(words, F.lit(0)))))
+    keyed = _buckets(found, most)
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["size", "fingerprint"], ascending=[False, True])

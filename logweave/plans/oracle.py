@@ -6,7 +6,7 @@ query's rows need the same base, that is a snippet here.
 
 from __future__ import annotations
 
-from logweave.operators.frames import FAMILIES, FAMILY_DETAILS, KEYWORD_ACTIONS, KEYWORD_OUTCOMES, OUTCOMES
+from logweave.operators.frames import ACTION_RULES, KEYWORD_ACTIONS, KEYWORD_OUTCOMES, OUTCOMES
 from logweave.operators.graph import EDGE_OF_ROLE
 
 SQL: dict[str, str] = {}
@@ -74,18 +74,18 @@ p AS (SELECT template AS t, count(*) AS n FROM printed GROUP BY 1),
 b AS (SELECT coalesce(sum(least(g.n, p.n)), 0) AS common FROM g JOIN p USING (t))
 SELECT count(*) AS rows, avg((original = template)::INT) AS grouping_accuracy, 2 * any_value(common)::DOUBLE / (count(original) + count(template)) AS template_f1 FROM printed, b"""
 
+_action = lambda k: _ladder("low", tuple((rule[0], rule[k]) for rule in ACTION_RULES), "unknown")
 SQL["event_frames_rules"] = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, lower(coalesce(text, '')) AS low FROM documents),
 s AS (
-  SELECT *, {_ladder("low", FAMILIES, "unknown")} AS step,
+  SELECT *, {_action(1)} AS action_family, {_action(2)} AS action_leaf, {_action(3)} AS relation_type,
     rtrim(regexp_extract(text, '(?i)(?:user|account|principal)\s+([A-Za-z][\p{{L}}\p{{N}}_.-]*)', 1), '.,;)') AS actor,
     rtrim(regexp_extract(text, '(?i)host[- ]?([A-Za-z0-9_.-]+)', 1), '.,;)') AS destination_host,
     rtrim(regexp_extract(text, '(?i)(?:process|started)\s+([\p{{L}}\p{{N}}_.-]+\.exe)', 1), '.,;)') AS process,
     rtrim(regexp_extract(text, '((?:[A-Za-z]:\\|/)[^\s,;]+)', 1), '.,;)') AS object,
     regexp_extract(text, '\b(?:\d{{1,3}}\.){{3}}\d{{1,3}}\b') AS destination_ip
   FROM d)
-SELECT doc_id, {_of("step", {k: v[0] for k, v in FAMILY_DETAILS.items()}, "unknown")} AS action_family, {_of("step", {k: v[1] for k, v in FAMILY_DETAILS.items()}, "unknown")} AS action_leaf,
-  {_of("step", {k: v[2] for k, v in FAMILY_DETAILS.items()}, "unknown")} AS relation_type, {_ladder("low", OUTCOMES, "unknown")} AS outcome, CASE WHEN step = 'unknown' THEN 0.35 ELSE 0.9 END::DOUBLE AS semantic_confidence,
+SELECT doc_id, action_family, action_leaf, relation_type, {_ladder("low", OUTCOMES, "unknown")} AS outcome, CASE WHEN action_leaf = 'unknown' THEN 0.35 ELSE 0.9 END::DOUBLE AS semantic_confidence,
   actor, destination_host, process, object, destination_ip, ((actor <> '')::INT + (destination_host <> '')::INT + (process <> '')::INT + (object <> '')::INT + (destination_ip <> '')::INT)::BIGINT AS n_mentions
 FROM s"""
 
@@ -246,7 +246,7 @@ SQL["entity_memory"] = f"WITH {ALL} SELECT 'user' AS entity_type, value, count(*
 SQL["entity_rarity"] = f"WITH {ALL}, n AS (SELECT count(DISTINCT id) AS n FROM u) SELECT value, round(ln(any_value(n)::DOUBLE / count(DISTINCT id)), 9) AS rarity FROM u, n GROUP BY value"
 SQL["suspicious_values"] = f"WITH {ALL} SELECT DISTINCT value FROM u"
 SQL["pair_evidence"] = """
-WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS b, lag(embedding::DOUBLE[]) OVER w AS a, lag(vec_id) OVER w AS before_id FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS b, lag(embedding::DOUBLE[]) OVER w AS a, lag(vec_id) OVER w AS before_id FROM embeddings WINDOW w AS (PARTITION BY label, vec_id // 1000 ORDER BY vec_id)),
 p AS (SELECT *, greatest((vec_id - before_id) * 600, 0) / 3600.0 AS h FROM e WHERE a IS NOT NULL)
 SELECT vec_id, round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 6) AS cosine, (4 * len(a) + 4)::BIGINT AS n,
   round(list_sum(a) + list_sum(b) + list_dot_product(a, b) + list_sum(list_transform(range(1, len(a) + 1), lambda i: abs(a[i] - b[i]))) + exp(-h) + exp(-h / 6) + exp(-h / 24) + 1, 4) AS total
@@ -283,7 +283,7 @@ SQL["ranking_loss"] = f"""
 WITH {SCORED}, p AS (SELECT a.source, avg(ln(1 + exp(1 - (a.x * 2 - 0.1) + (b.x * 2 - 0.1)))) AS r FROM s a JOIN s b ON a.source = b.source AND a.label <> 0 AND b.label = 0 GROUP BY a.source)
 SELECT DISTINCT s.source AS batch, round(coalesce(r, 0), 6) AS ranking FROM s LEFT JOIN p USING (source)"""
 SQL["vector_losses"] = """
-WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, lead(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings),
+WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, lead(embedding::DOUBLE[]) OVER (PARTITION BY label, vec_id // 1000 ORDER BY vec_id) AS nxt FROM embeddings),
 a AS (SELECT avg(ln(list_sum(list_transform(v, lambda x: exp(x)))) - v[label + 1]) AS nll FROM e WHERE vec_id % 10 <> 0),
 b AS (SELECT (avg(greatest(0, 1 - v[1] + v[2])) + avg(greatest(0, 1 - v[3] + v[4]))) / 2 AS m FROM e),
 c AS (SELECT 1 - avg(list_dot_product(v, nxt) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(nxt, nxt)))) AS c FROM e WHERE nxt IS NOT NULL)

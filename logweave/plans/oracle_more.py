@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from logweave.plans import oracle
 from logweave.plans.oracle import FRAMES, LINKS, MASKED, RAW, _start, _window
 
 SQL: dict[str, str] = {}
@@ -44,6 +45,7 @@ WITH {MASKED.replace("documents", "conversations").replace("doc_id", "conv_id")}
 SELECT fingerprint, count(*) AS size, sha256(min(template)) AS template_sha256 FROM printed GROUP BY fingerprint"""
 SQL["prediction_export"] = "SELECT doc_id AS record_id, (quality * 0.5 + 0.25)::DOUBLE AS score FROM labels"
 
+SQL["log_pipeline"] = oracle.SQL["attack_queues"]
 SQL["stream_tail"] = f"""
 SELECT 'event ' || event_id AS message, CASE WHEN event_id % 6 > 0 THEN {_ISO} ELSE '' END AS time, CASE WHEN event_id % 6 > 0 THEN '' ELSE 'missing_timestamp' END AS reason FROM events"""
 SQL["stream_entity_spans"] = """

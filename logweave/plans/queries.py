@@ -402,8 +402,8 @@ def suspicious_values(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def pair_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """Cosine of each embedding with the one before it of its label, and a digest of the pair's features."""
-    w = W.partitionBy("label").orderBy("vec_id")
+    """Cosine of each embedding with the one before it of its label, among each thousand ids, and a digest of the pair's features."""
+    w = W.partitionBy("label", F.floor(F.col("vec_id") / 1000)).orderBy("vec_id")
     e = table(spark, sf, "embeddings").select("vec_id", "embedding", F.lag("embedding").over(w).alias("before"), F.lag("vec_id").over(w).alias("before_id")).where("before is not null")
     gap = (F.col("vec_id") - F.col("before_id")) * 600
     f = vectors.pair_features(F.col("before"), F.col("embedding"), scores.decays(gap), F.array(F.lit(1.0)))
@@ -475,7 +475,7 @@ def threshold_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def calibration_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.fit_calibration(_scored(spark, sf), "documents", "fused_logit", by=["source"]).select("source", "temperature", F.round("threshold", 9).alias("threshold"))
+    return evaluate.fit_calibration(_scored(spark, sf), "documents", "fused_logit", exact=True, by=["source"]).select("source", "temperature", F.round("threshold", 9).alias("threshold"))
 
 
 @query
@@ -502,7 +502,7 @@ def vector_losses(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").withColumn("target", F.when(F.col("vec_id") % 10 == 0, -100).otherwise(F.col("label")))
     nll = evaluate.mean_slot_nll(e, "embedding")
     margin = evaluate.inverse_margin(e, [(0, 1), (2, 3)], "embedding")
-    pairs = e.withColumn("next", F.lead("embedding").over(W.partitionBy("label").orderBy("vec_id"))).where("next is not null")
+    pairs = e.withColumn("next", F.lead("embedding").over(W.partitionBy("label", F.floor(F.col("vec_id") / 1000)).orderBy("vec_id"))).where("next is not null")
     contrast = evaluate.cosine_contrast(pairs, "embedding", "next")
     both = nll.join(margin, F.lit(True)).join(contrast, F.lit(True))
     return both.select(*[F.round(c, 5).alias(c) for c in ("slot_nll", "margin", "contrast")])

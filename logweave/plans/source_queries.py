@@ -10,6 +10,7 @@ from logweave.operators import links, parse, sinks, templates
 from logweave.operators.pinning import new_table_path, pin_table
 from logweave.plans.campaigns import DAY, user_windows
 from logweave.plans.events import event_frames, table
+from logweave.plans.log_pipeline import run_log_pipeline
 from logweave.plans.queries import event_stream, query, raw_documents
 from logweave.sources import raw
 from logweave.sources.readers import read_csv_stream, read_discovered, read_event_stream, read_event_text, read_event_xml, read_flow_csv, read_timed_text
@@ -176,6 +177,15 @@ def prediction_export(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("record_id long, score double").json(path)
 
 
+@query
+def log_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors as a log of timed lines through the whole chain of a log: its attack queues."""
+    line = F.concat(_iso("ts"), F.lit(" User u"), F.col("user_id").cast("string"), F.lit(" failed to read item "), F.col("event_id").cast("string"))
+    path = _text_folder(table(spark, sf, "events").where("event_type = 'error'").select(line.alias("value")), "log")
+    q = run_log_pipeline(spark, path, "events").queues
+    return q.select("queue_id", F.size("window_ids").cast("long").alias("windows"), F.element_at("window_ids", 1).alias("first_window"), F.element_at("window_ids", -1).alias("last_window"))
+
+
 # Streams
 
 

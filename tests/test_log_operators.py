@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,3 +290,30 @@ def test_leakage(spark, rows):
     found = splits.leakage_findings(df)
     assert rows(found, "finding", "record_id") == [("duplicate_record_id", "r"), ("target_access", "r"), ("test_label_training", "r")]
     assert not splits.audit_passed(found) and splits.audit_passed(splits.leakage_findings(df.limit(0)))
+
+
+def brute_clusters(templates, threshold):
+    """(template) -> first member's template: join the first cluster, larger templates first, that agrees in enough places."""
+    clusters = []
+    for size, fp, t in sorted(templates, key=lambda x: (-x[0], x[1])):
+        w = t.split()
+        first = lambda x: "<*>" if re.search(r"\d|<", x) else x
+        for c in clusters:
+            same = sum(a == b for a, b in zip(c["words"], w, strict=False))
+            if len(c["words"]) == len(w) and c["first"] == first(w[0] if w else "") and same >= threshold * max(1, len(w)):
+                c["words"] = [a if a == b else "<*>" for a, b in zip(c["words"], w, strict=True)]
+                c["members"].append(fp)
+                break
+        else:
+            clusters.append({"words": w, "first": first(w[0] if w else ""), "members": [fp], "head": fp})
+    return {m: (c["head"], " ".join(c["words"])) for c in clusters for m in c["members"]}
+
+
+def test_similar_templates_by_brute_force(spark):
+    lines = [f"{a} {b} host {c} took 7 ms {d}" for a in ("open", "close", "x1") for b in ("file", "port", "socket") for c in ("a", "b") for d in ("ok", "failed", "late")] + ["open it", "", "one"]
+    found = templates.catalog(templates.masked(spark.createDataFrame([(x,) for x in lines for _ in range(1 + len(x) % 3)], "text string"))).cache()
+    want = brute_clusters([(r["size"], r.fingerprint, r.template) for r in found.collect()], 0.7)
+    got = {r.fingerprint: (r.cluster, r.cluster_template) for r in templates.merge_similar(found, 0.7).collect()}
+    assert got == want and len({c for c, _ in got.values()}) > 5
+    split = templates.merge_similar(found, 0.2, most=4).collect()
+    assert len(split) == found.count() and max(Counter(r.cluster for r in split).values()) <= 4
