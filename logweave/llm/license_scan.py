@@ -136,7 +136,7 @@ def _variant(words: list[bytes], strange: list[bytes], rng: np.random.Generator)
     return around[:cut] + [w for w, k in zip(words, keep, strict=True) if k] + around[cut:]
 
 
-def fit_license_model(sample: list[str], seed: int = 5, epochs: int = 12) -> LicenseModel:
+def fit_license_model(sample: list[str], seed: int = 5, epochs: int = 12, batch: int = 64) -> LicenseModel:
     """Fits on the templates and on `sample`, a bounded list of texts or lines that stand for what isn't a licence. The same input gives the same model.
 
     A model that takes a paragraph without any known word for a licence is refused, as the scan passes over those.
@@ -166,22 +166,24 @@ def fit_license_model(sample: list[str], seed: int = 5, epochs: int = 12) -> Lic
     weights, bias = np.zeros((len(grams), len(families))), np.zeros(len(families))
     squares, bias_squares = np.full_like(weights, 1e-2), np.full_like(bias, 1e-2)
     model = LicenseModel(families, known, weights, bias, 1.0, [[pairs_of(words_of(t.encode())) for t in TEMPLATES[f]] for f in families[:-1]])
-    prepared = [np.unique(np.asarray(r, np.int64)) for r in rows]
+    prepared, target = [np.unique(np.asarray(r, np.int64)) for r in rows], np.asarray(classes)
+    train = np.array([i for i in range(len(rows)) if i not in held])
     for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            if i in held:
-                continue
-            g = prepared[i]
-            scale = 1 / np.sqrt(max(1, len(g)))
-            z = bias + weights[g].sum(axis=0) * scale
-            e = np.exp(z - z.max())
-            e /= e.sum()
-            e[classes[i]] -= 1
-            bias_squares += e * e
-            bias -= 0.3 * e / np.sqrt(bias_squares)
-            step = e * scale
-            squares[g] += step * step
-            weights[g] -= 0.3 * step / np.sqrt(squares[g]) + 1e-5 * weights[g]
+        for part in np.array_split(rng.permutation(train), max(1, len(train) // batch)):
+            lengths = np.array([len(prepared[i]) for i in part])
+            g, of = np.concatenate([prepared[i] for i in part]), np.repeat(np.arange(len(part)), lengths)
+            scale = (1 / np.sqrt(np.maximum(1, lengths)))[of, None]
+            z = np.tile(bias, (len(part), 1))
+            np.add.at(z, of, weights[g] * scale)
+            e = np.exp(z - z.max(axis=1, keepdims=True))
+            e /= e.sum(axis=1, keepdims=True)
+            e[np.arange(len(part)), target[part]] -= 1
+            bias_squares += e.sum(axis=0) ** 2
+            bias -= 0.3 * e.sum(axis=0) / np.sqrt(bias_squares)
+            step = np.zeros_like(weights)
+            np.add.at(step, g, e[of] * scale)
+            squares += step * step
+            weights -= 0.3 * step / np.sqrt(squares) + 1e-5 * weights
     tested = [(model.logits(rows[i]), classes[i]) for i in sorted(held)]
 
     def loss(t: float) -> float:
