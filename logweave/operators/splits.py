@@ -67,5 +67,5 @@ def audit_passed(findings: DataFrame) -> bool:
 
 
 def hard_negatives(candidates: DataFrame, count: int, id_col: str = "record_id", seed: int = 0) -> DataFrame:
-    """`count` rows, or all: those whose ids hash lowest with the seed. A top-k, so no sort of all rows."""
-    return candidates.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(count)
+    """`count` rows, or all: those whose ids' SHA-256 with the seed is lowest. A top-k, so no sort of all rows."""
+    return candidates.orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")), 256), id_col).limit(count)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.ids import canonical_json, configuration_hash, content_hash
 from logweave.functions.timebuckets import epoch_buckets
-from logweave.operators import entities, evaluate, features, governance, graph, links, sinks, windows
+from logweave.operators import entities, evaluate, features, fusion, governance, graph, links, sinks, windows
 from logweave.operators.pinning import new_table_path, pin_table
 from logweave.plans.campaigns import DAY, user_windows
 from logweave.plans.events import event_frames, joined_text, table
@@ -35,6 +35,13 @@ def rule_labels(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.label_rule(table(spark, sf, "customer"), F.col("c_name"), "7").select("c_custkey", "label")
 
 
+@query
+def weighted_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents' lengths and labels as scores, fused by weights alone."""
+    y = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("a"), F.col("toxic").alias("b"), (F.col("doc_id") % 10).alias("c"))
+    return fusion.weighted_fusion(y, {"a": 0.5, "b": -0.25, "c": 1.0}).select("doc_id", F.round("score", 9).alias("score"))
+
+
 @query
 def rule_entities(spark: SparkSession, sf: str) -> DataFrame:
     """Names of customers and suppliers as typed rows, with defaults for what they lack."""

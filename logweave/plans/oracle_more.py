@@ -61,6 +61,7 @@ WITH j AS (SELECT o_orderkey, {_JSON.replace("{0}", "'key\":\"' || o_orderkey ||
 SELECT o_orderkey, whole AS payload_json, sha256(whole) AS source_hash, sha256(settings) AS config_hash FROM j"""
 SQL["epoch_windows"] = "SELECT event_id, (epoch_us(ts) // 300000000)::BIGINT AS micro, (epoch_us(ts) // 1800000000)::BIGINT AS macro FROM events"
 SQL["rule_labels"] = "SELECT c_custkey, contains(c_name, '7')::INT AS label FROM customer"
+SQL["weighted_scores"] = "SELECT doc_id, round((0.5 * quality - 0.25 * toxic + doc_id % 10) / 1.25, 9) AS score FROM labels"
 SQL["rule_entities"] = """
 WITH c AS (SELECT c_name AS raw_value, CASE WHEN c_custkey % 2 = 0 THEN 'user' ELSE 'unknown' END AS entity_type, CASE WHEN c_custkey % 3 = 0 THEN lower(c_name) ELSE c_name END AS canonical_value FROM customer)
 SELECT *, 0.5::DOUBLE AS confidence, 'rule' AS resolution_method, sha256('c|' || entity_type || '|' || canonical_value || '|') AS entity_id FROM c"""

@@ -45,21 +45,24 @@ def record_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def text_source_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """documents written as text files, a file a task, and read back: numbered non-blank lines by dataset."""
+    """documents written as text files, a file a task, and read back: how often each non-blank line is there, each time under an id of its own."""
     path = new_table_path(spark, "text_source")
     table(spark, sf, "documents").select(F.translate("text", "\r", " ").alias("value")).write.text(path, lineSep="\n")
     kept = read_text_log(spark, path)
-    return kept.agg(F.count("*").alias("records"), F.countDistinct("raw_record_id").alias("record_ids"), F.sum(F.length("payload_text")).alias("chars"))
+    return kept.groupBy(F.sha2(F.col("payload_text").cast("binary"), 256).alias("line_sha256")).agg(F.count("*").alias("records"), F.countDistinct("raw_record_id").alias("record_ids"))
 
 
 @query
 def text_source_all_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """conversations' texts as one log: every physical line, blank or not, and whether its number is dense in its file."""
+    """conversations' texts as one log, every second one with a time: lines by the time found in them, blank ones too, and files whose numbers have gaps."""
     path = new_table_path(spark, "text_lines")
-    table(spark, sf, "conversations").select(F.translate("text", "\r", " ").alias("value")).write.text(path, lineSep="\n")
+    stated = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" at 2026-02-03T04:05:0"), (F.col("turn") % 10).cast("string"), F.lit(".25Z"))).otherwise("")
+    table(spark, sf, "conversations").select(F.concat(F.translate("text", "\r", " "), stated).alias("value")).where("value is not null").write.text(path, lineSep="\n")
     lines = read_any_text(spark, path, "conversations")
+    times = lines.groupBy(F.coalesce("raw_timestamp", F.lit("")).alias("time")).agg(F.count("*").alias("lines"))
     per = lines.groupBy("source_file").agg(F.count("*").alias("n"), F.max("source_line").alias("last"), F.min("source_line").alias("first"))
-    return per.agg(F.sum("n").alias("lines"), F.sum(F.when((F.col("n") == F.col("last")) & (F.col("first") == 1), 0).otherwise(1)).cast("long").alias("gaps"))
+    gaps = F.sum(F.when((F.col("n") == F.col("last")) & (F.col("first") == 1), 0).otherwise(1)).cast("long")
+    return times.unionByName(per.agg(F.lit("gaps").alias("time"), gaps.alias("lines")))
 
 
 @query

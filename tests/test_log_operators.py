@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 
@@ -317,3 +318,14 @@ def test_similar_templates_by_brute_force(spark):
     assert got == want and len({c for c, _ in got.values()}) > 5
     split = templates.merge_similar(found, 0.2, most=4).collect()
     assert len(split) == found.count() and max(Counter(r.cluster for r in split).values()) <= 4
+
+
+def test_registered_template_clusters_by_brute_force(spark):
+    from logweave.plans.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{folder}/conversations.parquet").select(F.explode(F.split("text", "\n")).alias("text"))
+    found = templates.catalog(templates.masked(lines)).collect()
+    want = brute_clusters([(r["size"], r.fingerprint, r.template) for r in found], 0.4)
+    got = {r.fingerprint: (r.cluster, r.cluster_sha256) for r in QUERIES["template_clusters"](spark, folder).collect()}
+    assert got == {k: (c, hashlib.sha256(t.encode()).hexdigest()) for k, (c, t) in want.items()}
