@@ -183,11 +183,20 @@ def text_hash(text: str) -> Column:
     return F.xxhash64(F.col(text).cast("string"))
 
 
+#: Rows of keys, of 17 bytes each, that are broadcast to wide rows rather than shuffled with them.
+MAX_BROADCAST = 1 << 19
+
+
+def counted_broadcast(keys: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
+    """`keys`, pinned and narrow, to be broadcast if a count says that they are at most `most` rows."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
 def kept_rows(docs: DataFrame, rows: DataFrame, kept: DataFrame, id_col: str, text: str) -> DataFrame:
     """The rows of `docs` whose id and text are in `kept` (id, hash), one of those that repeat with both.
 
-    `rows` (id, hash) has all of them, pinned. What goes is usually little, and a table of known size,
-    so Spark broadcasts it under its own bound; beyond that, rows meet it by their hash.
+    `rows` (id, hash) has all of them, pinned. What goes is usually little: it is broadcast if a count says
+    so, and texts stay where they are; beyond that, rows meet it by their hash.
     """
     same = lambda a, b: a["__id"].eqNullSafe(b["id"]) & (a["__hash"] == b["hash"])
     chosen = kept.select(F.col("id").alias("__kid"), F.col("hash").alias("__khash"))
@@ -195,10 +204,10 @@ def kept_rows(docs: DataFrame, rows: DataFrame, kept: DataFrame, id_col: str, te
     decided = counted.join(chosen, F.col("id").eqNullSafe(F.col("__kid")) & (F.col("hash") == F.col("__khash")), "left").select("id", "hash", "n", F.col("__khash").isNotNull().alias("keep"))
     special = pin_table(decided.where("not keep or n > 1"), "not_once")
     own = docs.select("*", F.col(id_col).cast("long").alias("__id"), text_hash(text).alias("__hash"))
-    out = own.join(special, same(own, special), "left_anti")
+    out = own.join(counted_broadcast(special), same(own, special), "left_anti")
     repeated = special.where("keep")
     if not repeated.isEmpty():
-        out = out.unionByName(own.join(repeated, same(own, repeated), "left_semi").dropDuplicates(["__id", "__hash"]))
+        out = out.unionByName(own.join(counted_broadcast(repeated), same(own, repeated), "left_semi").dropDuplicates(["__id", "__hash"]))
     return out.drop("__id", "__hash")
 
 
