@@ -9,7 +9,7 @@ so a join on filters finds them, and the exact cosine, in double precision, veri
 
 The bar follows from the number of vectors of a label, so that a filter holds a few of them on
 average at any size, and the size of the code from the bar, so that a pair at the cosine bound is
-expected in COMMON common filters. Labels of sizes within a factor of four share their codes. There
+expected in COMMON common filters. Labels of sizes within a factor of two share their codes. There
 are a few independent ones, which evens out how well a turned vector suits its blocks. In fewer than
 8 dimensions a code has one block, in one dimension the two directions there are.
 
@@ -36,7 +36,7 @@ from logweave.operators.components import components
 from logweave.operators.pinning import pin, pin_table
 
 COMMON = 20.0
-PER_FILTER = 8.0
+PER_FILTER = 64.0
 CODES = 4
 MAX_WORDS = 1024
 TILE = 1024
@@ -194,10 +194,10 @@ def cap_links(nodes: DataFrame, cosine: float, seed: int = 7) -> tuple[DataFrame
     `links` counts the vectors, weights included, that the node links with; the edges connect what links connect.
     """
     dims = nodes.select("node", "label", "vector", F.size("vector").alias("dim"))
-    # 0, 1, 2, …: labels of up to 1, 4, 16, … vectors of a dimension
-    octave = F.greatest(F.ceil(F.log2(F.count("*").cast("double")) / 2), F.lit(0)).cast("int")
+    # 0, 1, 2, …: labels of up to 1, 2, 4, … vectors of a dimension
+    octave = F.ceil(F.log2(F.count("*").cast("double"))).cast("int")
     sizes = pin_table(dims.groupBy("label", "dim").agg(octave.alias("size_class")), "cap_sizes")
-    codes = {(r.dim, r.size_class): code_parameters(4**r.size_class, r.dim, cosine) for r in sizes.select("dim", "size_class").distinct().collect()}  # as many as dimensions and powers of four
+    codes = {(r.dim, r.size_class): code_parameters(2**r.size_class, r.dim, cosine) for r in sizes.select("dim", "size_class").distinct().collect()}  # as many as dimensions and powers of two
 
     def filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
