@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import oracle
+from logweave.llm import oracle, oracle_urls
 from logweave.llm.cap_filters import vector_groups
 from logweave.llm.license_scan import license_scan
 from logweave.llm.line_dedup import line_dedup
@@ -18,6 +18,8 @@ from logweave.llm.sharding import shard_documents
 from logweave.llm.simhash import simhash_groups
 from logweave.llm.site_quality import site_quality
 from logweave.llm.token_counts import token_counts
+from logweave.llm.url_filter import filter_urls
+from logweave.llm.word_runs import periodic_runs
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,11 +66,20 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(_table(spark, sf_dir, "documents"), planted=True)
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_simhash_bktree, op2_spherical_cap_filters, op3_license_scan, op4_line_first_quality, op5_token_counts)
     ops += (op6_site_quality, op7_extendible_shards, op8_line_runs_dedup, op9_pareto_mix, op10_best_fit_packing)
+    ops += (op11_periodic_runs, op13_url_filter)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_first_quality": oracle.OP4, "op7_extendible_shards": oracle.OP7, "op8_line_runs_dedup": oracle.OP8, "op9_pareto_mix": oracle.OP9}
+    return {"op4_line_first_quality": oracle.OP4, "op7_extendible_shards": oracle.OP7, "op8_line_runs_dedup": oracle.OP8, "op9_pareto_mix": oracle.OP9, "op13_url_filter": oracle_urls.OP13}
