@@ -13,6 +13,7 @@ from logweave.llm.license_scan import license_scan
 from logweave.llm.line_dedup import line_dedup
 from logweave.llm.mixing import mix_sources
 from logweave.llm.packing import pack_documents
+from logweave.llm.phrases import collocations
 from logweave.llm.quality_rules import quality_rules
 from logweave.llm.sharding import shard_documents
 from logweave.llm.simhash import simhash_groups
@@ -70,6 +71,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(_table(spark, sf_dir, "documents"), planted=True)
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"))
 
@@ -77,9 +82,9 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_simhash_bktree, op2_spherical_cap_filters, op3_license_scan, op4_line_first_quality, op5_token_counts)
     ops += (op6_site_quality, op7_extendible_shards, op8_line_runs_dedup, op9_pareto_mix, op10_best_fit_packing)
-    ops += (op11_periodic_runs, op13_url_filter)
+    ops += (op11_periodic_runs, op12_phrase_collocations, op13_url_filter)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_first_quality": oracle.OP4, "op7_extendible_shards": oracle.OP7, "op8_line_runs_dedup": oracle.OP8, "op9_pareto_mix": oracle.OP9, "op13_url_filter": oracle_urls.OP13}
+    return {"op4_line_first_quality": oracle.OP4, "op7_extendible_shards": oracle.OP7, "op8_line_runs_dedup": oracle.OP8, "op9_pareto_mix": oracle.OP9, "op12_phrase_collocations": oracle.OP12, "op13_url_filter": oracle_urls.OP13}
