@@ -9,7 +9,11 @@ SQL: dict[str, str] = {}
 _ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')"
 
 SQL["csv_source"] = """
-SELECT doc_id, sha256(replace(coalesce(text, ''), chr(13), ' ')) AS note_sha256, CASE WHEN doc_id % 2 = 0 THEN 't' ELSE 's' END || doc_id AS raw_timestamp, 4::BIGINT AS n_fields FROM documents"""
+SELECT doc_id, sha256(coalesce(text, '')) AS note_sha256, CASE WHEN doc_id % 3 > 0 THEN source ELSE '' END AS unnamed, CASE WHEN doc_id % 2 = 0 THEN 't' ELSE 's' END || doc_id AS raw_timestamp, 5::BIGINT AS n_fields FROM documents"""
+SQL["adapter_sources"] = f"""
+SELECT dataset_id, event_id, CASE WHEN version = 'loghub_text_v1' THEN 'text' ELSE 'json' END AS format, version AS adapter_version,
+  CASE version WHEN 'csv_stream_v1' THEN {_ISO} WHEN 'lanl_dns_v1' THEN event_id::VARCHAR ELSE '' END AS time, true AS has_id
+FROM events, (VALUES ('loghub_2_0', 'loghub_text_v1'), ('sandworm_flow', 'csv_stream_v1'), ('lanl_comprehensive', 'lanl_dns_v1'), ('evtx_attack_samples', 'event_xml_v1')) v(dataset_id, version)"""
 SQL["csv_stream_source"] = """
 SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN 'k' || o_orderkey ELSE 'late' END AS raw_timestamp, 'ctu13_selected' AS dataset_id, 'json' AS format FROM orders"""
 SQL["headerless_stream"] = """

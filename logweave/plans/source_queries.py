@@ -13,7 +13,7 @@ from logweave.plans.events import event_frames, table
 from logweave.plans.log_pipeline import run_log_pipeline
 from logweave.plans.queries import event_stream, query, raw_documents
 from logweave.sources import raw
-from logweave.sources.readers import read_csv_stream, read_discovered, read_event_stream, read_event_text, read_event_xml, read_flow_csv, read_timed_text
+from logweave.sources.readers import adapter_for, read_csv_stream, read_discovered, read_event_stream, read_event_text, read_event_xml, read_flow_csv, read_timed_text
 from logweave.streaming import jobs
 
 CSV = {"header": True, "quoteAll": True, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -29,15 +29,38 @@ def _text_folder(df: DataFrame, name: str) -> str:
     return path
 
 
+def _xml_folder(events: DataFrame, path: str) -> str:
+    """Rendered events (event_id, value) as files, a thousand to a file."""
+    files = events.groupBy((F.col("event_id") / 1000).cast("long").alias("file")).agg(F.concat(F.lit("<Events>"), F.array_join(F.collect_list("value"), ""), F.lit("</Events>")).alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
 @query
 def csv_source(spark: SparkSession, sf: str) -> DataFrame:
-    """documents as CSV with a header, whole texts with their line breaks in quotes, and read back: every second lacks the first choice of time."""
+    """documents as CSV and read back: whole texts with their line breaks in quotes, a name over two lines, an unnamed column, empty cells; every second row lacks the first choice of time."""
     path = new_table_path(spark, "csv_source")
     d = table(spark, sf, "documents")
     first = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("t"), "doc_id")).otherwise("")
-    d.select(F.col("doc_id").cast("string"), F.translate(F.coalesce("text", F.lit("")), "\r", " ").alias("note"), first.alias("timestamp"), F.concat(F.lit("s"), "doc_id").alias("StartTime")).write.options(**CSV).csv(path)
-    found = read_flow_csv(spark, path)
-    return found.select(F.col("payload_map")["doc_id"].cast("long").alias("doc_id"), F.sha2(F.col("payload_map")["note"].cast("binary"), 256).alias("note_sha256"), "raw_timestamp", F.size("payload_map").cast("long").alias("n_fields"))
+    cells = d.select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("the\nnote"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).otherwise("").alias(""), first.alias("timestamp"), F.concat(F.lit("s"), "doc_id").alias("StartTime"))
+    cells.write.options(**CSV).csv(path)
+    m = F.col("payload_map")
+    return read_flow_csv(spark, path).select(m["doc_id"].cast("long").alias("doc_id"), F.sha2(m["the\nnote"].cast("binary"), 256).alias("note_sha256"), m[""].alias("unnamed"), "raw_timestamp", F.size("payload_map").cast("long").alias("n_fields"))
+
+
+@query
+def adapter_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """events as four kinds of files, each read by the reader of its dataset to the one kind of record."""
+    root, e = new_table_path(spark, "adapters"), table(spark, sf, "events").withColumn("id", F.col("event_id").cast("string"))
+    e.select(F.concat_ws(" ", "id", "event_type").alias("value")).write.text(f"{root}/text")
+    e.select("id", _iso("ts").alias("Timestamp")).write.options(**CSV).csv(f"{root}/flow")
+    e.select(F.concat_ws(",", "id", "event_type", F.lit("c")).alias("value")).write.text(f"{root}/dns.txt")
+    _xml_folder(e.select("event_id", F.format_string("<Event><System><EventID>%s</EventID><Computer>c</Computer></System></Event>", "id").alias("value")), f"{root}/xml")
+    read = lambda dataset, name: adapter_for(dataset)(spark, f"{root}/{name}").select(*raw.RAW)
+    m = F.col("payload_map")
+    found = read("loghub_2_0", "text").unionByName(read("sandworm_flow", "flow")).unionByName(read("lanl_comprehensive", "dns.txt")).unionByName(read("evtx_attack_samples", "xml"))
+    event = F.coalesce(F.substring_index("payload_text", " ", 1), m["id"], m["time"], m["EventID"]).cast("long")
+    return found.select("dataset_id", event.alias("event_id"), "format", "adapter_version", F.coalesce("raw_timestamp", F.lit("")).alias("time"), (F.length("raw_record_id") > 0).alias("has_id"))
 
 
 @query
@@ -65,9 +88,7 @@ def event_xml_source(spark: SparkSession, sf: str) -> DataFrame:
     """events as rendered XML, a thousand to a file, and read back."""
     head = F.format_string("<Event><System><EventID>%s</EventID><Computer>c</Computer><Channel>%s</Channel><TimeCreated SystemTime='%s'/></System>", F.col("event_id").cast("string"), F.col("event_type"), _iso("ts"))
     data = F.format_string("<EventData><Data Name='User'>%s</Data><Data Name='EventID'>own</Data></EventData></Event>", F.col("user_id").cast("string"))
-    path = new_table_path(spark, "xml")
-    files = table(spark, sf, "events").select((F.col("event_id") / 1000).cast("long").alias("file"), F.concat(head, data).alias("value")).groupBy("file").agg(F.concat(F.lit("<Events>"), F.array_join(F.collect_list("value"), ""), F.lit("</Events>")).alias("value"))
-    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    path = _xml_folder(table(spark, sf, "events").select("event_id", F.concat(head, data).alias("value")), new_table_path(spark, "xml"))
     m = F.col("payload_map")
     return read_event_xml(spark, path).select(m["EventID"].cast("long").alias("event_id"), m["Channel"].alias("channel"), m["User"].alias("user"), "raw_timestamp", F.size(m).cast("long").alias("n_fields"))
 

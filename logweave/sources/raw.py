@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.ids import canonical_json, content_hash, record_id
 from logweave.functions.text import is_blank
-from logweave.operators.pinning import pin
+from logweave.operators.pinning import pin, pin_table
 
 #: Columns of raw records, in order. A payload is text or a map, the other is null.
 RAW = ("dataset_id", "source_file", "source_line", "raw_timestamp", "payload_text", "payload_map", "format", "parser_version", "adapter_version", "raw_record_id", "source_hash")
@@ -25,7 +25,7 @@ def raw_records(rows: DataFrame, dataset_id: str, version: str, text: Column | N
 
 
 def numbered_lines(spark: SparkSession, path: str | list[str], whole_files: bool = False) -> DataFrame:
-    """(source_file, source_line, value): every physical line of text files, numbered from 1 in its file, without CR or LF.
+    """(source_file, source_line, value): every physical line of text files, numbered from 1 in its file, without CR or LF. LF, CR or both end a line.
 
     Files are split as Spark likes. Lines are counted by split and those counts summed along the
     file, so no file has to go through one task. `whole_files` reads each file in one piece, for many
@@ -33,9 +33,9 @@ def numbered_lines(spark: SparkSession, path: str | list[str], whole_files: bool
     """
     if whole_files:
         text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value")
-        lines = F.split(F.regexp_replace("value", r"\n\z", ""), "\r?\n")
-        return text.where("value <> ''").select("source_file", F.posexplode(lines).alias("at", "value")).select("source_file", (F.col("at") + 1).cast("long").alias("source_line"), F.rtrim("value", F.lit("\r")).alias("value"))
-    return numbered_rows(spark.read.text(path), F.rtrim("value", F.lit("\r")).alias("value"))
+        lines = F.split(F.regexp_replace("value", r"(\r\n|\r|\n)\z", ""), "\r\n|\r|\n")
+        return text.where("value <> ''").select("source_file", F.posexplode(lines).alias("at", "value")).select("source_file", (F.col("at") + 1).cast("long").alias("source_line"), "value")
+    return numbered_rows(spark.read.text(path), "value")
 
 
 def numbered_rows(read: DataFrame, *columns: Column | str) -> DataFrame:
@@ -43,7 +43,7 @@ def numbered_rows(read: DataFrame, *columns: Column | str) -> DataFrame:
 
     Rows of a split have consecutive ids; counts by split, summed along the file, say where each begins.
     """
-    rows = pin(read.select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__order"), *columns))
+    rows = pin_table(read.select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__order"), *columns), "numbered_rows")
     first = rows.groupBy("source_file", "__block").agg(F.count("*").alias("__n"), F.min("__order").alias("__least"))
     before = F.sum("__n").over(W.partitionBy("source_file").orderBy("__block")) - F.col("__n")
     starts = pin(first.select("source_file", "__block", "__least", before.alias("__before")))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions.text import is_blank, leading_timestamp, non_empty, timestamp_anywhere, timestamp_of_event
+from logweave.sources.csv_records import csv_records
 from logweave.sources.raw import limited, numbered_lines, numbered_rows, raw_records
 from logweave.vocabulary import STREAM_COLUMNS
 
@@ -49,19 +50,15 @@ def read_flow_csv(spark: SparkSession, path: Path, limit: int = 0, dataset_id: s
     """CSV files, each with a header of its own, all values strings. The time is the first of `times` that isn't empty.
 
     Records are numbered, the header being 1; blank lines aren't records. Values may hold line breaks
-    in quotes, so a file is read in one task; files are read side by side. A record shorter than its
-    header has nulls, one that is longer loses what has no name, and of equal names the last counts.
+    in quotes, see csv_records. A name in the header may be empty or hold a line break. A record shorter
+    than its header has nulls, one that is longer loses what has no name, and of equal names the last
+    counts. A byte order mark before the header is dropped.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
-    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "id").alias("value"))
-    # no header has more names than commas in its first line and one
-    width = (first.agg(F.max(F.length(F.regexp_replace("value", "[^,]", "")))).first()[0] or 0) + 1
-    csv = spark.read.schema(", ".join(f"c{i} string" for i in range(width))).options(multiLine=True, quote='"', escape='"', emptyValue="", mode="PERMISSIVE").csv(path)
-    rows = numbered_rows(csv, F.array(*[F.col(f"c{i}") for i in range(width)]).alias("cells"))
-    names = F.transform(F.array_compact("cells"), lambda n: F.ltrim(n, F.lit("\ufeff")))
+    rows = csv_records(spark, path)
+    names = F.transform("cells", lambda n, i: F.when(i == 0, F.ltrim(n, F.lit("\ufeff"))).otherwise(n))
     header = rows.where("source_line = 1").select("source_file", names.alias("names"))
     rows = rows.where("source_line > 1").join(header, "source_file")
-    last = F.filter(F.sequence(F.lit(0), F.size("names") - 1), lambda i: ~F.array_contains(F.slice("names", i + 2, width), F.get("names", i)))
+    last = F.filter(F.sequence(F.lit(0), F.size("names") - 1), lambda i: ~F.array_contains(F.slice("names", i + 2, F.size("names")), F.get("names", i)))
     rows = rows.withColumn("row", F.map_from_entries(F.transform(last, lambda i: F.struct(F.get("names", i), F.get("cells", i)))))
     time = F.coalesce(*[non_empty(F.col("row")[n]) for n in times])
     return raw_records(limited(rows, limit), dataset_id, version, fields=F.col("row"), timestamp=time)
@@ -73,16 +70,15 @@ def read_csv_stream(spark: SparkSession, path: Path, dataset_id: str = "ctu13_se
 
 
 def read_event_stream(spark: SparkSession, path: str, limit: int = 0, dataset_id: str = "lanl_comprehensive") -> DataFrame:
-    """A headerless CSV of one of five kinds, known by the file's name, plain or gzip. Short rows lack the last columns."""
+    """A headerless CSV of one of five kinds, known by the file's name, plain or gzip. Short rows lack the last columns; blank ones only count."""
     kind = path.rstrip("/").rsplit("/", 1)[-1].removesuffix(".gz").removesuffix(".txt")
     if kind not in STREAM_COLUMNS:
         raise ValueError(f"unsupported event stream: {kind}")
     names = STREAM_COLUMNS[kind]
-    lines = numbered_lines(spark, path)
-    cells = lines.withColumn("cells", F.from_csv("value", ", ".join(f"{n} string" for n in names), {"emptyValue": ""}))
-    cells = cells.where(~is_blank(F.regexp_replace("value", ",", "")))
-    fields = F.map_filter(F.create_map(*[x for n in names for x in (F.lit(n), F.col("cells")[n])]), lambda k, v: v.isNotNull())
-    return raw_records(limited(cells, limit), dataset_id, f"lanl_{kind}_v1", fields=fields, timestamp=F.col("cells")["time"])
+    cells = csv_records(spark, path, blank_lines=True).where(F.exists("cells", lambda c: ~is_blank(c)))
+    known = F.slice("cells", 1, len(names))
+    fields = F.map_from_arrays(F.slice(F.array(*map(F.lit, names)), 1, F.size(known)), known)
+    return raw_records(limited(cells, limit), dataset_id, f"lanl_{kind}_v1", fields=fields, timestamp=F.get("cells", F.lit(0)))
 
 
 def read_event_xml(spark: SparkSession, path: str, limit: int = 0, dataset_id: str = "evtx_attack_samples") -> DataFrame:
