@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.text import iso_time
 from logweave.operators import links, parse, sinks, templates
+from logweave.operators.campaign_store import CampaignStore
 from logweave.operators.pinning import new_table_path, pin_table
 from logweave.plans.campaigns import DAY, user_windows
 from logweave.plans.events import event_frames, table
@@ -16,6 +17,8 @@ from logweave.sources import raw
 from logweave.sources.readers import adapter_for, read_csv_stream, read_discovered, read_event_stream, read_event_text, read_event_xml, read_flow_csv, read_timed_text
 from logweave.streaming import jobs
 
+#: How long a window stays in the campaign store of the registered query.
+KEEP_DAYS = 10
 CSV = {"header": True, "quoteAll": True, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
@@ -239,3 +242,19 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     e = event_frames(spark, sf).select(F.col("roles")["actor"].alias("user"), "ts")
     s = jobs.session_counts(e, "user", "30 minutes")
     return s.select("user", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), F.date_format("session_end", "yyyy-MM-dd HH:mm:ss").alias("session_end"), "event_count")
+
+
+@query
+def stream_campaigns(spark: SparkSession, sf: str) -> DataFrame:
+    """Error windows by user as a stream of four batches, kept for ten days: the campaigns at its end, as from all live windows at once."""
+    path = new_table_path(spark, "window_stream")
+    seen = pin_table(user_windows(spark, sf), "user_windows")
+    parts = F.least(F.floor(F.percent_rank().over(Window.orderBy("window_start")) * 4), F.lit(3)).alias("part")
+    days = pin_table(seen.select(F.to_date("window_start").alias("window_start")).distinct().select("window_start", parts), "stream_days")
+    for k in range(4):
+        seen.join(days.where(F.col("part") == k).select(F.col("window_start").alias("day")), F.to_date("window_start") == F.col("day")).drop("day").coalesce(1).write.mode("append").parquet(path)
+    store = CampaignStore(spark, new_table_path(spark, "campaign_store"), DAY, KEEP_DAYS * DAY)
+    stream = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    jobs.campaign_stream(stream, store, new_table_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    q = store.queues()
+    return q.select("root", F.size("window_ids").cast("long").alias("windows"), F.element_at("window_ids", -1).alias("last_window"))

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 from logweave.functions.ids import content_hash, short_hash
 from logweave.functions.text import is_blank, leading_timestamp, mask, timestamp_of_event
 from logweave.functions.scores import sigmoid
+from logweave.operators.campaign_store import CampaignStore
 from logweave.operators.parse import quarantine_reason
 from logweave.operators.pinning import new_table_path
 
@@ -158,3 +159,8 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"
         return spark.createDataFrame([], stream.schema)
     paths = [batches[max(batches)]] if mode == "complete" else list(batches.values())
     return spark.read.schema(stream.schema).parquet(*paths)
+
+
+def campaign_stream(window_entities: DataFrame, store: CampaignStore, checkpoint: str) -> DataStreamWriter:
+    """A writer that adds each micro-batch of (window_id, window_start, entity_type, value) to a store of campaigns. A repeated batch changes nothing."""
+    return window_entities.writeStream.foreachBatch(store.update).option("checkpointLocation", checkpoint)
