@@ -18,6 +18,7 @@ that what leaves a shard is little more than its links.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from logweave.llm.arrow import small, utf8
 from logweave.llm.simhash import BITS, BKTree, counted_broadcast, kept_rows, text_hash
 from logweave.operators.components import components
-from logweave.operators.pinning import pin, pin_table
+from logweave.operators.pinning import new_table_path, pin, pin_table, remove_path
 
 BANDS, ROWS = 20, 5
 RADIUS = 22
@@ -177,12 +178,43 @@ def _all_pairs(shared: DataFrame, sketches: DataFrame, radius: int, shard_limit:
     return shards.mapInArrow(search, "a bigint, b bigint").distinct()
 
 
+class _Sets:
+    """Shingle sets and sketches by key, bucketed by it once, so that no join moves them again."""
+
+    def __init__(self, found: DataFrame):
+        self.spark, self.name = found.sparkSession, f"shingle_sets_{uuid.uuid4().hex}"
+        self.path = new_table_path(self.spark, self.name)
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        found.withColumn("n", F.size("hashes")).repartition(n, "key").write.bucketBy(n, "key").sortBy("key").option("path", self.path).saveAsTable(self.name)
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def similar(self, pairs: DataFrame, similarity: float) -> DataFrame:
+        """The pairs (a, b) whose sets have that Jaccard similarity. The smaller set of a pair goes to the larger one."""
+        sizes = self.table().select("key", "n")
+        sized = pairs.join(sizes.toDF("a", "x"), "a").join(sizes.toDF("b", "y"), "b")
+        # sets further apart in size than the similarity can't have it
+        sized = sized.where(F.least("x", "y") >= similarity * F.greatest("x", "y"))
+        sent = sized.select("a", "b", F.when(F.col("x") <= F.col("y"), F.col("a")).otherwise(F.col("b")).alias("less"), F.when(F.col("x") <= F.col("y"), F.col("b")).otherwise(F.col("a")).alias("more"))
+        own = self.table().select("key", "hashes")
+        sent = sent.join(own.toDF("less", "p"), "less").hint("merge")
+        both = sent.join(own.toDF("more", "q"), "more")
+        common = F.size(F.array_intersect("p", "q"))
+        return both.where(common / (F.size("p") + F.size("q") - common) >= similarity).select("a", "b")
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove_path(self.spark, self.path)
+
+
 def similar_distinct(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS, seed: int = 42, shard_limit: int = SHARD_LIMIT) -> DataFrame:
     """One row of `docs` from each group of near copies: one with the smallest doc_id.
 
     Near copies have shingle sets with a Jaccard similarity of at least `similarity`; of any two rows
-    left none are, up to the recall of bands and radius, and every row that goes is joined to one that
-    stays by such links. Equal sets are told by 64-bit hashes, similarities are of sets of their upper 32 bits. Ids, ties and texts without words are as in
+    left none are, up to the recall of bands, radius and sketch, and every row that goes is joined to one that
+    stays by such links. Which of several valid choices is made hangs on `shard_limit`, as it says how long shards meet
+    their centre alone; the recall doesn't. Equal sets are told by 64-bit hashes, similarities are of sets of their upper 32 bits. Ids, ties and texts without words are as in
     `simhash.near_distinct`. Texts are hashed once, and again only those of candidate pairs.
     """
     base = docs.select(F.col(text).cast("string").alias("__text"), F.col(id_col).cast("long").alias("id"), text_hash(text).alias("hash"))
@@ -217,12 +249,10 @@ def similar_distinct(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
             found = own.mapInArrow(whole_sets, "key bigint, hashes array<int>, sketch binary")
             # only rows that repeat with id and text give a set more than once
             repeat = rows.groupBy("id", "hash").count().where("count > 1")
-            sets = pin_table(found if repeat.isEmpty() else found.dropDuplicates(["key"]), "shingle_sets")
-        pairs = _centre_pairs(shared, radius) if around else _all_pairs(shared, sets.select("key", "sketch"), radius, shard_limit, least_equal(similarity))
+            sets = _Sets(found if repeat.isEmpty() else found.dropDuplicates(["key"]))
+        pairs = _centre_pairs(shared, radius) if around else _all_pairs(shared, sets.table().select("key", "sketch"), radius, shard_limit, least_equal(similarity))
         pairs = pin(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        both = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        links = pin(both.where(common / (F.size("x") + F.size("y") - common) >= similarity).select("a", "b"))
+        links = pin(sets.similar(pairs, similarity))
         found = not links.isEmpty()
         if found:
             roots = pin(components(links, "a", "b")).withColumnRenamed("node", "key")
@@ -235,4 +265,5 @@ def similar_distinct(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
             around = found and largest > shard_limit
         elif not found:
             break
+    sets.drop()
     return kept_rows(docs, rows.select("id", "hash"), nodes.select("least.id", "least.hash"), id_col, text)
