@@ -10,10 +10,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_scopes: list[list[str]] = []
+#: The scopes open around a call, by thread: what another thread pins meanwhile is its own.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,7 +43,7 @@ def pin(df: DataFrame) -> DataFrame:
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    for scope in _scopes:
+    for scope in _scopes.get():
         scope.append(path)
     return path
 
@@ -61,12 +63,12 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """What is pinned as a table inside is deleted at its end. Results that are still to be read must be written elsewhere by then."""
+    """What this thread pins as a table inside is deleted at its end, however it ends. Results that are still to be read must be written elsewhere by then."""
     mine: list[str] = []
-    _scopes.append(mine)
+    token = _scopes.set((*_scopes.get(), mine))
     try:
         yield
     finally:
-        _scopes.remove(mine)
+        _scopes.reset(token)
         for path in mine:
             remove_path(spark, path)

@@ -25,8 +25,40 @@ def write_split(parses: DataFrame, root: str, mode: str = "overwrite") -> dict[s
     return {"rows": n["rows"], "valid": n["rows"] - n["quarantined"], "quarantined": n["quarantined"]}
 
 
-def append_quarantine(parses: DataFrame, path: str) -> None:
-    parses.where("quarantined").write.mode("append").parquet(path)
+COMMITS = "_commits"
+
+
+def write_batch(outputs: dict[str, DataFrame], root: str, batch: int) -> dict[str, int]:
+    """Several outputs of one batch as one: each in a folder of the batch's number under `root`, then a commit with their counts.
+
+    A batch that is written again replaces itself, so whoever reads by `committed` sees each row once
+    and no output without the others.
+    """
+    counts, spark = {}, None
+    for name, df in outputs.items():
+        seen, spark = Observation(), df.sparkSession
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}")
+        counts[name] = seen.get["rows"]
+    rows = [(batch, name, n) for name, n in counts.items()]
+    spark.createDataFrame(rows, "batch bigint, output string, rows bigint").coalesce(1).write.mode("overwrite").parquet(f"{root}/{COMMITS}/{batch}")
+    return counts
+
+
+def commits(spark: SparkSession, root: str) -> DataFrame:
+    """(batch, output, rows) of the committed batches."""
+    return spark.read.schema("batch bigint, output string, rows bigint").parquet(f"{root}/{COMMITS}/*")
+
+
+def committed(spark: SparkSession, root: str, output: str) -> DataFrame:
+    """The rows of an output that committed batches wrote, with their batch."""
+    done = commits(spark, root).where(F.col("output") == output).select(F.col("batch").alias("__batch"))
+    rows = spark.read.parquet(f"{root}/{output}")
+    return rows.join(done, F.col("batch") == F.col("__batch"), "left_semi")
+
+
+def append_quarantine(parses: DataFrame, root: str, batch: int) -> int:
+    """Adds a batch's quarantined rows to the output `quarantine` under `root`; their number. The same batch again replaces itself."""
+    return write_batch({"quarantine": parses.where("quarantined")}, root, batch)["quarantine"]
 
 
 def stage_manifest(spark: SparkSession, stage: str, inputs: dict[str, str], outputs: dict[str, str], input_count: int, output_count: int, rejected_count: int = 0, flags: dict[str, str] | None = None, code_version: str = "") -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.functions.text import mask, squeezed, template_fingerprint
+from logweave.functions.text import mask, template_fingerprint
 from logweave.operators.pinning import pin_table
+from logweave.operators.template_miner import Bucket, bucket_of, in_order, words_of
 
 CACHE_VERSION = "templates-1"
 
@@ -34,51 +34,28 @@ def load_catalog(spark, path: str, version: str = CACHE_VERSION) -> DataFrame:
     return spark.read.parquet(path).where(checked).drop("cache_version")
 
 
-def _buckets(found: DataFrame, most: int) -> DataFrame:
-    """Adds bucket: number of words and the first one, and further words in place where that holds more than `most` templates.
-
-    A word with a digit or a placeholder stands for any. Templates alike in all words, if there are too
-    many of them, are buckets of their own.
-    """
-    words = F.split(squeezed(F.col("template")), " ")
-    at = lambda k: F.when(F.regexp_like(F.get("__words", F.lit(k)), F.lit(r"\d|<")), "<*>").otherwise(F.get("__words", F.lit(k)))
-    rest = found.withColumn("__words", words).withColumn("bucket", F.concat_ws("|", F.size("__words"), at(0)))
-    done, depth = [], 1
-    while True:
-        large = pin_table(rest.groupBy("bucket").count().where(F.col("count") > most).select("bucket"), "large_buckets")
-        if large.isEmpty():
-            return reduce(DataFrame.unionByName, [*done, rest]).drop("__words")
-        done.append(rest.join(large, "bucket", "left_anti"))
-        more = F.when(F.size("__words") > depth, at(depth)).otherwise(F.col("fingerprint"))
-        rest = rest.join(large, "bucket", "left_semi").withColumn("bucket", F.concat_ws("|", "bucket", more))
-        depth += 1
-
-
-def merge_similar(found: DataFrame, threshold: float = 0.4, most: int = 2000) -> DataFrame:
+def merge_similar(found: DataFrame, threshold: float = 0.4) -> DataFrame:
     """Adds cluster (the first member's fingerprint) and cluster_template (differing words as <*>) to a catalog.
 
     Templates can only merge with others of as many words and the same first one, and join the first
-    cluster, in order of size, that has at least `threshold` of its words in place. A bucket of more than
-    `most` templates is split by further words, so none is compared with more than that many, and
-    templates that differ in those words stay apart.
+    cluster, in order of size, that has at least `threshold` of its words in place. However many
+    templates a bucket has, they flow by in order and only its clusters are held.
     """
-    keyed = _buckets(found, most)
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "fingerprint"], ascending=[False, True])
-        clusters: list[list] = []
-        for fp, t in zip(group["fingerprint"], group["template"], strict=True):
-            w = t.split()
-            for c in clusters:
-                if sum(a == b for a, b in zip(c[1], w, strict=False)) >= threshold * max(1, len(w)):
-                    c[1] = [a if a == b else "<*>" for a, b in zip(c[1], w, strict=False)]
-                    c[2].append(fp)
-                    break
-            else:
-                clusters.append([fp, w, [fp]])
-        of = {fp: (c[0], " ".join(c[1])) for c in clusters for fp in c[2]}
-        group["cluster"] = [of[f][0] for f in group["fingerprint"]]
-        group["cluster_template"] = [of[f][1] for f in group["fingerprint"]]
-        return group[["fingerprint", "template", "size", "cluster", "cluster_template"]]
-
-    return keyed.groupBy("bucket").applyInPandas(merge, "fingerprint string, template string, size bigint, cluster string, cluster_template string")
+    keyed = found.select("fingerprint", "template", "size", words_of("template").alias("words")).withColumns({"bucket": bucket_of(F.col("words")), "less": -F.col("size"), "tie": F.col("fingerprint")})
+
+    def run(rows: Iterator[tuple]) -> Iterator[dict]:
+        now, bucket, first = None, Bucket(threshold), []
+        last = lambda: ({"bucket": now, "n": n, "cluster": first[n], "cluster_template": " ".join(w)} for n, (w, _) in bucket.clusters.items())
+        for fingerprint, template, size, words, key in rows:
+            if key != now:
+                yield from last()
+                now, bucket, first = key, Bucket(threshold), []
+            n, change = bucket.add(list(words), size)
+            if change == "created":
+                first.append(fingerprint)
+            yield {"bucket": key, "n": n, "fingerprint": fingerprint, "template": template, "size": size}
+        yield from last()
+
+    rows = pin_table(in_order(keyed, ["less", "tie"], run, "bucket string, n bigint, fingerprint string, template string, size bigint, cluster string, cluster_template string"), "merged_templates")
+    clusters = rows.where("cluster is not null").select("bucket", "n", "cluster", "cluster_template")
+    return rows.where("fingerprint is not null").select("bucket", "n", "fingerprint", "template", "size").join(clusters, ["bucket", "n"]).drop("bucket", "n")

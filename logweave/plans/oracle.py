@@ -214,7 +214,7 @@ l AS (
 
 LINKS, ALL = _links("event_type = 'error'", 86400), _links("TRUE", 3600)
 SQL["window_links"] = f"WITH {LINKS} SELECT source_window, target_window, array_to_string(anchors, ',') AS anchors, 'strong' AS anchor_strength, delta::BIGINT AS delta_seconds FROM l"
-SQL["stream_live_links"] = f"WITH {LINKS} SELECT source_window, target_window FROM l"
+SQL["stream_live_links"] = f"WITH {ALL} SELECT source_window, target_window FROM l"
 SQL["ip_only_rejections"] = f"""
 WITH x AS (SELECT {_start(5)} AS start, user_id::VARCHAR AS actor, json_extract_string(props, '$.k') AS k FROM events WHERE event_type = 'error'),
 r AS (SELECT DISTINCT {_window(5)} AS id, start, value, strong FROM (SELECT start, actor AS value, TRUE AS strong FROM x UNION ALL SELECT start, k, FALSE FROM x WHERE k IS NOT NULL)),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions import scores, vectors
 from logweave.functions.ids import content_hash, record_id
-from logweave.operators import entities, evaluate, features, frames, fusion, governance, graph, history, links, parse, splits, templates, windows
+from logweave.operators import entities, evaluate, features, frames, fusion, governance, graph, history, links, parse, splits, template_miner, templates, windows
 from logweave.operators.pinning import new_table_path, pin, pin_table
 from logweave.plans.campaigns import DAY, campaigns, user_windows
 from logweave.plans.events import event_frames, joined_text, mentions_long, table
@@ -627,12 +627,31 @@ def stream_templates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def stream_live_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Error windows by user as a stream: links as windows arrive, the same as from a table."""
-    path = new_table_path(spark, "window_stream")
-    user_windows(spark, sf).repartitionByRange(3, "window_start").write.parquet(path)
-    s = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+def mined_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of documents mined in their order: each line's cluster, and its template as it was then."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "message"))
+    found = template_miner.mine_templates(lines.withColumn("record_id", F.concat_ws("|", "doc_id", "at")), ["doc_id", "at"])
+    return found.select("id", F.sha2(F.concat_ws("|", "bucket", "cluster", "template").cast("binary"), 256).alias("template_sha256"), "change", "size")
+
+
+@query
+def stream_mined_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """Masked props of events mined as a stream of several batches, at most a hundred clusters remembered of each number of words and first word."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    found = jobs.live_links(s, keep_hours=0.0, max_gap_seconds=DAY)
+    e = event_stream(spark, sf).withColumn("message", F.concat_ws(" ", "event_type", F.regexp_replace("props", r"[:,]", " ")))
+    m = template_miner.mine_stream(e, ["ts", "event_id"], id_col="event_id", max_clusters=100)
+    return jobs.run_once(m, f"stream_mined_{id(m)}", new_table_path(spark, "stream")).select(F.col("id").cast("long").alias("event_id"), "template", "change", "size")
+
+
+@query
+def stream_live_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of all events by user as a stream of several batches: links within an hour as they arrive, the same as from a table."""
+    path, seen = new_table_path(spark, "window_stream"), pin_table(user_windows(spark, sf, None), "user_windows")
+    at = F.unix_micros("window_start")
+    bounds = seen.agg(F.percentile_approx(at, [k / STREAM_PARTS for k in range(1, STREAM_PARTS)])).first()[0] or []
+    for k in range(STREAM_PARTS):
+        seen.where(sum(((at > b).cast("int") for b in bounds), F.lit(0)) == k).coalesce(1).write.mode("append").parquet(path)
+    s = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    found = jobs.live_links(s, max_gap_seconds=3600.0)
     out = jobs.run_once(found, f"stream_links_{id(found)}", new_table_path(spark, "stream"))
     return out.select("source_window", "target_window").distinct()

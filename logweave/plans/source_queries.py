@@ -141,11 +141,11 @@ def iso_times(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def quarantine_append(spark: SparkSession, sf: str) -> DataFrame:
-    """Quarantined documents appended in two turns, and read back."""
+    """Quarantined documents appended in two turns, the second of them twice, and read back."""
     path, p = new_table_path(spark, "quarantine"), parse.parse(raw_documents(spark, sf))
-    for k in (0, 1):
-        sinks.append_quarantine(p.where(F.col("source_line") % 2 == k), path)
-    return spark.read.parquet(path).select("record_id", "source_line", "quarantine_reason")
+    for k in (0, 1, 1):
+        sinks.append_quarantine(p.where(F.col("source_line") % 2 == k), path, k)
+    return sinks.committed(spark, path, "quarantine").select("record_id", "source_line", "quarantine_reason")
 
 
 @query
@@ -219,9 +219,9 @@ def stream_tail(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     line = F.concat(F.when(F.col("event_id") % 6 > 0, F.concat(_iso("ts"), F.lit(" "))).otherwise(""), F.lit("event "), F.col("event_id").cast("string"))
     path, out = _text_folder(e.select(line.alias("value")).repartition(4), "tail"), new_table_path(spark, "tailed")
-    writer = jobs.with_quarantine(jobs.tail_text(spark, path, "events", files_per_batch=1), f"{out}/valid", f"{out}/bad", new_table_path(spark, "stream"))
+    writer = jobs.with_quarantine(jobs.tail_text(spark, path, "events", files_per_batch=1), out, new_table_path(spark, "stream"))
     writer.trigger(availableNow=True).start().awaitTermination()
-    both = spark.read.parquet(f"{out}/valid").unionByName(spark.read.parquet(f"{out}/bad"))
+    both = sinks.committed(spark, out, "valid").unionByName(sinks.committed(spark, out, "quarantine"))
     return both.select("message", F.coalesce("timestamp", F.lit("")).alias("time"), F.coalesce("quarantine_reason", F.lit("")).alias("reason"))
 
 
@@ -238,9 +238,10 @@ def stream_entity_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """Sessions of users from the last stream of events without an open end: as batch, through the same operator."""
-    e = event_frames(spark, sf).select(F.col("roles")["actor"].alias("user"), "ts")
+    """Sessions of users through a stream of several batches, over whose borders they go on; in complete mode, so that open ones are out too."""
+    e = event_stream(spark, sf).select(F.col("user_id").cast("string").alias("user"), "ts")
     s = jobs.session_counts(e, "user", "30 minutes")
+    s = jobs.run_once(s, f"stream_sessions_{id(s)}", new_table_path(spark, "stream"), "complete")
     return s.select("user", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), F.date_format("session_end", "yyyy-MM-dd HH:mm:ss").alias("session_end"), "event_count")
 
 

@@ -19,6 +19,7 @@ from logweave.functions.scores import sigmoid
 from logweave.operators.campaign_store import CampaignStore
 from logweave.operators.parse import quarantine_reason
 from logweave.operators.pinning import new_table_path
+from logweave.operators.sinks import write_batch
 
 
 def tail_text(spark: SparkSession, path: str, dataset_id: str, leading: bool = True, files_per_batch: int | None = None) -> DataFrame:
@@ -51,44 +52,22 @@ def session_counts(events: DataFrame, by: str, gap: str = "30 minutes", delay: s
     return w.select(by, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "event_count")
 
 
-class _EntityMemory(StatefulProcessor):
-    """Windows that an entity was in, newest forgotten last; emits a link from each remembered window to a new one."""
+def live_links(window_entities: DataFrame, max_gap_seconds: float = 86_400.0, delay: str = "1 hour") -> DataFrame:
+    """(entity_type, value, source_window, target_window, delta_seconds): links of windows that share an anchor within the gap, as they arrive.
 
-    def __init__(self, keep_hours: float, link_gap_seconds: float):
-        self.keep_ms, self.gap = int(keep_hours * 3_600_000), link_gap_seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.windows = handle.getListState("windows", "window_id string, start double", ttlDurationMs=self.keep_ms) if self.keep_ms else handle.getListState("windows", "window_id string, start double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        known = {w: s for w, s in self.windows.get()} if self.windows.exists() else {}
-        out = []
-        fresh = pd.concat(list(rows)).drop_duplicates("window_id").sort_values(["window_start", "window_id"])
-        for w, t in zip(fresh["window_id"], fresh["window_start"], strict=True):
-            at = pd.Timestamp(t).timestamp()
-            if w in known:
-                continue
-            for other, start in known.items():  # whichever began first is the source, however late it came
-                (a, sa), (b, sb) = sorted([(other, start), (w, at)], key=lambda x: (x[1], x[0]))
-                if sb - sa <= self.gap:
-                    out.append((key[0], key[1], a, b, sb - sa))
-            known[w] = at
-            self.windows.appendValue((w, at))
-        yield pd.DataFrame(out, columns=["entity_type", "value", "source_window", "target_window", "delta_seconds"])
-
-    def close(self) -> None:
-        pass
-
-
-def live_links(window_entities: DataFrame, keep_hours: float = 48.0, max_gap_seconds: float = 86_400.0) -> DataFrame:
-    """(entity_type, value, source_window, target_window, delta_seconds): as windows arrive, their links to those an anchor remembers.
-
-    `window_entities`: window_id, window_start, entity_type, value. What an anchor remembers is forgotten
-    after `keep_hours`, never if that is 0. Addresses link nothing and are left out.
+    `window_entities`: window_id, window_start, entity_type, value, a stream. It is joined with itself by
+    anchor and time, so a window is held until the gap and the delay have passed in event time, and no longer. Windows
+    that come later than the delay are dropped, which the query's progress counts; repeated ones within it link once. Addresses link nothing and are left out.
     """
-    anchors = window_entities.where(F.col("entity_type").isin("user", "process", "host"))
-    schema = "entity_type string, value string, source_window string, target_window string, delta_seconds double"
-    return anchors.groupBy("entity_type", "value").transformWithStateInPandas(_EntityMemory(keep_hours, max_gap_seconds), schema, "Append", "ProcessingTime" if keep_hours else "None")
+    seen = window_entities.where(F.col("entity_type").isin("user", "process", "host")).withWatermark("window_start", delay).dropDuplicatesWithinWatermark(["window_id", "entity_type", "value"])
+    a = seen.select("entity_type", "value", F.col("window_id").alias("source_window"), F.col("window_start").alias("source_start"))
+    b = seen.select(F.col("entity_type").alias("target_type"), F.col("value").alias("target_value"), F.col("window_id").alias("target_window"), F.col("window_start").alias("target_start"))
+    same = (F.col("entity_type") == F.col("target_type")) & (F.col("value") == F.col("target_value"))
+    gap = F.make_dt_interval(secs=F.lit(float(max_gap_seconds)))
+    near = (F.col("target_start") >= F.col("source_start")) & (F.col("target_start") <= F.col("source_start") + gap)
+    after = (F.col("target_start") > F.col("source_start")) | (F.col("target_window") > F.col("source_window"))
+    delta = F.col("target_start").cast("double") - F.col("source_start").cast("double")
+    return a.join(b, same & near & after).select("entity_type", "value", "source_window", "target_window", delta.alias("delta_seconds"))
 
 
 class _EntitySpan(StatefulProcessor):
@@ -124,14 +103,18 @@ def template_counts(records: DataFrame, text: str = "message") -> DataFrame:
     return records.select(F.concat_ws("|", F.size(words), F.get(words, F.lit(0))).alias("bucket"), short_hash(template).alias("template_id"), template.alias("template")).groupBy("bucket", "template_id", "template").agg(F.count("*").alias("size"))
 
 
-def with_quarantine(records: DataFrame, valid_path: str, quarantine_path: str, checkpoint: str) -> DataStreamWriter:
-    """A writer that sends records with a quarantine reason one way and the others another, each batch computed once."""
+def with_quarantine(records: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
+    """A writer that sends records with a quarantine reason to the output `quarantine` under `root` and the others to `valid`, see sinks.committed.
+
+    Each batch is computed once, and a batch that is run again after a failure replaces itself.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
-        batch.where("quarantine_reason is null").write.mode("append").parquet(valid_path)
-        batch.where("quarantine_reason is not null").write.mode("append").parquet(quarantine_path)
-        batch.unpersist()
+        try:
+            write_batch({"valid": batch.where("quarantine_reason is null"), "quarantine": batch.where("quarantine_reason is not null")}, root, number)
+        finally:
+            batch.unpersist()
 
     return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

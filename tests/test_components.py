@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -42,3 +43,27 @@ def test_dense_position(spark):
     got = dense_position(spark.createDataFrame([(v,) for v in values], "v int").repartition(7), ["v"]).orderBy("position").collect()
     assert [x.position for x in got] == list(range(500)) and [x.v for x in got] == sorted(values)
     assert dense_position(spark.createDataFrame([], "v int"), ["v"]).count() == 0
+
+
+def test_scopes_of_other_threads_are_their_own(spark):
+    import threading
+
+    from logweave.operators.pinning import pin_table, scratch
+
+    kept, ready, go = [], threading.Event(), threading.Event()
+
+    def other():
+        ready.wait(60)
+        kept.append(pin_table(spark.range(3), "other"))
+        go.set()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with scratch(spark):
+        mine = pin_table(spark.range(2), "mine")
+        ready.set()
+        assert go.wait(120) and mine.count() == 2
+        file = mine.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(file)
+    thread.join()
+    assert kept[0].count() == 3 and not os.path.exists(file)
