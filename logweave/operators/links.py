@@ -6,6 +6,8 @@ Windows meet through an equi-join on anchors, never all with all.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from logweave.functions.scores import decays, sigmoid
 from logweave.functions.vectors import cosine, jaccard
 from logweave.operators.components import components
 from logweave.operators.numbering import dense_position
-from logweave.operators.pinning import pin
+from logweave.operators.pinning import pin, pin_table
 
 STRONG, MEDIUM, WEAK = ("user", "process"), ("host",), ("ip",)
 ANCHOR_WEIGHTS = {"strong": 1.0, "medium": 0.5, "weak": 0.0}
@@ -86,6 +88,35 @@ def window_pairs(entities: DataFrame, max_gap_seconds: float | None) -> DataFram
     return out.withColumn("rejected_reason", F.when(~F.col("candidate"), "ip_only_anchor"))
 
 
+def time_adjacent_links(windows: DataFrame, max_gap_seconds: float) -> DataFrame:
+    """(source_window, target_window): each window with the next one in time, whatever they hold, if the gap fits. A baseline.
+
+    Windows are numbered through ranges of time, so that neighbours meet by an equi-join over the borders too.
+    """
+    placed = dense_position(windows.select("window_id", "window_start").distinct(), ["window_start", "window_id"], "at")
+    placed = pin_table(placed, "window_order")
+    after = placed.select(F.col("window_id").alias("target_window"), F.col("window_start").alias("target_start"), (F.col("at") - 1).alias("at"))
+    fits = F.col("target_start").cast("double") - F.col("window_start").cast("double") <= max_gap_seconds
+    return placed.join(after, "at").where(fits).select(F.col("window_id").alias("source_window"), "target_window")
+
+
+def any_overlap_links(entities: DataFrame, max_gap_seconds: float | None) -> DataFrame:
+    """(source_window, target_window) of windows that share any entity, addresses too. A baseline."""
+    return _pairs(entities, ["entity_type", "value"], max_gap_seconds).select("source_window", "target_window").distinct()
+
+
+def link_quality(links: dict[str, DataFrame], truth: DataFrame) -> DataFrame:
+    """(links, n_links, n_right, precision) of link sets side by side. `truth`: window_id, label; a link is right if both windows have one label in common. Without links the precision is null."""
+    side = lambda p: truth.select(F.col("window_id").alias(f"{p}_window"), F.col("label").alias("__label")).distinct()
+    rows = []
+    for name, df in links.items():
+        own = df.select("source_window", "target_window").distinct()
+        right = own.join(side("source"), "source_window").join(side("target"), ["target_window", "__label"]).select("source_window", "target_window").distinct()
+        both = own.agg(F.count("*").alias("n_links")).join(right.agg(F.count("*").alias("n_right")), F.lit(True))
+        rows.append(both.select(F.lit(name).alias("links"), "n_links", "n_right", (F.col("n_right") / F.nullif("n_links", F.lit(0))).alias("precision")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def entity_rarity(entities: DataFrame) -> DataFrame:
     """(value, rarity): log of windows over the windows that have the value."""
     total = entities.agg(F.countDistinct("window_id").alias("n"))

@@ -96,3 +96,24 @@ WITH m AS (SELECT strftime(o_orderdate::DATE, '%Y-%m') AS month, date_trunc('mon
 SELECT a.month AS stage, a.n AS input_count, a.n AS output_count, 0::BIGINT AS rejected_count, b.month IS NULL OR a.n % 5 <> 0 AS upstream_unchanged FROM m a LEFT JOIN m b ON b.start = a.start - INTERVAL 1 MONTH"""
 SQL["stream_campaigns"] = "WITH RECURSIVE " + oracle.QUEUES.replace("u AS (", "everyone AS (", 1).replace("\nl AS (", "\nu AS (SELECT * FROM everyone WHERE start >= (SELECT max(start) FROM everyone) - INTERVAL 10 DAY),\nl AS (", 1) + """
 SELECT root, count(*) AS windows, max(id) AS last_window FROM named GROUP BY root"""
+_ASOF = """
+WITH e AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'), s AS (SELECT DISTINCT user_id, ts AS start FROM events WHERE event_type = 'signup'),
+m AS (SELECT e.*, s.start FROM e ASOF LEFT JOIN s ON e.user_id = s.user_id AND e.ts >= s.start)"""
+SQL["detection_delays"] = _ASOF + """
+SELECT s.user_id, strftime(s.start, '%Y-%m-%d %H:%M:%S.%f') AS start, round((epoch_us(min(m.ts)) - epoch_us(s.start)) / 1e6, 4) AS delay_seconds
+FROM s LEFT JOIN m ON m.user_id = s.user_id AND m.start = s.start AND epoch_us(m.ts) - epoch_us(m.start) <= 86400000000 GROUP BY s.user_id, s.start"""
+SQL["false_alerts"] = _ASOF + """
+SELECT count(*) AS alerts, count(*) FILTER (WHERE wrong) AS false_alerts, round(count(*) FILTER (WHERE wrong) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 / 3600), 6) AS per_hour
+FROM (SELECT *, start IS NULL OR epoch_us(ts) - epoch_us(start) > 3600000000 AS wrong FROM m)"""
+SQL["link_baselines"] = f"""
+WITH x AS (SELECT {_window(5)} AS id, start, user_id::VARCHAR AS actor, json_extract_string(props, '$.k') AS k, event_type FROM (SELECT *, {_start(5)} AS start FROM events)),
+u AS (SELECT DISTINCT id, start, 'user' AS kind, actor AS value FROM x UNION SELECT DISTINCT id, start, 'file', k FROM x WHERE k IS NOT NULL),
+w AS (SELECT *, lead(id) OVER o AS nxt, lead(start) OVER o AS nxt_start FROM (SELECT DISTINCT id, start FROM u) WINDOW o AS (ORDER BY start, id)),
+l AS (
+  SELECT 'time' AS links, id AS a, nxt AS b FROM w WHERE epoch(nxt_start) - epoch(start) <= 3600
+  UNION SELECT 'any', p.id, q.id FROM u p JOIN u q ON p.kind = q.kind AND p.value = q.value AND (p.start, p.id) < (q.start, q.id) AND epoch(q.start) - epoch(p.start) <= 3600
+  UNION SELECT 'stable', p.id, q.id FROM u p JOIN u q ON p.kind = 'user' AND q.kind = 'user' AND p.value = q.value AND (p.start, p.id) < (q.start, q.id) AND epoch(q.start) - epoch(p.start) <= 3600),
+t AS (SELECT DISTINCT id, actor AS label FROM x WHERE event_type = 'error'),
+r AS (SELECT DISTINCT l.* FROM l JOIN t c ON c.id = l.a JOIN t d ON d.id = l.b AND d.label = c.label),
+n AS (SELECT links, count(*) AS n_links FROM l GROUP BY 1), g AS (SELECT links, count(*) AS n_right FROM r GROUP BY 1)
+SELECT s.links, coalesce(n_links, 0) AS n_links, coalesce(n_right, 0) AS n_right, round(n_right::DOUBLE / n_links, 9) AS precision FROM (VALUES ('time'), ('any'), ('stable')) s(links) LEFT JOIN n USING (links) LEFT JOIN g USING (links)"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions import scores, vectors
 from logweave.functions.ids import content_hash, record_id
-from logweave.operators import entities, evaluate, features, frames, fusion, governance, graph, history, links, parse, splits, template_miner, templates, windows
+from logweave.operators import asof, entities, evaluate, features, frames, fusion, governance, graph, history, links, parse, splits, template_miner, templates, windows
 from logweave.operators.pinning import new_table_path, pin, pin_table
 from logweave.plans.campaigns import DAY, campaigns, user_windows
 from logweave.plans.events import event_frames, joined_text, mentions_long, table
@@ -522,8 +522,39 @@ def mean_metrics(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def alert_curve(spark: SparkSession, sf: str) -> DataFrame:
     """Recall of toxic documents at budgets of alerts, by a score without ties."""
-    s = _scored(spark, sf).select((F.col("fused_logit") * 1000 + F.col("doc_id") / 1e7).alias("score"), F.col("toxic").alias("label"))
-    return evaluate.alert_curve(s, [10, 100, 1000]).select("budget", F.round("recall", 9).alias("recall"))
+    s = _scored(spark, sf).select((F.col("fused_logit") * 1000 + F.col("doc_id") / 1e7).alias("score"), F.col("toxic").alias("label"), "doc_id")
+    return evaluate.alert_curve(s, [10, 100, 1000], ties=["doc_id"]).select("budget", F.round("recall", 9).alias("recall"))
+
+
+def _alerts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Errors as alerts, and signups as the attacks that they may tell of."""
+    e = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return e.where("event_type = 'error'").drop("event_type"), e.where("event_type = 'signup'").drop("event_type")
+
+
+@query
+def detection_delays(spark: SparkSession, sf: str) -> DataFrame:
+    """Each signup with the time to its user's first error within a day and before the next signup."""
+    d = asof.detection_delays(*_alerts(spark, sf), horizon_seconds=86_400.0, by=["user_id"])
+    return d.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"), F.round("delay_seconds", 4).alias("delay_seconds"))
+
+
+@query
+def false_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors that follow no signup of their user within an hour, in all and an hour."""
+    r = asof.false_alert_rate(*_alerts(spark, sf), horizon_seconds=3600.0, by=["user_id"])
+    return r.select("alerts", "false_alerts", F.round("per_hour", 6).alias("per_hour"))
+
+
+@query
+def link_baselines(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of windows within an hour by time alone, by any entity and by stable ones, with the share whose windows have a user's error in common."""
+    f = event_frames(spark, sf)
+    seen = pin_table(windows.window_entities(f, mentions_long(f), windows.MICRO), "window_entities")
+    errors = event_frames(spark, sf, "error")
+    truth = windows.with_window(errors, windows.MICRO).select("window_id", F.col("roles")["actor"].alias("label")).distinct()
+    sets = {"time": links.time_adjacent_links(seen, 3600.0), "any": links.any_overlap_links(seen, 3600.0), "stable": links.window_links(seen, 3600.0)}
+    return links.link_quality(sets, truth).select("links", "n_links", "n_right", F.round("precision", 9).alias("precision"))
 
 
 @query
