@@ -7,8 +7,8 @@ shard is a BK-tree over SimHash fingerprints, searched with a wide radius, which
 merely in the same shard. Each pair it gives is verified by the exact similarity of shingle sets.
 
 Equal sets are one node from the start. Each round joins verified pairs and goes on with one node of
-each group, the one with most links, until no pair among those left is verified. First each shard
-compares its members with its centre alone, the one nearest to the majority of its bits: a tree with
+each group, the one with most links, until no pair among those left is verified. First each shard of
+more than a few members compares them with its centre alone, the one nearest to the majority of its bits: a tree with
 that root, of which the edges within the radius are the pairs. So a group of near copies, however
 large, shrinks at linear cost, and no task holds a shard. While that joins any and a shard is large,
 it is done again. Then all pairs of what is left are compared, a large shard's chunk by chunk. There
@@ -35,8 +35,8 @@ from logweave.operators.pinning import new_table_path, pin, pin_table, remove_pa
 
 BANDS, ROWS = 20, 5
 RADIUS = 22
-#: Members of a shard that are compared in one task, and bytes of a sketch.
-SHARD_LIMIT, SKETCH = 1024, 512
+#: Members of a shard that are compared in one task, those from which on they first meet a centre, and bytes of a sketch.
+SHARD_LIMIT, CENTRE_LIMIT, SKETCH = 1024, 16, 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _draw = np.random.default_rng(42)
 _TIMES = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -140,10 +140,11 @@ def shard_pairs(fps: list[int], keys: list[int], sketches: np.ndarray, radius: i
 
 
 def _shared(nodes: DataFrame) -> tuple[DataFrame, int]:
-    """(key, fp, band, n) of bands that several of the pinned nodes (key, fp, bands) have, and the largest n."""
+    """(key, fp, band, n) of bands that several of the pinned nodes (key, fp, bands) have, pinned, and the largest n."""
     members = nodes.select("key", "fp", F.explode("bands").alias("band"))
     sizes = pin_table(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band_sizes")
-    return members.join(sizes, "band").select("key", "fp", "band", "n"), sizes.agg(F.max("n")).first()[0] or 0
+    shared = pin_table(members.join(sizes.hint("merge"), "band").select("key", "fp", "band", "n"), "shared_bands")
+    return shared, sizes.agg(F.max("n")).first()[0] or 0
 
 
 def _centre_pairs(shared: DataFrame, radius: int) -> DataFrame:
@@ -238,19 +239,25 @@ def similar_distinct(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     rows = pin(base.mapInArrow(describe, "id bigint, hash bigint, key bigint, fp bigint, bands array<bigint>"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("least")
     nodes = pin(rows.groupBy("key").agg(first, F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    sets = tested = None
-    around = True
+    sets = tested = around = None
+    alone = []
     while True:
         shared, largest = _shared(nodes)
+        # a node without a band in common has none later either, as nodes only get fewer
+        meeting = pin_table(shared.select("key").distinct(), "meeting_nodes")
+        alone.append(pin(nodes.join(meeting, "key", "left_anti").select("least")))
+        nodes = pin(nodes.join(meeting, "key", "left_semi"))
+        if around is None:
+            around = largest > CENTRE_LIMIT
         if sets is None:
-            asked = nodes.join(shared.select("key").distinct(), "key").select(F.col("least.id").alias("__id"), F.col("least.hash").alias("__hash"))
+            asked = nodes.select(F.col("least.id").alias("__id"), F.col("least.hash").alias("__hash"))
             texts = pin_table(asked, "asked_texts")
             own = base.join(counted_broadcast(texts), F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash")), "left_semi").select("__text")
             found = own.mapInArrow(whole_sets, "key bigint, hashes array<int>, sketch binary")
             # only rows that repeat with id and text give a set more than once
             repeat = rows.groupBy("id", "hash").count().where("count > 1")
             sets = _Sets(found if repeat.isEmpty() else found.dropDuplicates(["key"]))
-        pairs = _centre_pairs(shared, radius) if around else _all_pairs(shared, sets.table().select("key", "sketch"), radius, shard_limit, least_equal(similarity))
+        pairs = _centre_pairs(shared.where(F.col("n") > CENTRE_LIMIT), radius) if around else _all_pairs(shared, sets.table().select("key", "sketch"), radius, shard_limit, least_equal(similarity))
         pairs = pin(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         links = pin(sets.similar(pairs, similarity))
         found = not links.isEmpty()
@@ -266,4 +273,5 @@ def similar_distinct(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
         elif not found:
             break
     sets.drop()
-    return kept_rows(docs, rows.select("id", "hash"), nodes.select("least.id", "least.hash"), id_col, text)
+    left = reduce(DataFrame.unionByName, alone, nodes.select("least"))
+    return kept_rows(docs, rows.select("id", "hash"), left.select("least.id", "least.hash"), id_col, text)
