@@ -31,6 +31,8 @@ MAX_SAMPLE_DOCS, MAX_SAMPLE_LINES, VARIANTS = 200, 1200, 60
 MIN_PROBABILITY, MIN_OVERLAP, MIN_SHARED = 0.6, 0.5, 2
 #: Share of a line's word pairs that makes it part of a notice, and of a template's that makes a line a whole one.
 PART_OF_NOTICE, WHOLE_NOTICE = 0.5, 0.9
+#: The word before a stated expression of licences, and those that join them in it.
+TAG, JOINERS = b"spdx-license-identifier", (b"or", b"and", b"with")
 _word = re.compile(rb"[a-z0-9\x80-\xff]+(?:[.-][a-z0-9\x80-\xff]+)*")
 
 
@@ -112,6 +114,18 @@ class LicenseModel:
             inside = kind == "part"
         return out
 
+    def licences(self, words: list[bytes]) -> list[tuple[str, float, float, bool]]:
+        """As classify, once for each licence that a stated expression joins by or, and, with; else once."""
+        if TAG not in words:
+            return [self.classify(words)]
+        operands: list[list[bytes]] = [[]]
+        for w in words[words.index(TAG) + 1 :]:
+            if w in JOINERS:
+                operands.append([])
+            else:
+                operands[-1].append(w)
+        return [self.classify([TAG, *o]) for o in operands] if len(operands) > 1 else [self.classify(words)]
+
     def classify(self, words: list[bytes]) -> tuple[str, float, float, bool]:
         """(family, its probability, overlap with its closest template, confirmed)."""
         p = self.probabilities(grams_of(words, self.known))
@@ -198,6 +212,8 @@ def fit_license_model(sample: list[str], seed: int = 5, epochs: int = 12, batch:
 def license_paragraphs(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_lines, found) for every row: found is an array of (line, family, probability, overlap, confirmed), by a paragraph's first line, from 0.
 
+    A paragraph in prose has one family, the most probable; a stated expression has one for each licence that it joins.
+
     Null and empty texts are one line in which nothing is found. Ids may be null or repeat, and rows that
     repeat each have a row, in which the same is found. Whole texts are read, however long they or their
     lines are. Other columns of `docs`, whatever their names, play no part.
@@ -211,9 +227,9 @@ def license_paragraphs(docs: DataFrame, model: LicenseModel, id_col: str = "doc_
         lines = (text or b"").split(b"\n")
         out = []
         for k, words in m.paragraphs(lines):
-            family, p, share, sure = m.classify(words)
-            if family != UNKNOWN:
-                out.append({"line": k, "family": family, "probability": p, "overlap": share, "confirmed": sure})
+            for family, p, share, sure in m.licences(words):
+                if family != UNKNOWN:
+                    out.append({"line": k, "family": family, "probability": p, "overlap": share, "confirmed": sure})
         return len(lines), out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,6 +42,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Licensed under the BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause",
     ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",

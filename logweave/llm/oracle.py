@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from logweave.llm.mixing import UNIT
 from logweave.llm.quality_rules import BOILERPLATE, SEPARATORS, STOPS, SYMBOLS, Rules
-from logweave.llm.sharding import HASH_BITS, LIMIT
+from logweave.llm.sharding import HASH_BITS, QUERY_LIMIT
 
 _R = Rules()
 _quoted = lambda values: ", ".join("'" + v.replace("'", "''") + "'" for v in values)
@@ -58,7 +58,7 @@ WITH docs AS (
     ('0x' || substr(md5(concat_ws('|', coalesce(doc_id::VARCHAR, ''), coalesce(text, ''))), 1, {HASH_BITS // 4}))::BIGINT AS bits
   FROM documents),
 prefixes AS (SELECT *, unnest(range(0, 25)) AS depth FROM docs),
-sums AS (SELECT depth, bits >> ({HASH_BITS} - depth)::INT AS prefix, sum(n_bytes) AS shard_bytes FROM prefixes GROUP BY ALL HAVING sum(n_bytes) <= {LIMIT} OR count(*) = 1),
+sums AS (SELECT depth, bits >> ({HASH_BITS} - depth)::INT AS prefix, sum(n_bytes) AS shard_bytes FROM prefixes GROUP BY ALL HAVING sum(n_bytes) <= {QUERY_LIMIT} OR count(*) = 1),
 leaves AS (
   SELECT p.doc_id, p.bits, min(p.depth) AS depth FROM prefixes p JOIN sums s ON p.depth = s.depth AND p.bits >> ({HASH_BITS} - p.depth)::INT = s.prefix GROUP BY ALL)
 SELECT d.doc_id, d.n_bytes, CASE WHEN l.depth = 0 THEN 'root' ELSE lpad(bin(s.prefix), l.depth::INT, '0') END AS shard, l.depth::BIGINT AS depth, 0::BIGINT AS page, s.shard_bytes::BIGINT AS shard_bytes

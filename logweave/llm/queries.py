@@ -15,7 +15,7 @@ from logweave.llm.mixing import mix_sources
 from logweave.llm.packing import pack_documents
 from logweave.llm.phrases import collocations
 from logweave.llm.quality_rules import quality_rules
-from logweave.llm.sharding import shard_documents
+from logweave.llm.sharding import QUERY_LIMIT, shard_documents
 from logweave.llm.simhash import simhash_groups
 from logweave.llm.site_quality import site_quality
 from logweave.llm.token_counts import token_counts
@@ -52,7 +52,7 @@ def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_documents(_table(spark, sf_dir, "documents"))
+    return shard_documents(_table(spark, sf_dir, "documents"), QUERY_LIMIT)
 
 
 def op8_line_runs_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,8 @@ from logweave.operators.numbering import dense_position
 from logweave.operators.pinning import pin
 
 HASH_BITS = 60
-#: Bytes of text in a shard: what one reader holds at once.
-LIMIT = 256 << 10
+#: Bytes of text in a shard, what one reader holds at once: by default, and in the registered query, whose tables are small.
+LIMIT, QUERY_LIMIT = 256 << 20, 256 << 10
 _STEP = 8
 
 

@@ -252,3 +252,10 @@ def test_menus_and_copied_lines_fail_but_single_headings_pass():
     assert qr.line_faults(["word " * 21])[0] == "punctuation" and qr.line_faults(["word " * 20])[0] is None
     judged = qr.judge("\n".join([prose] * 3 + menu))
     assert judged[8] == 4 and judged[10] == "\n".join([prose] * 3)
+
+
+def test_a_stated_expression_gives_each_of_its_licences(spark):
+    model = fit_license_model([PROSE] * 5)
+    texts = ["// SPDX-License-Identifier: Apache-2.0 OR MIT", "SPDX-License-Identifier: (MPL-2.0 AND BSD-2-Clause)", "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "SPDX-License-Identifier: MIT"]
+    got = [sorted({x.family for x in r.found if x.confirmed}) for r in license_paragraphs(docs(spark, texts), model).orderBy("doc_id").collect()]
+    assert got == [["Apache-2.0", "MIT"], ["BSD", "MPL-2.0"], ["GPL-2.0"], ["MIT"]]
