@@ -18,7 +18,7 @@ _MASKS = (
     (r"(?iU)(?=0x)\b0x[0-9a-f]{6,}\b", "<HEX>"),
 )
 _NUMBER = r"(?U)(?=\d)(?<![A-Za-z_])\d+(?![A-Za-z_])"
-_KEPT = r"(?iU)(?<=(?:eventid|status|result|action)=)(?=\d)"
+_KEPT = r"(?iU)(?=\d)(?<==)(?<=(?:eventid|status|result|action)=)"
 
 
 def mask(message: Column) -> Column:
