@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +67,35 @@ def test_fusion_learns(spark):
     assert all((r.score > 0.5) == (r.label == 1) for r in fusion.apply_link_scores(fusion.fit_link_scores(x), x).collect())
     w = fusion.weighted_fusion(spark.createDataFrame([(1.0, 0.0)], "a double, b double"), {"a": 3, "b": 1})
     assert w.first().score == 0.75
+
+
+def _newton(x, y, ridge):
+    """Logistic regression with intercept, the penalty on standardized weights, as logits of the rows."""
+    scale = x.std(axis=0, ddof=1)
+    live = scale > 0
+    a = np.hstack([x[:, live] / scale[live], np.ones((len(x), 1))])
+    penalty, w = np.append(np.full(live.sum(), ridge), 0.0), np.zeros(live.sum() + 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-a @ w))
+        grad = a.T @ (p - y) / len(y) + penalty * w
+        w = w - np.linalg.solve((a.T * (p * (1 - p))) @ a / len(y) + np.diag(penalty), grad)
+    return a @ w
+
+
+def test_fusion_equals_a_plain_fit_row_by_row(spark):
+    rng = np.random.default_rng(4)
+    e = rng.normal(size=(300, 4))
+    g, m = rng.random(300), rng.random(300)
+    y = (e[:, 0] + g - m + rng.normal(size=300) > 0.2).astype(float)
+    df = spark.createDataFrame([(str(i), e[i].tolist(), float(g[i]), float(m[i]), float(y[i])) for i in range(300)], "record_id string, event_embedding array<double>, graph_score double, long_horizon_score double, label double")
+    got = {int(r.record_id): r for r in fusion.apply_fusion(fusion.fit_fusion(df, rounds=200), df).collect()}
+    event = _newton(e, y, 0.01)
+    micro = _newton(np.hstack([e, g[:, None]]), y, 0.01)
+    macro = _newton(np.hstack([e, g[:, None], m[:, None]]), y, 0.01)
+    for name, want in (("event_logit", event), ("micro_logit", micro), ("macro_logit", macro)):
+        assert np.abs(np.array([got[i][name] for i in range(300)]) - want).max() < 1e-3
+    # Spark's heads feed the last one both the -logit and the logit of each: the same fit, with the penalty shared by two weights
+    both = np.hstack([v for x in (event, micro, macro) for v in (-x[:, None], x[:, None])])
+    fused = _newton(both, y, 0.01)
+    assert np.abs(np.array([got[i]["fused_logit"] for i in range(300)]) - fused).max() < 1e-2
+    assert all(abs(got[i].score - 1 / (1 + math.exp(-got[i].fused_logit))) < 1e-12 for i in range(300))
