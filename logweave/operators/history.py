@@ -45,6 +45,24 @@ def ranged_history(events: DataFrame, by: list[str], keep: list[str], last: int,
     return out.select(*events.columns, "history_size", "history")
 
 
+def history_within(events: DataFrame, by: list[str], keep: list[str], seconds: float, order: list | None = None, ts: str = "ts") -> DataFrame:
+    """Adds history, all earlier events of the same `by` within the last `seconds` as structs of `keep`, oldest first, and history_size, their number.
+
+    Time is cut into slots of that length; each slot also sees the events of the one before, so however
+    long a group is, what meets in one task is two slots of it. Earlier is as in event_order, so of events with one time some come before others.
+    An event without a time has no history and is in none.
+    """
+    order, span = order or event_order(), int(seconds * 1_000_000)
+    at = F.unix_micros(ts)
+    own = events.withColumns({"__key": F.struct(*[F.col(o).alias(f"o{i}") if isinstance(o, str) else o.alias(f"o{i}") for i, o in enumerate(order)]), "__at": at, "__slot": F.floor(at / span)})
+    seen = own.withColumn("__ahead", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__block", F.col("__slot") + F.col("__ahead"))
+    frame = W.partitionBy(*by, "__block").orderBy("__at").rangeBetween(-span, 0)
+    found = seen.withColumn("__past", F.collect_list(F.struct("__key", F.struct(*keep).alias("kept"))).over(frame)).where("__ahead = 0")
+    past = F.transform(F.array_sort(F.filter("__past", lambda h: (h["__key"] < F.col("__key")) & F.col("__at").isNotNull())), lambda h: h["kept"])
+    out = found.withColumn("history", past).withColumn("history_size", F.size("history").cast("long"))
+    return out.select(*events.columns, "history_size", "history")
+
+
 def history_before(events: DataFrame, current_id: str) -> DataFrame:
     """The events of the current one's dataset that come before it in the total order."""
     names = ["__ts", "source_file", "source_line", "record_id"]

@@ -117,3 +117,6 @@ t AS (SELECT DISTINCT id, actor AS label FROM x WHERE event_type = 'error'),
 r AS (SELECT DISTINCT l.* FROM l JOIN t c ON c.id = l.a JOIN t d ON d.id = l.b AND d.label = c.label),
 n AS (SELECT links, count(*) AS n_links FROM l GROUP BY 1), g AS (SELECT links, count(*) AS n_right FROM r GROUP BY 1)
 SELECT s.links, coalesce(n_links, 0) AS n_links, coalesce(n_right, 0) AS n_right, round(n_right::DOUBLE / n_links, 9) AS precision FROM (VALUES ('time'), ('any'), ('stable')) s(links) LEFT JOIN n USING (links) LEFT JOIN g USING (links)"""
+SQL["recent_history"] = """
+SELECT a.event_id::VARCHAR AS record_id, count(b.event_id) AS history_size, arg_max(b.event_id, (b.ts, b.event_id))::VARCHAR AS last_id, arg_min(b.event_id, (b.ts, b.event_id))::VARCHAR AS first_id
+FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND (b.ts, b.event_id) < (a.ts, a.event_id) AND epoch_us(a.ts) - epoch_us(b.ts) <= 86400000000 GROUP BY a.event_id"""

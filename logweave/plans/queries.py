@@ -300,6 +300,13 @@ def causal_history(spark: SparkSession, sf: str) -> DataFrame:
     return h.select("record_id", "history_size", F.size("history").cast("long").alias("kept"), last.alias("last_id"), F.get("history", F.lit(0))["record_id"].alias("first_id"))
 
 
+@query
+def recent_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each event its user's events of the day before it: how many, the first and the last."""
+    h = history.history_within(event_frames(spark, sf).withColumn("actor", F.col("roles")["actor"]), ["dataset_id", "actor"], ["record_id"], 86_400.0)
+    return h.select("record_id", "history_size", F.try_element_at("history", F.lit(-1))["record_id"].alias("last_id"), F.get("history", F.lit(0))["record_id"].alias("first_id"))
+
+
 @query
 def history_leaks(spark: SparkSession, sf: str) -> DataFrame:
     """Histories of events with a leak planted in every hundredth: those are what the guard finds."""

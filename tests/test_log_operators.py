@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -328,3 +329,15 @@ def test_registered_template_clusters_by_brute_force(spark):
     want = brute_clusters([(r["size"], r.fingerprint, r.template) for r in found], 0.4)
     got = {r.fingerprint: (r.cluster, r.cluster_sha256) for r in QUERIES["template_clusters"](spark, folder).collect()}
     assert got == {k: (c, hashlib.sha256(t.encode()).hexdigest()) for k, (c, t) in want.items()}
+
+
+def test_history_within_a_time_equals_the_theta_join(spark):
+    from logweave.operators.history import history_within
+
+    rng = random.Random(6)
+    data = [(i, rng.choice("ab"), rng.choice([None, *range(0, 5000, 50), *[1000] * 60]), i % 7) for i in range(400)]  # a burst at one time
+    e = spark.createDataFrame(data, "i long, k string, s long, x long").withColumn("ts", F.col("s").cast("timestamp"))
+    got = {r.i: [h.i for h in r.history] for r in history_within(e, ["k"], ["i"], 600.0, ["s", "i"]).collect()}
+    for i, k, s, _ in data:
+        want = sorted((y, j) for j, z, y, _ in data if z == k and s is not None and y is not None and (y, j) < (s, i) and s - y <= 600)
+        assert got[i] == [j for _, j in want]
