@@ -52,6 +52,7 @@ SQL["prediction_export"] = "SELECT doc_id AS record_id, (quality * 0.5 + 0.25)::
 SQL["log_pipeline"] = oracle.SQL["attack_queues"]
 SQL["stream_tail"] = f"""
 SELECT 'event ' || event_id AS message, CASE WHEN event_id % 6 > 0 THEN {_ISO} ELSE '' END AS time, CASE WHEN event_id % 6 > 0 THEN '' ELSE 'missing_timestamp' END AS reason FROM events"""
+SQL["tailed_lines"] = "SELECT 'event ' || event_id AS message, TRUE AS same FROM events"
 SQL["stream_entity_spans"] = """
 SELECT 'user' AS entity_type, user_id::VARCHAR AS value, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen, count(*) AS mentions FROM events GROUP BY user_id"""
 SQL["stream_sessions"] = """

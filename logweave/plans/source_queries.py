@@ -14,8 +14,9 @@ from logweave.plans.events import event_frames, table
 from logweave.plans.log_pipeline import run_log_pipeline
 from logweave.plans.queries import event_stream, query, raw_documents
 from logweave.sources import raw
-from logweave.sources.readers import adapter_for, read_csv_stream, read_discovered, read_event_stream, read_event_text, read_event_xml, read_flow_csv, read_timed_text
+from logweave.sources.readers import adapter_for, read_csv_stream, read_discovered, read_event_stream, read_event_text, read_event_xml, read_flow_csv, read_text_log, read_timed_text
 from logweave.streaming import jobs
+from logweave.streaming.tail import tail_records, tailed_records
 
 #: How long a window stays in the campaign store of the registered query.
 KEEP_DAYS = 10
@@ -225,6 +226,19 @@ def stream_tail(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("message", F.coalesce("timestamp", F.lit("")).alias("time"), F.coalesce("quarantine_reason", F.lit("")).alias("reason"))
 
 
+@query
+def tailed_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """events as lines that a tail follows by bytes over two runs, with new files between them: each record, and whether a batch read gives it the same id and hash."""
+    line = F.concat(F.lit("event "), F.col("event_id").cast("string"))
+    path, root, state = new_table_path(spark, "followed"), new_table_path(spark, "tailed"), new_table_path(spark, "stream")
+    for k in range(2):
+        table(spark, sf, "events").where(F.col("event_id") % 2 == k).select(line.alias("value")).write.mode("append").text(path, lineSep="\n")
+        tail_records(spark, path, root, state).trigger(availableNow=True).start().awaitTermination()
+    batch = read_text_log(spark, path).select("raw_record_id", F.col("source_hash").alias("hash"))
+    both = tailed_records(spark, root).join(batch, "raw_record_id", "left")
+    return both.select(F.col("payload_text").alias("message"), F.coalesce(F.col("hash") == F.col("source_hash"), F.lit(False)).alias("same"))
+
+
 @query
 def stream_entity_spans(spark: SparkSession, sf: str) -> DataFrame:
     """First and last time and mentions of each user through a stream, kept up to date over micro-batches; its last word."""
