@@ -177,8 +177,7 @@ class _Tail(DataSourceStreamReader):
 class LogLines(DataSource):
     """Rows (source_file, block, at, value): a line, the first byte of the range it was read in, and its place among that range's lines.
 
-    Options: path, a file or a folder, on any storage that Arrow's file systems open; files, the same for
-    CREATE TABLE … USING, which keeps `path` to itself; split_bytes. A
+    Options: path, a file or a folder, on any storage that Arrow's file systems open; split_bytes. A
     stream takes all that has been appended as one batch, cut into ranges; it fails where a file
     has shrunk, and reads a file that was gone and is back as a new one. Its offset names
     every file under the path, so old files should be moved away.
@@ -192,13 +191,12 @@ class LogLines(DataSource):
         return "source_file string, block bigint, at bigint, value string"
 
     def _settings(self) -> tuple[str, int]:
-        path = self.options.get("path") or self.options.get("files")
-        if not path:
+        if "path" not in self.options:
             raise ValueError(f"{NAME} needs a path")
         step = int(self.options.get("split_bytes", SPLIT_BYTES))
         if step < 1:
             raise ValueError("split_bytes must be positive")
-        return path, step
+        return self.options["path"], step
 
     def reader(self, schema) -> DataSourceReader:
         return _Table(*self._settings())
@@ -208,7 +206,7 @@ class LogLines(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the format known to the session: spark.read.format("log_lines"), readStream, and tables USING log_lines."""
+    """Makes the format known to the session: spark.read.format("log_lines"), readStream, and in SQL temporary views USING log_lines (tables of a catalog pass no options on)."""
     spark.dataSource.register(LogLines)
 
 

@@ -64,11 +64,11 @@ def test_table_equals_the_text_reader(spark, tmp_path, rows):
 def test_the_format_in_sql(spark, tmp_path):
     (tmp_path / "a.log").write_text("one\ntwo\n")
     line_source.register(spark)
-    spark.sql(f"CREATE TABLE some_log USING log_lines OPTIONS (files '{tmp_path / 'a.log'}')")
+    spark.sql(f"CREATE TEMPORARY VIEW some_log USING log_lines OPTIONS (path '{tmp_path / 'a.log'}')")
     try:
         assert [r.value for r in spark.sql("SELECT value FROM some_log WHERE at = 1").collect()] == ["two"]
     finally:
-        spark.sql("DROP TABLE some_log")
+        spark.sql("DROP VIEW some_log")
 
 
 def test_table_of_nothing_and_what_it_refuses(spark, tmp_path):
