@@ -7,6 +7,9 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from logweave.llm import url_filter
 from logweave.llm.url_filter import RULES, filter_urls, host_of, path_of
 
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0/.-~"
@@ -101,3 +104,14 @@ def test_the_longest_rule_wins(spark):
     pages = spark.createDataFrame([(1, "http://www.example.org/en/12"), (2, "http://example.org/en/2"), (3, "http://a.example.org/es/"), (4, "http://x.COM/fr/1")], "page_id long, url string")
     got = {r.page_id: (r.rule, r.verdict) for r in filter_urls(pages).collect()}
     assert got == {1: ("example.org/en/1", "block"), 2: ("org/", "allow"), 3: ("example.org/es/", "block"), 4: ("com/fr/", "allow")}
+
+
+def test_every_labelled_url_is_fitted_on(spark, monkeypatch):
+    """More labelled URLs than a sample of 200,000 of a verdict held: all reach the models and the threshold."""
+    seen = {}
+    fit, calibrate = url_filter.fit_log_ratios, url_filter.calibrated_threshold
+    monkeypatch.setattr(url_filter, "fit_log_ratios", lambda df: seen.update(fit=df.count()) or fit(df))
+    monkeypatch.setattr(url_filter, "calibrated_threshold", lambda df: seen.update(held=df.count()) or calibrate(df))
+    pages = spark.range(200_900).select(F.col("id").alias("page_id"), F.concat(F.lit("://"), F.when(F.col("id") % 600 > 0, "a.org/").otherwise("b.com/"), F.col("id")).alias("url"))
+    filter_urls(pages, TOY)
+    assert seen["fit"] + seen["held"] == 200_900
