@@ -111,10 +111,12 @@ def tensor_tables(nodes: DataFrame, edges: DataFrame, dim: int = 32, type_bucket
 def neighbor_mean(edges: DataFrame, features: DataFrame, source: str = "source", target: str = "target", node: str = "node_id", vector: str = "features") -> DataFrame:
     """(node, mean): the mean of the in-neighbours' vectors, position by position, over edges. Nodes without any have zeros.
 
-    Sums combine before the shuffle, so that a node with very many neighbours costs no more than one.
+    Sums combine before the shuffle, so that a node with very many neighbours costs no more than one. A node's
+    sums are one row, as wide as the longest vector, rather than a row for each position.
     """
     spread = edges.select(F.col(source).alias("__s"), F.col(target).alias("__t")).join(features.select(F.col(node).alias("__s"), F.col(vector).alias("__v")), "__s")
-    at = spread.select("__t", F.posexplode("__v").alias("p", "x")).groupBy("__t", "p").agg(F.avg("x").alias("m"))
-    means = at.groupBy("__t").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda e: e["m"]).alias("__mean"))
+    width = max(1, features.agg(F.max(F.size(vector))).first()[0] or 0)
+    sums = spread.groupBy("__t").agg(F.max(F.size("__v")).alias("__n"), *[F.avg(F.get("__v", F.lit(i))).alias(f"__m{i}") for i in range(width)])
+    means = sums.where("__n > 0").select("__t", F.slice(F.array(*[f"__m{i}" for i in range(width)]), F.lit(1), F.col("__n")).alias("__mean"))
     zero = F.transform(F.col(vector), lambda x: F.lit(0.0))
     return features.join(means, features[node] == means["__t"], "left").select(F.col(node), F.coalesce("__mean", zero).alias("mean"))

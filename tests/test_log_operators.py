@@ -341,3 +341,11 @@ def test_history_within_a_time_equals_the_theta_join(spark):
     for i, k, s, _ in data:
         want = sorted((y, j) for j, z, y, _ in data if z == k and s is not None and y is not None and (y, j) < (s, i) and s - y <= 600)
         assert got[i] == [j for _, j in want]
+
+
+def test_neighbours_are_summed_in_one_row_a_node(spark, rows):
+    v = spark.createDataFrame([("a", [1.0, None, 5.0]), ("b", [3.0]), ("c", []), ("d", None)], "node_id string, features array<double>")
+    edges = spark.createDataFrame([("a", "a"), ("b", "a"), ("b", "b"), ("c", "c"), ("d", "d"), ("a", "d")], "source string, target string")
+    got = graph.neighbor_mean(edges, v)
+    assert rows(got) == [("a", [2.0, None, 5.0]), ("b", [3.0]), ("c", []), ("d", [1.0, None, 5.0])]
+    assert "posexplode" not in got._jdf.queryExecution().toString()
