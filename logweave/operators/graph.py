@@ -101,9 +101,11 @@ def tensor_tables(nodes: DataFrame, edges: DataFrame, dim: int = 32, type_bucket
     value = F.coalesce("value", F.lit("")) if "value" in nodes.columns else F.col("node_id")
     kind = F.coalesce("node_type", F.lit("unknown"))
     type_id = F.pmod(F.conv(F.substring(F.sha2(kind.cast("binary"), 256), 1, 8), 16, 10).cast("long"), F.lit(type_buckets)).cast("int")
-    indexed = dense_position(nodes.select("node_id", type_id.alias("type_id"), byte_vector(F.concat_ws("|", kind, value), dim).alias("features")), ["node_id"], "node_index")
+    # only what features are made of is moved and pinned
+    placed = dense_position(nodes.select(*[c for c in ("node_id", "node_type", "value") if c in nodes.columns]), ["node_id"], "node_index")
+    indexed = placed.select("node_id", type_id.alias("type_id"), byte_vector(F.concat_ws("|", kind, value), dim).alias("features"), "node_index")
     relations = dense_position(edges.select("role").distinct(), ["role"], "relation_id")
-    ids = indexed.select("node_id", "node_index")
+    ids = placed.select("node_id", "node_index")
     out = edges.join(relations, "role").join(ids.withColumnsRenamed({"node_id": "source", "node_index": "source_index"}), "source").join(ids.withColumnsRenamed({"node_id": "target", "node_index": "target_index"}), "target")
     return indexed, out.select("source_index", "target_index", F.col("relation_id").cast("int").alias("relation_id"))
 

@@ -261,7 +261,7 @@ def per_event_graphs(spark: SparkSession, sf: str) -> DataFrame:
 def _tensors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     f = event_frames(spark, sf)
     nodes, edges = graph.strict_graph(f, entities.links_of(entities.mention_entities(f)))
-    return graph.tensor_tables(nodes, graph.known_edges(edges, nodes), 8)
+    return graph.tensor_tables(nodes, edges, 8)  # a strict graph has a node for both ends of each edge
 
 
 @query

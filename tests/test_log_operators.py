@@ -349,3 +349,15 @@ def test_neighbours_are_summed_in_one_row_a_node(spark, rows):
     got = graph.neighbor_mean(edges, v)
     assert rows(got) == [("a", [2.0, None, 5.0]), ("b", [3.0]), ("c", []), ("d", [1.0, None, 5.0])]
     assert "posexplode" not in got._jdf.queryExecution().toString()
+
+
+def test_numbering_pins_no_features_and_moves_rows_once(spark, monkeypatch):
+    from logweave.operators import numbering
+
+    pinned, plain = [], numbering.pin_table
+    monkeypatch.setattr(numbering, "pin_table", lambda df, name: pinned.append((df.columns, df._jdf.queryExecution().executedPlan().toString())) or plain(df, name))
+    nodes = spark.createDataFrame([("b", "user"), ("a", "event")], "node_id string, node_type string")
+    index, _ = graph.tensor_tables(nodes, spark.createDataFrame([("b", "a", "r")], "source string, target string, role string"), 4)
+    assert pinned[0][0] == ["node_id", "node_type", "__id"] and index.columns == ["node_id", "type_id", "features", "node_index"]
+    numbering_plan = numbering.dense_position(spark.range(9), ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window [row_number" not in numbering_plan
