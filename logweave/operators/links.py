@@ -107,10 +107,11 @@ def any_overlap_links(entities: DataFrame, max_gap_seconds: float | None) -> Dat
 
 def link_quality(links: dict[str, DataFrame], truth: DataFrame) -> DataFrame:
     """(links, n_links, n_right, precision) of link sets side by side. `truth`: window_id, label; a link is right if both windows have one label in common. Without links the precision is null."""
-    side = lambda p: truth.select(F.col("window_id").alias(f"{p}_window"), F.col("label").alias("__label")).distinct()
+    known = pin_table(truth.select("window_id", "label").distinct(), "link_truth")
+    side = lambda p: known.select(F.col("window_id").alias(f"{p}_window"), F.col("label").alias("__label"))
     rows = []
     for name, df in links.items():
-        own = df.select("source_window", "target_window").distinct()
+        own = pin_table(df.select("source_window", "target_window").distinct(), "link_set")  # counted, and met with the truth
         right = own.join(side("source"), "source_window").join(side("target"), ["target_window", "__label"]).select("source_window", "target_window").distinct()
         both = own.agg(F.count("*").alias("n_links")).join(right.agg(F.count("*").alias("n_right")), F.lit(True))
         rows.append(both.select(F.lit(name).alias("links"), "n_links", "n_right", (F.col("n_right") / F.nullif("n_links", F.lit(0))).alias("precision")))

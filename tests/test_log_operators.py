@@ -361,3 +361,16 @@ def test_numbering_pins_no_features_and_moves_rows_once(spark, monkeypatch):
     assert pinned[0][0] == ["node_id", "node_type", "__id"] and index.columns == ["node_id", "type_id", "features", "node_index"]
     numbering_plan = numbering.dense_position(spark.range(9), ["id"])._jdf.queryExecution().executedPlan().toString()
     assert "Window [row_number" not in numbering_plan
+
+
+def test_each_link_set_is_computed_once(spark, rows, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    pairs = spark.createDataFrame([("w1", "w2"), ("w2", "w3")], "source_window string, target_window string").mapInArrow(counted, "source_window string, target_window string")
+    truth = spark.createDataFrame([("w1", "x"), ("w2", "x"), ("w3", "y")], "window_id string, label string")
+    assert rows(links.link_quality({"a": pairs}, truth)) == [("a", 2, 1, 0.5)] and calls.value == 2
