@@ -71,13 +71,13 @@ def live_links(window_entities: DataFrame, max_gap_seconds: float = 86_400.0, de
 
 
 class _EntitySpan(StatefulProcessor):
-    """First and last time and count of an entity."""
+    """First and last time and count of an entity, for a time to live."""
 
     def __init__(self, keep_hours: float):
         self.keep = int(keep_hours * 3_600_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.span = handle.getValueState("span", "first bigint, last bigint, n bigint", ttlDurationMs=self.keep) if self.keep else handle.getValueState("span", "first bigint, last bigint, n bigint")
+        self.span = handle.getValueState("span", "first bigint, last bigint, n bigint", ttlDurationMs=self.keep)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         times = pd.concat([pd.to_datetime(r["ts"]).astype("datetime64[us]").astype("int64") for r in rows])
@@ -92,8 +92,14 @@ class _EntitySpan(StatefulProcessor):
 
 
 def entity_spans(mentions: DataFrame, keep_hours: float = 0.0) -> DataFrame:
-    """(entity_type, value, first_seen, last_seen, mentions), updated with each batch. `mentions`: entity_type, value, ts."""
-    return mentions.groupBy("entity_type", "value").transformWithStateInPandas(_EntitySpan(keep_hours), "entity_type string, value string, first_seen timestamp, last_seen timestamp, mentions bigint", "Update", "None" if not keep_hours else "ProcessingTime")
+    """(entity_type, value, first_seen, last_seen, mentions), updated with each batch. `mentions`: entity_type, value, ts.
+
+    Kept for good, spans are sums that combine before the shuffle; with `keep_hours` an entity is forgotten that long after its last batch.
+    """
+    by, ts = mentions.groupBy("entity_type", "value"), F.col("ts").cast("timestamp")
+    if not keep_hours:
+        return by.agg(F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"), F.count("*").alias("mentions"))
+    return by.transformWithStateInPandas(_EntitySpan(keep_hours), "entity_type string, value string, first_seen timestamp, last_seen timestamp, mentions bigint", "Update", "ProcessingTime")
 
 
 def template_counts(records: DataFrame, text: str = "message") -> DataFrame:

@@ -94,3 +94,9 @@ def test_entity_spans_and_templates(spark, tmp_path, rows):
     assert rows(last) == [("a", 2, 1, 5), ("b", 1, 2, 2)]
     t = jobs.template_counts(stream(spark, m.withColumn("message", F.concat(F.lit("port "), "n")), str(tmp_path / "in2")))
     assert rows(jobs.run_once(t, "templates", str(tmp_path / "c3"), "complete"), "template", "size") == [("port <NUM>", 3)]
+
+
+def test_spans_without_a_time_to_live_are_sums(spark, tmp_path):
+    m = spark.createDataFrame([("user", "u", 0)], "entity_type string, value string, at long").select("entity_type", "value", F.timestamp_seconds("at").alias("ts"))
+    spans = jobs.entity_spans(stream(spark, m, str(tmp_path / "in")))
+    assert "TransformWithState" not in spans._jdf.queryExecution().logical().toString()
