@@ -7,11 +7,12 @@ shard is a BK-tree over SimHash fingerprints, searched with a wide radius, which
 merely in the same shard. Each pair it gives is verified by the exact similarity of shingle sets.
 
 Equal sets are one node from the start. Each round joins verified pairs and goes on with one node of
-each group, the one with most links, until no pair among those left is verified. First each shard of
-more than a few members compares them with its centre alone, the one nearest to the majority of its bits: a tree with
+each group, the one with most links, until no pair among those left is verified. First each shard
+compares its members with its centre alone, the one nearest to the majority of its bits: a tree with
 that root, of which the edges within the radius are the pairs. So a group of near copies, however
-large, shrinks at linear cost, and no task holds a shard. While that joins any and a shard is large,
-it is done again. Then all pairs of what is left are compared, a large shard's chunk by chunk. There
+large, shrinks at linear cost, and no task holds a shard. While that joins any, it is done again; shards of any
+size take these steps, so that what stays of a group doesn't hang on how many others there are. Then all pairs of
+what is left are compared, a large shard's chunk by chunk. There
 a sketch of 512 more min-hashes, a byte of each, passes over what is surely not similar enough, so
 that what leaves a shard is little more than its links.
 """
@@ -35,8 +36,8 @@ from logweave.operators.pinning import new_table_path, pin, pin_table, remove_pa
 
 BANDS, ROWS = 20, 5
 RADIUS = 22
-#: Members of a shard that are compared in one task, those from which on they first meet a centre, and bytes of a sketch.
-SHARD_LIMIT, CENTRE_LIMIT, SKETCH = 1024, 16, 512
+#: Members of a shard that are compared in one task, and bytes of a sketch.
+SHARD_LIMIT, SKETCH = 1024, 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _draw = np.random.default_rng(42)
 _TIMES = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -139,12 +140,11 @@ def shard_pairs(fps: list[int], keys: list[int], sketches: np.ndarray, radius: i
     return out
 
 
-def _shared(nodes: DataFrame) -> tuple[DataFrame, int]:
-    """(key, fp, band, n) of bands that several of the pinned nodes (key, fp, bands) have, pinned, and the largest n."""
+def _shared(nodes: DataFrame) -> DataFrame:
+    """(key, fp, band, n) of bands that several of the pinned nodes (key, fp, bands) have, pinned."""
     members = nodes.select("key", "fp", F.explode("bands").alias("band"))
     sizes = pin_table(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band_sizes")
-    shared = pin_table(members.join(sizes.hint("merge"), "band").select("key", "fp", "band", "n"), "shared_bands")
-    return shared, sizes.agg(F.max("n")).first()[0] or 0
+    return pin_table(members.join(sizes.hint("merge"), "band").select("key", "fp", "band", "n"), "shared_bands")
 
 
 def _centre_pairs(shared: DataFrame, radius: int) -> DataFrame:
@@ -214,8 +214,8 @@ def similar_distinct(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
 
     Near copies have shingle sets with a Jaccard similarity of at least `similarity`; of any two rows
     left none are, up to the recall of bands, radius and sketch, and every row that goes is joined to one that
-    stays by such links. Which of several valid choices is made hangs on `shard_limit`, as it says how long shards meet
-    their centre alone; the recall doesn't. Equal sets are told by 64-bit hashes, similarities are of sets of their upper 32 bits. Ids, ties and texts without words are as in
+    stays by such links. `shard_limit` only says how many members of a shard one task compares; no row's fate hangs on it, nor on
+    rows that share no band with its group. Equal sets are told by 64-bit hashes, similarities are of sets of their upper 32 bits. Ids, ties and texts without words are as in
     `simhash.near_distinct`. Texts are hashed once, and again only those of candidate pairs.
     """
     base = docs.select(F.col(text).cast("string").alias("__text"), F.col(id_col).cast("long").alias("id"), text_hash(text).alias("hash"))
@@ -239,16 +239,14 @@ def similar_distinct(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     rows = pin(base.mapInArrow(describe, "id bigint, hash bigint, key bigint, fp bigint, bands array<bigint>"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("least")
     nodes = pin(rows.groupBy("key").agg(first, F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    sets = tested = around = None
-    alone = []
+    sets = tested = None
+    around, alone = True, []
     while True:
-        shared, largest = _shared(nodes)
+        shared = _shared(nodes)
         # a node without a band in common has none later either, as nodes only get fewer
         meeting = pin_table(shared.select("key").distinct(), "meeting_nodes")
         alone.append(pin(nodes.join(meeting, "key", "left_anti").select("least")))
         nodes = pin(nodes.join(meeting, "key", "left_semi"))
-        if around is None:
-            around = largest > CENTRE_LIMIT
         if sets is None:
             asked = nodes.select(F.col("least.id").alias("__id"), F.col("least.hash").alias("__hash"))
             texts = pin_table(asked, "asked_texts")
@@ -257,7 +255,7 @@ def similar_distinct(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
             # only rows that repeat with id and text give a set more than once
             repeat = rows.groupBy("id", "hash").count().where("count > 1")
             sets = _Sets(found if repeat.isEmpty() else found.dropDuplicates(["key"]))
-        pairs = _centre_pairs(shared.where(F.col("n") > CENTRE_LIMIT), radius) if around else _all_pairs(shared, sets.table().select("key", "sketch"), radius, shard_limit, least_equal(similarity))
+        pairs = _centre_pairs(shared, radius) if around else _all_pairs(shared, sets.table().select("key", "sketch"), radius, shard_limit, least_equal(similarity))
         pairs = pin(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         links = pin(sets.similar(pairs, similarity))
         found = not links.isEmpty()
@@ -268,10 +266,9 @@ def similar_distinct(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
             middle = F.max_by(F.struct("key", "fp", "bands"), F.struct(F.coalesce("count", F.lit(0)), "key")).alias("middle")
             nodes = pin(rooted.groupBy("root").agg(F.min("least").alias("least"), middle).select("least", "middle.*"))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if around:
-            around = found and largest > shard_limit
-        elif not found:
+        if not found and not around:
             break
+        around = around and found
     sets.drop()
     left = reduce(DataFrame.unionByName, alone, nodes.select("least"))
     return kept_rows(docs, rows.select("id", "hash"), left.select("least.id", "least.hash"), id_col, text)

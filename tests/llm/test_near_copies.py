@@ -72,3 +72,17 @@ def test_ids_ties_and_empty_tables(spark):
     df = spark.createDataFrame([(4, text, "x"), (2, text.upper(), "y"), (2, text, "z"), (None, text, "n"), (None, "other", "n"), (None, "other", "n"), (7, None, "e"), (8, "", "e")], "doc_id long, text string, key string")
     assert sorted(((r.doc_id, r.key in "yz") for r in similar_distinct(df).collect()), key=str) == [(2, True), (7, False), (None, False)]
     assert similar_distinct(df.limit(0)).count() == 0 and similar_distinct(df).columns == df.columns
+
+
+def test_what_stays_hangs_on_no_size(spark):
+    """The same rows stay whatever the shard limit, and whatever else there is that shares no words with them."""
+    r = random.Random(3)
+    texts = []
+    for n in [40, 24, 18, 12, 9, 9, 6, 6]:
+        t = " ".join(r.choices(WORDS, k=120))
+        texts += [t, *[edited(r, t, 0.7, 0.95) for _ in range(n)]]
+    more = [" ".join(f"z{w}" for w in r.choices(WORDS, k=120)) for _ in range(3)]
+    more = [x for t in more for x in [t, *[" ".join([*t.split()[:-1], f"y{k}"]) for k in range(30)]]]
+    stay = lambda rows, limit: {x.doc_id for x in similar_distinct(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), shard_limit=limit).collect() if x.doc_id < len(texts)}
+    one = stay(texts, 1024)
+    assert stay(texts, 4) == one and stay([*texts, *more], 24) == one and len(one) > 8
