@@ -3,10 +3,12 @@ from __future__ import annotations
 import hashlib
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from logweave.functions.text import mask, squeezed
+from logweave.operators import template_miner
 from logweave.operators.template_miner import Bucket, mine_stream, mine_templates
 from logweave.operators.templates import catalog, masked, merge_similar
 from logweave.plans.queries import QUERIES
@@ -115,3 +117,15 @@ def test_the_registered_miner_equals_brute_force(spark):
     want = {n: (hashlib.sha256(f"{b}|{c}|{t}".encode()).hexdigest(), change, size) for (n, _), (b, _), (c, t, change, size) in zip(lines, rows, _brute(rows), strict=True)}
     got = {r.id: (r.template_sha256, r.change, r.size) for r in QUERIES["mined_templates"](spark, "/root/testdata/sf0.001").collect()}
     assert got == want
+
+
+def test_a_long_bucket_of_a_batch_is_held_as_columns(spark, tmp_path):
+    """One bucket of more rows than are made objects at once, out of order: as the table's result, and some tens of bytes a row."""
+    rows = spark.range(template_miner.TURN + 900).selectExpr("cast(id as string) as record_id", "pmod(id * 7919, 5003) as at", "concat('job ', if(id % 3 = 0, 'starts', 'ends'), ' on node ', char(97 + id % 20), ' ok') as message")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    found = run_once(mine_stream(stream, ["at"]), "long", str(tmp_path / "checkpoint"))
+    want = mine_templates(rows, ["at"], max_clusters=1000)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    frames = [pd.DataFrame({"words": ["a b c d"] * 5000, "id": [str(i) for i in range(k, k + 5000)], "place0": pd.Timestamp("2024-01-01"), "place1": range(k, k + 5000)}) for k in (0, 5000)]
+    assert template_miner.packed(iter(frames), ["place0", "place1"]).nbytes < 48 * 10_000
