@@ -17,6 +17,7 @@ _MASKS = (
     (r"(?iU)(?=[0-9a-f]{8}-)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<UUID>"),
     (r"(?iU)(?=0x)\b0x[0-9a-f]{6,}\b", "<HEX>"),
 )
+_MASKABLE = r"[\p{Nd}-]"  # each mask needs a digit, but for a UUID of letters
 _NUMBER = r"(?U)(?=\d)(?<![A-Za-z_])\d+(?![A-Za-z_])"
 _KEPT = r"(?iU)(?=\d)(?<==)(?<=(?:eventid|status|result|action)=)"
 
@@ -25,8 +26,10 @@ def mask(message: Column) -> Column:
     """The message with addresses, UUIDs, long hex numbers and other numbers replaced by placeholders.
 
     Numbers right after eventid=, status=, result= or action= stay, in any case, however long: a message
-    that has one is cut there, and each piece but the first keeps the digits that it begins with.
+    that has one is cut there, and each piece but the first keeps the digits that it begins with. A message
+    without a digit or a hyphen has nothing to mask.
     """
+    plain = message
     for pattern, to in _MASKS:
         message = F.regexp_replace(message, pattern, to)
     numbers = lambda text: F.regexp_replace(text, _NUMBER, "<NUM>")
@@ -37,7 +40,7 @@ def mask(message: Column) -> Column:
 
     pieces = F.split(message, _KEPT)
     cut = F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, numbers(p)).otherwise(after_key(p))), "")
-    return F.when(F.regexp_like(message, F.lit(_KEPT)), cut).otherwise(numbers(message))
+    return F.when(~F.regexp_like(plain, F.lit(_MASKABLE)), plain).when(F.regexp_like(message, F.lit(_KEPT)), cut).otherwise(numbers(message))
 
 
 def squeezed(text: Column) -> Column:

@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 
 import pandas as pd
 import pyarrow as pa
@@ -25,16 +27,17 @@ from logweave.functions.text import mask, squeezed
 
 ANY = "<*>"
 TURN = 8192  # messages that are rows at a time
+FEW = 8  # clusters of a bucket that are all compared
 RESULT = "id string, bucket string, cluster bigint, template string, change string, size bigint"
 
 
 class Bucket:
-    """Clusters of one bucket: words, size and last use of each, and which have a word in a place."""
+    """Clusters of one bucket: words, size and last use of each, and, once there are more than FEW, which have a word in a place."""
 
     def __init__(self, threshold: float, most: int = 0):
         self.threshold, self.most = threshold, most
         self.clusters: dict[int, list] = {}  # number -> [words, size], least recently used first
-        self.places: dict[tuple[int, str], set[int]] = {}
+        self.places: list[dict[str, set[int]]] = []  # by place: word -> numbers; empty while there are few clusters
         self.next = 0
 
     def restore(self, clusters: list[tuple[int, list[str], int]], number: int) -> None:
@@ -45,23 +48,36 @@ class Bucket:
 
     def _put(self, n: int, words: list[str], size: int) -> None:
         self.clusters[n] = [words, size]
-        for place in enumerate(words):
-            self.places.setdefault(place, set()).add(n)
-
-    def _leave(self, n: int, place: tuple[int, str]) -> None:
-        own = self.places[place]
+        if self.places:
+            self._enter(n, words)
+        elif len(self.clusters) > FEW:
+            self.places = [{} for _ in words]
+            for m, (held, _) in self.clusters.items():
+                self._enter(m, held)
+
+    def _enter(self, n: int, words: list[str]) -> None:
+        for own, word in zip(self.places, words, strict=True):
+            if word in own:
+                own[word].add(n)
+            else:
+                own[word] = {n}
+
+    def _leave(self, n: int, i: int, word: str) -> None:
+        own = self.places[i][word]
         own.discard(n)
         if not own:
-            del self.places[place]
+            del self.places[i][word]
 
     def similar(self, words: list[str]) -> int | None:
         """The oldest cluster with enough of the words in place."""
         need = math.ceil(self.threshold * max(1, len(words)) - 1e-9)
         if need <= 0:
             return min(self.clusters, default=None)
-        held = sorted((self.places.get(place, ()) for place in enumerate(words)), key=len)
-        known = set().union(*held[: len(words) - need + 1])
-        return next((n for n in sorted(known) if sum(a == b for a, b in zip(self.clusters[n][0], words, strict=True)) >= need), None)
+        known = self.clusters
+        if self.places:
+            held = sorted((s for s in map(dict.get, self.places, words) if s), key=len)
+            known = set().union(*held[: len(held) - need + 1]) if len(held) >= need else ()
+        return next((n for n in sorted(known) if sum(map(eq, self.clusters[n][0], words)) >= need), None)
 
     def add(self, words: list[str], weight: int = 1) -> tuple[int, str]:
         """Number of the message's cluster, and what happened to it: created, changed or none."""
@@ -71,24 +87,23 @@ class Bucket:
             self._put(n, words, weight)
             if self.most and len(self.clusters) > self.most:
                 old = next(iter(self.clusters))
-                for place in enumerate(self.clusters.pop(old)[0]):
-                    self._leave(old, place)
+                gone = self.clusters.pop(old)[0]
+                if self.places:
+                    for i, word in enumerate(gone):
+                        self._leave(old, i, word)
             return n, "created"
         cluster = self.clusters.pop(n)
         self.clusters[n] = cluster  # now the most recently used
         cluster[1] += weight
-        differ = [i for i, (a, b) in enumerate(zip(cluster[0], words, strict=True)) if a != b and a != ANY]
+        differ = [] if cluster[0] == words else [i for i, (a, b) in enumerate(zip(cluster[0], words, strict=True)) if a != b and a != ANY]
         for i in differ:
-            self._leave(n, (i, cluster[0][i]))
+            if self.places:
+                self._leave(n, i, cluster[0][i])
+                self.places[i].setdefault(ANY, set()).add(n)
             cluster[0][i] = ANY
-            self.places.setdefault((i, ANY), set()).add(n)
         return n, "changed" if differ else "none"
 
 
-def words_of(template: str | Column) -> Column:
-    return F.split(squeezed(template if isinstance(template, Column) else F.col(template)), " ")
-
-
 def bucket_of(words: Column) -> Column:
     """Number of words and the first one."""
     first = F.get(words, F.lit(0))
@@ -96,25 +111,18 @@ def bucket_of(words: Column) -> Column:
 
 
 def _messages(messages: DataFrame, text: str, order: list[str], id_col: str) -> DataFrame:
-    """(bucket, words, id, place) of messages."""
-    words = words_of(mask(F.coalesce(F.col(text), F.lit(""))))
-    return messages.select(words.alias("words"), F.col(id_col).cast("string").alias("id"), F.struct(*order).alias("place")).select(bucket_of(F.col("words")).alias("bucket"), "words", "id", "place")
+    """(bucket, words, id, place) of messages; words are one string, each a space apart, as an array of them takes several times the room."""
+    words = squeezed(mask(F.coalesce(F.col(text), F.lit(""))))
+    return messages.select(words.alias("words"), F.col(id_col).cast("string").alias("id"), F.struct(*order).alias("place")).select(bucket_of(F.split("words", " ")).alias("bucket"), "words", "id", "place")
 
 
-def in_order(rows: DataFrame, by: list[str], run, schema: str) -> DataFrame:
-    """Rows (bucket, …) of each bucket through `run`, a function of an iterator over (bucket, other columns as tuples), in the order of `by`."""
-    names = [c for c in rows.columns if c not in by or c == "bucket"]
+def in_order(rows: DataFrame, by: list[str], names: list[str], run, schema: str) -> DataFrame:
+    """Rows of each bucket through `run`, a function of an iterator over the columns `names` as tuples that gives tuples as in `schema`, in the order of `by`."""
 
     def flow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = (r for b in batches for r in zip(*(b.column(n).to_pylist() for n in names), strict=True))
-        out: list[dict] = []
-        for row in run(each):
-            out.append(row)
-            if len(out) >= 8192:
-                yield pa.RecordBatch.from_pylist(out, schema=kind)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=kind)
+        each = run(r for b in batches for r in zip(*(b.column(n).to_pylist() for n in names), strict=True))
+        while out := list(islice(each, TURN)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kind, strict=True)], schema=kind)
 
     kind = pa.schema([(n, {"string": pa.string(), "bigint": pa.int64()}[t]) for n, t in (f.strip().split(" ") for f in schema.split(","))])
     return rows.repartition("bucket").sortWithinPartitions("bucket", *by).select(*names).mapInArrow(flow, schema)
@@ -126,16 +134,16 @@ def mine_templates(messages: DataFrame, order: list[str], text: str = "message",
     A cluster is a number within its bucket. `max_clusters` bounds the clusters a bucket remembers, 0 doesn't. Null texts are empty ones.
     """
 
-    def run(rows: Iterator[tuple]) -> Iterator[dict]:
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         now, bucket = None, Bucket(threshold, max_clusters)
         for key, words, name in rows:
             if key != now:
                 now, bucket = key, Bucket(threshold, max_clusters)
-            n, change = bucket.add(list(words))
-            yield {"id": name, "bucket": key, "cluster": n, "template": " ".join(bucket.clusters[n][0]), "change": change, "size": bucket.clusters[n][1]}
+            n, change = bucket.add(words.split(" "))
+            held, size = bucket.clusters[n]
+            yield name, key, n, " ".join(held), change, size
 
-    rows = _messages(messages, text, order, id_col).withColumn("tie", F.col("id"))
-    return in_order(rows, ["place", "tie"], run, RESULT)
+    return in_order(_messages(messages, text, order, id_col), ["place", "id"], ["bucket", "words", "id"], run, RESULT)
 
 
 def packed(rows: Iterator[pd.DataFrame], order: list[str]) -> pa.Table:
@@ -184,5 +192,5 @@ def mine_stream(messages: DataFrame, order: list[str], text: str = "message", id
     """
     found = _messages(messages, text, order, id_col)
     places = [f"place{i}" for i in range(len(order))]
-    flat = found.select("bucket", F.concat_ws(" ", "words").alias("words"), "id", *[F.col("place")[c].alias(n) for c, n in zip(found.schema["place"].dataType.names, places, strict=True)])
+    flat = found.select("bucket", "words", "id", *[F.col("place")[c].alias(n) for c, n in zip(found.schema["place"].dataType.names, places, strict=True)])
     return flat.groupBy("bucket").transformWithStateInPandas(_Mined(threshold, max_clusters, places), RESULT, "Append", "None")

@@ -7,9 +7,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.functions.text import mask, template_fingerprint
+from logweave.functions.text import mask, squeezed, template_fingerprint
 from logweave.operators.pinning import pin_table
-from logweave.operators.template_miner import Bucket, bucket_of, in_order, words_of
+from logweave.operators.template_miner import Bucket, bucket_of, in_order
 
 CACHE_VERSION = "templates-1"
 
@@ -41,21 +41,22 @@ def merge_similar(found: DataFrame, threshold: float = 0.4) -> DataFrame:
     cluster, in order of size, that has at least `threshold` of its words in place. However many
     templates a bucket has, they flow by in order and only its clusters are held.
     """
-    keyed = found.select("fingerprint", "template", "size", words_of("template").alias("words")).withColumns({"bucket": bucket_of(F.col("words")), "less": -F.col("size"), "tie": F.col("fingerprint")})
+    keyed = found.select("fingerprint", "template", "size", squeezed(F.col("template")).alias("words")).withColumns({"bucket": bucket_of(F.split("words", " ")), "less": -F.col("size")})
 
-    def run(rows: Iterator[tuple]) -> Iterator[dict]:
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         now, bucket, first = None, Bucket(threshold), []
-        last = lambda: ({"bucket": now, "n": n, "cluster": first[n], "cluster_template": " ".join(w)} for n, (w, _) in bucket.clusters.items())
-        for fingerprint, template, size, words, key in rows:
+        last = lambda: ((now, n, None, None, None, first[n], " ".join(w)) for n, (w, _) in bucket.clusters.items())
+        for key, fingerprint, template, size, words in rows:
             if key != now:
                 yield from last()
                 now, bucket, first = key, Bucket(threshold), []
-            n, change = bucket.add(list(words), size)
+            n, change = bucket.add(words.split(" "), size)
             if change == "created":
                 first.append(fingerprint)
-            yield {"bucket": key, "n": n, "fingerprint": fingerprint, "template": template, "size": size}
+            yield key, n, fingerprint, template, size, None, None
         yield from last()
 
-    rows = pin_table(in_order(keyed, ["less", "tie"], run, "bucket string, n bigint, fingerprint string, template string, size bigint, cluster string, cluster_template string"), "merged_templates")
+    schema = "bucket string, n bigint, fingerprint string, template string, size bigint, cluster string, cluster_template string"
+    rows = pin_table(in_order(keyed, ["less", "fingerprint"], ["bucket", "fingerprint", "template", "size", "words"], run, schema), "merged_templates")
     clusters = rows.where("cluster is not null").select("bucket", "n", "cluster", "cluster_template")
     return rows.where("fingerprint is not null").select("bucket", "n", "fingerprint", "template", "size").join(clusters, ["bucket", "n"]).drop("bucket", "n")

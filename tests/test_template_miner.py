@@ -129,3 +129,37 @@ def test_a_long_bucket_of_a_batch_is_held_as_columns(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
     frames = [pd.DataFrame({"words": ["a b c d"] * 5000, "id": [str(i) for i in range(k, k + 5000)], "place0": pd.Timestamp("2024-01-01"), "place1": range(k, k + 5000)}) for k in (0, 5000)]
     assert template_miner.packed(iter(frames), ["place0", "place1"]).nbytes < 48 * 10_000
+
+
+@pytest.mark.parametrize("most", [0, 12])
+def test_a_bucket_of_few_clusters_keeps_no_places_and_one_of_many_finds_the_same(most, monkeypatch):
+    rng = random.Random(6)
+    rows = [("b", [rng.choice("abcdefgh<") if rng.random() < 0.6 else rng.choice(["<*>", "x", "y"]) for _ in range(6)]) for _ in range(600)]
+    want = _brute(rows, 0.7, most)
+    for few in (0, 3, template_miner.FEW, 1000):
+        monkeypatch.setattr(template_miner, "FEW", few)
+        bucket, got, held = Bucket(0.7, most), [], 0
+        for _, words in rows:
+            n, change = bucket.add(list(words))
+            held = max(held, len(bucket.clusters))
+            assert held > few or not bucket.places
+            got.append((n, " ".join(bucket.clusters[n][0]), change, bucket.clusters[n][1]))
+        assert got == want and (held > few) == bool(bucket.places)
+        assert sorted({n for own in bucket.places for s in own.values() for n in s}) == (sorted(bucket.clusters) if bucket.places else [])
+
+
+def test_words_travel_as_one_string(spark):
+    rows = spark.createDataFrame([("1", 1, " a  b\tc 5 "), ("2", 2, ""), ("3", 3, None)], "record_id string, at long, message string")
+    found = template_miner._messages(rows, "message", ["at"], "record_id")
+    assert dict(found.dtypes)["words"] == "string"
+    assert [(r.bucket, r.words) for r in found.orderBy("id").collect()] == [("4|a", "a b c <NUM>"), ("1|", ""), ("1|", "")]
+
+
+def test_only_messages_without_digit_and_hyphen_skip_the_masks(spark):
+    texts = {
+        "id aaaaaaaa-BBBB-cccc-dddd-eeeeeeeeeeee ends": "id <UUID> ends", "٣ and ५": "<NUM> and <NUM>", "status=५ n": "status=५ n", "0xABCDEF": "<HEX>", "at ١.2.3.4": "at <IP>",
+        "a-b": "a-b", "no number": "no number", "½ ² Ⅷ": "½ ² Ⅷ", "": "",
+    }
+    found = spark.createDataFrame([(t,) for t in texts], "x string").select("x", mask(F.col("x")).alias("m"))
+    assert {r.x: r.m for r in found.collect()} == texts
+    assert spark.sql("select cast(null as string) as x").select(mask(F.col("x"))).first()[0] is None
